@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cardloom.llm import bpe, exact_dedup, langid, quality, simhash, substring_dedup, toxicity
+from cardloom.llm import bpe, exact_dedup, langid, matroska, quality, simhash, substring_dedup, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op5_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.media_digests(_documents(spark, sf_dir))
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(_documents(spark, sf_dir))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_bpe": op2_bpe,
     "op4_quality": op4_quality,
+    "op5_matroska": op5_matroska,
     "op6_langid": op6_langid,
     "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
