@@ -24,7 +24,7 @@ from cardloom.llm.samples import bounded_rows, fold
 from cardloom.llm.shared import sub_batches
 
 #: Most training rows of each label, cached words of a Python worker, transitions of an automaton, and the context's reach in words.
-SAMPLE, CACHE, TRANSITIONS, REACH = 2_500, 400_000, 400_000, 6
+SAMPLE, CACHE, TRANSITIONS, REACH = 1_500, 400_000, 400_000, 6
 THRESHOLD = 0.5
 #: How a word can match.
 TERM, NEAR, FAR, STEM = 1, 2, 3, 4
@@ -213,7 +213,8 @@ def _chosen(pos: Counter, neg: Counter, n_pos: int, n_neg: int, least: float, od
 
 def learn_lexicon(rows: list[tuple[str | None, int]]) -> tuple[dict[str, float], dict[str, float]]:
     """Terms and stems (of three to eight characters, the beginning of five words at least) that mark toxic rows, with their log-odds."""
-    bags = [({w for w in (w.strip(_STRIP) for w in (text or "").lower().split()) if w}, y) for text, y in rows]
+    one: dict[str, str] = {}  # equal words of all rows are one object
+    bags = [({one.setdefault(w, w) for w in (w.strip(_STRIP) for w in (text or "").lower().split()) if w}, y) for text, y in rows]
     n_pos = max(1, sum(y for _, y in bags))
     n_neg = max(1, len(bags) - n_pos)
     count, stem_count, heads = (Counter(), Counter()), (Counter(), Counter()), {}
