@@ -268,3 +268,16 @@ def identified(docs: DataFrame) -> DataFrame:
     """The query's rows: doc_id, held_out, lang_pred, score and the number of spans."""
     rows = identify(docs, fit(docs))
     return rows.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
+def confident(docs: DataFrame, model: Model, *, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of `docs` whose text has a language with a score of at least `least`, all columns as they were; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in sub_batches(batches, text_col, 3 << 20):
+            rows = predict(m, [t or "" for t in b.column(text_col).to_pylist()]) if m.langs else [("und", 0.0, [])] * b.num_rows
+            yield b.filter(pa.array([lang != "und" and score >= least for lang, score, _ in rows], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

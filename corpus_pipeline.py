@@ -1,12 +1,71 @@
-"""A corpus pipeline: language ID, exact and near dedup, substring dedup and packing over `documents`."""
+"""A corpus pipeline over `documents`: language ID, exact dedup, SimHash near-dedup, substring dedup, best-fit packing.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns the columns of
+`documents`; the last returns where every piece of every document goes. Empty tables pass through, nulls in any column
+are allowed, and rows that share an id are kept or dropped together where an id names what goes.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cardloom.llm import exact_dedup, langid, packing, simhash, substring_dedup
+from cardloom.llm.shared import staged
+
+#: Documents whose language scores less go; clean documents of one language score near 1.
+LEAST_SCORE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without letters and those whose language is in doubt."""
+    return langid.confident(docs, langid.fit(docs), least=LEAST_SCORE)
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    return docs.join(gone.select(F.col("doc_id").alias("_gone")).distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal documents, leaves the one that `exact_groups` keeps."""
+    return _without(docs, exact_dedup.exact_groups(docs).filter("NOT kept"))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near-duplicates, leaves the document of the smallest id."""
+    return _without(docs, simhash.near_groups(docs).filter("doc_id <> component_id"))
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes the words of repeated windows from the texts; `n_chars` follows."""
+    out = substring_dedup.dedup_texts(docs)
+    changed = F.col("n_removed") > 0
+    columns = {"text": F.col("kept_text"), "n_chars": F.when(changed, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {"text": F.col("kept_text")}
+    return out.withColumns(columns).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places every piece of every document in a sequence."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact),
+    ("simhash", near),
+    ("substring_dedup", substrings),
+    ("packing", packed),
+]
 
-STAGES: list = []
+# Language models and the order-dependent packing are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over the documents of `sf_dir`, each written as Parquet and read again by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = staged(docs)
+    return docs
