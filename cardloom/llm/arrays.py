@@ -57,6 +57,15 @@ class Words:
         #: Words before each text, and of all at the end.
         self.first = np.searchsorted(self.doc, np.arange(len(normal) + 1))
 
+    def codes(self, block: int = 1 << 16) -> np.ndarray:
+        """A hash of every word; a block of words at a time, so that the byte-wise arrays stay small."""
+        out = np.empty(len(self.starts), U)
+        for i in range(0, len(out), block):
+            s, e = self.starts[i : i + block], self.ends[i : i + block]
+            low = s[0]
+            out[i : i + block] = RangeHash(self.bytes[low : e[-1]])(s - low, e - low)
+        return out
+
 
 def normal(text: bytes) -> bytes:
     """The words `[^\\x20\\x09-\\x0D]+` of a text joined by one space."""

@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 from cardloom.llm.arrays import RangeHash, Words, mix, normal, spans
 from cardloom.llm.shared import staged, sub_batches, texts
 
-WINDOW, K = 20, 6
+WINDOW, K = 20, 2
 #: Super-k-mers of one minimiser above which it is hot, and the most minimisers that can be hot.
 HOT_LEAST, HOT_MOST = 2_000, 500_000
 #: Super-k-mers to a bucket, on average.
-BUCKET = 60_000
+BUCKET = 50_000
 _PACK = 4 << 20
 _U = np.uint64
 _NULL = np.iinfo(np.int64).min
@@ -50,8 +50,7 @@ class Batch:
         self.at = np.empty(0, np.int64)
         if n < window:
             return
-        byte_hash = RangeHash(w.bytes)
-        self.word_hash = RangeHash(byte_hash(w.starts, w.ends))
+        self.word_hash = RangeHash(w.codes())
         #: First words of windows.
         self.at = np.flatnonzero(w.doc[: n - window + 1] == w.doc[window - 1 :])
         first = np.arange(n - k + 1)
@@ -126,7 +125,7 @@ def local_repeats(b: Batch) -> np.ndarray:
 
 def _pack(*arrays: np.ndarray, text: bytes = b"") -> bytes:
     raw = len(arrays[0]).to_bytes(4, "little") + b"".join(a.tobytes() for a in arrays) + text
-    return b"\1" + zstandard.ZstdCompressor(level=1).compress(raw) if len(raw) > 512 else b"\0" + raw
+    return b"\1" + zstandard.ZstdCompressor(level=3).compress(raw) if len(raw) > 512 else b"\0" + raw
 
 
 def _unpack(blob: bytes, kinds: tuple) -> tuple[list[np.ndarray], bytes]:
@@ -138,10 +137,10 @@ def _unpack(blob: bytes, kinds: tuple) -> tuple[list[np.ndarray], bytes]:
     return out, raw[at:]
 
 
-# Columns of a packed super-k-mer: minimiser, id, text digest, first word, windows, bytes of its words.
-_SUPER = (np.uint64, np.int64, np.int64, np.int32, np.int32, np.int32)
+# Columns of a packed super-k-mer: id, text digest, first word, windows, bytes of its words.
+_SUPER = (np.int64, np.int32, np.int32, np.int32, np.int32)
 # Columns of a settled range: id, text digest, first word, word after the last.
-_RANGE = (np.int64, np.int64, np.int32, np.int32)
+_RANGE = (np.int64, np.int32, np.int32, np.int32)
 
 
 def ranges_of(ids: np.ndarray, marks: np.ndarray, start: np.ndarray, length: int) -> list[np.ndarray]:
@@ -152,7 +151,7 @@ def ranges_of(ids: np.ndarray, marks: np.ndarray, start: np.ndarray, length: int
     new[1:] = (np.diff(ids) != 0) | (np.diff(marks) != 0) | (np.diff(start) > length) | (np.diff(start) < 0)
     head = np.flatnonzero(new)
     last = np.append(head[1:], len(ids)) - 1
-    return [ids[head].astype(np.int64), marks[head].astype(np.int64), start[head].astype(np.int32), (start[last] + length).astype(np.int32)]
+    return [ids[head].astype(np.int64), marks[head].astype(np.int32), start[head].astype(np.int32), (start[last] + length).astype(np.int32)]
 
 
 def superkmers(b: Batch, repeat: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
@@ -168,10 +167,10 @@ def superkmers(b: Batch, repeat: np.ndarray, buckets: int) -> Iterator[tuple[int
     gram, at = b.minimiser[head], b.at[head]
     bucket = (mix(gram) % _U(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    head, count, gram, at, bucket = head[order], count[order], gram[order], at[order], bucket[order]
+    count, at, bucket = count[order], at[order], bucket[order]
     doc = w.doc[at]
     low, high = w.starts[at], w.ends[at + count + b.length - 2]
-    columns = gram, b.ids[doc], b.marks[doc], (at - w.first[doc]).astype(np.int32), count.astype(np.int32), (high - low).astype(np.int32)
+    columns = b.ids[doc], b.marks[doc], (at - w.first[doc]).astype(np.int32), count.astype(np.int32), (high - low).astype(np.int32)
     cut = np.flatnonzero(np.diff(bucket)) + 1
     for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(bucket)], strict=True):
         text = b" ".join(map(w.data.__getitem__, map(slice, low[s:e].tolist(), high[s:e].tolist())))
@@ -181,25 +180,18 @@ def superkmers(b: Batch, repeat: np.ndarray, buckets: int) -> Iterator[tuple[int
 def bucket_repeats(blobs: list[bytes], length: int) -> list[np.ndarray]:
     """Ranges of the windows of a bucket that repeat an earlier window."""
     parts = [_unpack(x, _SUPER) for x in blobs]
-    gram, ids, marks, first, count, size = (np.concatenate(c) for c in zip(*(p[0] for p in parts), strict=True))
+    ids, marks, first, count, size = (np.concatenate(c) for c in zip(*(p[0] for p in parts), strict=True))
     data = b" ".join(p[1] for p in parts)
     offset = np.cumsum(size.astype(np.int64) + 1) - size - 1
-    # A window alone with its minimiser has no equal.
-    order = np.argsort(gram, kind="stable")
-    same = gram[order][1:] == gram[order][:-1]
-    shared = np.zeros(len(gram), bool)
-    shared[order[1:][same]] = shared[order[:-1][same]] = True
-    pick = np.flatnonzero(shared)
-    if not len(pick):
-        return ranges_of(*(np.empty(0, np.int64),) * 3, length)
-    pick = pick[np.lexsort((first[pick], marks[pick], ids[pick]))]
+    pick = np.lexsort((first, marks, ids))
     w = Words([b" ".join(map(data.__getitem__, map(slice, offset[pick].tolist(), (offset[pick] + size[pick]).tolist())))])
+    del parts, data
     ids, marks, first, count = ids[pick], marks[pick], first[pick], count[pick].astype(np.int64)
     run = np.repeat(np.arange(len(pick)), count)
     k = spans(count)
     word = np.cumsum(count + length - 1) - (count + length - 1)
     at = word[run] + k
-    code = RangeHash(w.bytes)(w.starts[at], w.ends[at + length - 1])
+    code = RangeHash(w.codes())(at, at + length)
     start = first[run].astype(np.int64) + k
     # Runs are in order of document and start, and so are the windows unless rows repeat an id; then starts decide.
     order = np.lexsort((start, ids[run], code)) if (np.diff(ids) == 0).any() else np.argsort(code, kind="stable")
@@ -237,11 +229,11 @@ def _batches(batches: Iterator[pa.RecordBatch], window: int, k: int, hot: np.nda
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.hash(text).alias("mark"))
 
 
 def repeated_ranges(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = K, bucket: int = BUCKET, hot_least: int = HOT_LEAST) -> DataFrame:
-    """(doc_id, mark, ranges): of each document with repeated windows the word ranges that they cover; `mark` is XXH64 of its text."""
+    """(doc_id, mark, ranges): of each document with repeated windows the word ranges that they cover; `mark` is a hash of its text, which keeps rows apart that repeat an id."""
     spark, keyed = docs.sparkSession, _keyed(docs, id_col, text_col)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +250,8 @@ def repeated_ranges(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # At most HOT_MOST minimisers can have so large a share of the total.
     least = max(hot_least, total // HOT_MOST)
     hot = np.sort(np.array([r[0] for r in frequent.filter(F.col("n") >= least).select("gram").collect()], np.int64).view(_U))
-    buckets = max(1, total // bucket)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(4 * n, total // bucket)
     shared_hot = spark.sparkContext.broadcast(hot)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,8 +281,7 @@ def repeated_ranges(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         if blobs:
             yield table(bucket_repeats(blobs, window))
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    settled = keyed.mapInArrow(send, "bucket long, settled boolean, blob binary").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(sort, "doc_id long, mark long, first int, past int")
+    settled = keyed.mapInArrow(send, "bucket long, settled boolean, blob binary").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(sort, "doc_id long, mark int, first int, past int")
     return settled.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "past")).alias("ranges"))
 
 
@@ -307,18 +299,30 @@ def cut(text: bytes, first: list[int], past: list[int]) -> tuple[int, int, bytes
 
 
 def _applied(docs: DataFrame, id_col: str, text_col: str, extra: list[str], schema: str, make: Callable, **options) -> DataFrame:
-    """Joins documents with their ranges and maps every row; `extra` columns pass through as a struct."""
+    """Joins documents with their ranges and maps every row; texts travel compressed, `extra` columns as a struct."""
     ranges = repeated_ranges(docs, id_col=id_col, text_col=text_col, **options)
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), *([F.struct(*extra).alias("rest")] if extra else []))
+    rest = F.struct(*(F.col(f"`{c}`") for c in extra)) if extra else F.lit(None).cast("int")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.hash(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), rest.alias("rest"))
+    kind = rows.schema["rest"].dataType.simpleString()
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for b in sub_batches(batches, "text", _PACK):
+            z = [None if t is None else pack(t) for t in b.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.record_batch([b.column("doc_id"), b.column("mark"), pa.array(z, pa.binary()), b.column("rest")], ["doc_id", "mark", "z", "rest"])
+
+    keyed = rows.mapInArrow(squeeze, f"doc_id long, mark int, z binary, rest {kind}")
     right = ranges.select(F.col("doc_id").alias("r_id"), F.col("mark").alias("r_mark"), F.col("ranges.first").alias("first"), F.col("ranges.past").alias("past"))
-    rows = keyed.join(right, keyed["doc_id"].eqNullSafe(right["r_id"]) & (keyed["mark"] == right["r_mark"]), "left").drop("r_id", "r_mark", "mark")
+    joined = keyed.join(right, keyed["doc_id"].eqNullSafe(right["r_id"]) & (keyed["mark"] == right["r_mark"]), "left").drop("r_id", "r_mark", "mark")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sub_batches(batches, "text", _PACK):
-            cuts = [cut(t, f or [], p or []) for t, f, p in zip(texts(b, "text"), b.column("first").to_pylist(), b.column("past").to_pylist(), strict=True)]
-            yield make(b, cuts)
+        unpack = zstandard.ZstdDecompressor().decompress
+        for b in sub_batches(batches, "z", _PACK // 2):
+            raw = [None if z is None else unpack(z) for z in b.column("z").to_pylist()]
+            cuts = [cut(t or b"", f or [], p or []) for t, f, p in zip(raw, b.column("first").to_pylist(), b.column("past").to_pylist(), strict=True)]
+            yield make(b, raw, cuts)
 
-    return rows.mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema)
 
 
 def dedup_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -329,7 +333,7 @@ def dedup_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     if the texts are equal too, they are one document and share the result. Null, empty and short texts keep all words.
     """
 
-    def make(b: pa.RecordBatch, cuts: list) -> pa.RecordBatch:
+    def make(b: pa.RecordBatch, raw: list, cuts: list) -> pa.RecordBatch:
         sha = [hashlib.sha256(c[2]).hexdigest() for c in cuts]
         return pa.record_batch([b.column("doc_id"), pa.array([c[0] for c in cuts], pa.int64()), pa.array([c[1] for c in cuts], pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
@@ -341,13 +345,14 @@ def dedup_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     A text that loses no word stays as it was, white space included.
     """
-    marked = docs.withColumns({"kept_text": F.col(text_col), "n_removed": F.lit(0).cast("long")})
-    names = docs.columns
+    extra = [c for c in docs.columns if c != text_col]
 
-    def make(b: pa.RecordBatch, cuts: list) -> pa.RecordBatch:
-        text = [None if not c[1] else c[2].decode() for c in cuts]
-        return pa.record_batch([b.column("rest"), pa.array(text, pa.string()), pa.array([c[1] for c in cuts], pa.int64())], ["rest", "kept_text", "n_removed"])
+    def make(b: pa.RecordBatch, raw: list, cuts: list) -> pa.RecordBatch:
+        text = [None if t is None else t.decode() for t in raw]
+        kept = [t if not c[1] else c[2].decode() for t, c in zip(text, cuts, strict=True)]
+        return pa.record_batch([b.column("rest"), pa.array(text, pa.string()), pa.array(kept, pa.string()), pa.array([c[1] for c in cuts], pa.int64())], ["rest", "text", "kept_text", "n_removed"])
 
-    rest = marked.select(F.struct(*names).alias("rest")).schema["rest"].dataType.simpleString()
-    out = _applied(docs, id_col, text_col, names, f"rest {rest}, kept_text string, n_removed long", make, **options)
-    return out.select(*(F.col(f"rest.`{c}`").alias(c) for c in names), F.coalesce("kept_text", F.col(f"rest.`{text_col}`")).alias("kept_text"), "n_removed")
+    kind = docs.select(F.struct(*(F.col(f"`{c}`") for c in extra)).alias("rest")).schema["rest"].dataType.simpleString()
+    out = _applied(docs, id_col, text_col, extra, f"rest {kind}, text string, kept_text string, n_removed long", make, **options)
+    columns = [F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns]
+    return out.select(*columns, "kept_text", "n_removed")
