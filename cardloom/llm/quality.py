@@ -19,7 +19,7 @@ from cardloom.llm.samples import bounded_rows, fold
 from cardloom.llm.shared import sub_batches, texts
 
 #: Slots of hashed words, rank of the interactions, bins of each statistic, and most training rows of each label.
-SLOTS, RANK, BINS, SAMPLE = 1 << 15, 8, 12, 2_500
+SLOTS, RANK, BINS, SAMPLE = 1 << 15, 8, 12, 1_500
 THRESHOLD = 0.3
 _U = np.uint64
 STATISTICS = (
@@ -79,12 +79,11 @@ class Machine:
     v: np.ndarray
     edges: np.ndarray
 
-    def rows(self, batch: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, slot, value) of all features of a batch, in order of texts."""
-        owner, slot, value, stats = features(batch)
+    def rows(self, owner: np.ndarray, slot: np.ndarray, value: np.ndarray, stats: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, slot, value) of all features of a batch, those of `features` and the binned statistics, in order of texts."""
         bins = np.stack([np.searchsorted(self.edges[j], stats[:, j], side="right") for j in range(stats.shape[1])], axis=1)
         place = SLOTS + np.arange(stats.shape[1]) * (BINS + 1) + bins
-        owners = np.concatenate([owner, np.repeat(np.arange(len(batch)), stats.shape[1])])
+        owners = np.concatenate([owner, np.repeat(np.arange(len(stats)), stats.shape[1])])
         order = np.argsort(owners, kind="stable")
         return owners[order], np.concatenate([slot, place.ravel()])[order], np.concatenate([value, np.full(place.size, 0.5)])[order]
 
@@ -97,7 +96,7 @@ class Machine:
         return self.bias + np.add.reduceat(self.w[slot] * value, start) + 0.5 * (first * first - square).sum(axis=1)
 
     def score(self, batch: list[bytes]) -> np.ndarray:
-        return sigmoid(self.raw(*self.rows(batch), len(batch))) if batch else np.empty(0)
+        return sigmoid(self.raw(*self.rows(*features(batch)), len(batch))) if batch else np.empty(0)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -115,9 +114,14 @@ def train(rows: list[tuple[str | None, int]], *, epochs: int = 12, batch: int =
         m.bias = 0.0 if not len(y) else 4.0 * (2 * y[0] - 1)
         m.v[:] = 0
         return m
-    stats = features(data)[3]
+    # A few texts at a time, so that the word-wise arrays stay small.
+    parts = [features(data[i : i + 200]) for i in range(0, len(data), 200)]
+    stats = np.concatenate([p[3] for p in parts])
+    owner = np.concatenate([p[0].astype(np.int32) + 200 * i for i, p in enumerate(parts)])
+    slot, value = np.concatenate([p[1].astype(np.int32) for p in parts]), np.concatenate([p[2].astype(np.float32) for p in parts])
+    del parts
     m.edges = np.quantile(stats, np.linspace(0, 1, BINS + 2)[1:-1], axis=0).T.copy()
-    owner, slot, value = m.rows(data)
+    owner, slot, value = m.rows(owner, slot, value, stats)
     edge = np.searchsorted(owner, np.arange(len(data) + 1))
     m.bias = float(np.log(y.mean() / (1 - y.mean())))
     gw, gv, gb = np.full(size, 1e-6), np.full((size, RANK), 1e-6), 1e-6
