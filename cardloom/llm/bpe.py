@@ -285,13 +285,15 @@ def encoder(path: str) -> Encoder:
 
 
 def _map(docs: DataFrame, path: str, schema: str, row, id_col: str, text_col: str) -> DataFrame:
+    kind = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        names = [f.split()[0] for f in schema.split(", ")]
+        names, kinds = zip(*((n, kind[t]) for n, t in (f.split() for f in schema.split(", "))), strict=True)
         for b in sub_batches(batches, "text", 4 << 20):
             texts = [t or "" for t in b.column("text").to_pylist()]
             cols = list(zip(*(row(x) for x in enc.run(texts)), strict=True)) or [[]] * (len(names) - 1)
-            yield pa.record_batch([b.column("doc_id"), *map(pa.array, map(list, cols))], names)
+            yield pa.record_batch([b.column("doc_id"), *map(pa.array, map(list, cols), kinds[1:])], list(names))
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 

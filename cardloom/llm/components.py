@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.llm.shared import staged
+from cardloom.llm.shared import discard, staged
 
 
 def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
@@ -27,6 +27,7 @@ def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
         after = staged(small)
         # Done when no node has two parents and no parent is a child.
         left = after.groupBy("b").count().filter("count > 1").select("b").union(after.join(after.select(F.col("b").alias("a")), "a", "left_semi").select("b")).limit(1).count()
+        discard(now)
         now = after
         if not left:
             break

@@ -227,7 +227,7 @@ def predict(model: Model, texts: list[str]) -> list[tuple[str, float, list[tuple
     edge = np.ones(len(path), bool)
     edge[1:] = (np.diff(path) != 0) | (np.diff(docs) != 0)
     heads = np.flatnonzero(edge)
-    tails = np.append(heads[1:], len(path))
+    tails = np.append(heads, len(path))[1:]
     spans: list[list] = [[] for _ in texts]
     for h, t, d, p in zip(heads.tolist(), tails.tolist(), docs[heads].tolist(), path[heads].tolist(), strict=True):
         spans[d].append((h - int(tokens.first[d]), t - int(tokens.first[d]), model.langs[p]))
