@@ -18,6 +18,8 @@ FIELDS = ("numero_documento", "apellidos", "nombres", "nombre_completo", "fecha_
 NAME_FIELDS, PLACE_FIELDS = ("apellidos", "nombres", "nombre_completo"), ("lugar_nacimiento", "nacionalidad")
 _LETTERS = "A-Za-zÁÉÍÓÚÑáéíóúñ"
 _BLOOD = "(AB|A|B|O)[+-]"
+# White space of any kind.
+_WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def _folds() -> tuple[str, str]:
@@ -45,7 +47,7 @@ def let(value: Column, then) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(_WHITE))
 
 
 def match(c: Column, pattern: str, group: int = 0) -> Column:
@@ -99,7 +101,10 @@ def _date(year: Column, month: Column, day: Column) -> Column:
 
 def parse_date(c: Column) -> Column:
     """An ISO date from the first D-MMM-YYYY with a Spanish month, else the first D-M-YYYY; null for none or no such day."""
-    raw = F.upper(strip(c))
+    return let(F.upper(strip(c)), _parsed)
+
+
+def _parsed(raw: Column) -> Column:
     named = r"(?U)(\d{1,2})[-/\s]([A-ZÁÉÍÓÚ]{3})[-/\s](\d{4})"
     plain = r"(\d{1,2})[/\-](\d{1,2})[/\-](\d{4})"
     month = _month(F.regexp_extract(raw, named, 2))

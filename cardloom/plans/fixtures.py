@@ -41,7 +41,8 @@ def sql_pick(cases: list, key: str, number: str) -> str:
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+    """The keys of the orders, dealt out: each makes many rows here, and the file may be a single split."""
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey").repartition(spark.sparkContext.defaultParallelism)
 
 
 def raw_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +85,7 @@ WORDS = ["NUMERO", "Número", "GOMEZ", "ANA", "APELLIDOS", "NOMBRE", "SEX0", "M"
 
 def words_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """recognised words with boxes, before any is dropped; each line item gives a word from two recogniser modes."""
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber").repartition(spark.sparkContext.defaultParallelism)
     k, n = F.col("l_orderkey"), F.col("l_linenumber")
     mixed = k * 7 + n * 13
     base = li.select(
