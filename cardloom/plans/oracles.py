@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from cardloom.operators.layout import ZONES
 from cardloom.plans import fixtures as X
 
 MONTHS = "['ENE','FEB','MAR','ABR','MAY','JUN','JUL','AGO','SEP','OCT','NOV','DIC']"
@@ -184,6 +185,16 @@ SELECT CAST(row_number() OVER (ORDER BY x.arrival_seq) AS INTEGER) AS Id, coales
 FROM x LEFT JOIN (SELECT NumeroDocumento AS number, min(Id) AS sid FROM after_s WHERE NumeroDocumento IS NOT NULL GROUP BY 1) k2 USING (number)
 LEFT JOIN nulls USING (arrival_seq) LEFT JOIN ns USING (r) JOIN (SELECT nombre, min(id) AS id FROM after_p GROUP BY 1) pr ON pr.nombre = x.programa"""
 
+_PAGES = """pg AS (SELECT o_orderkey AS doc_id, CAST(o_orderkey % 2 + 1 AS INTEGER) AS page_no, CASE WHEN o_orderkey % 3 = 0 THEN 'digital' ELSE 'hologramas' END AS modelo,
+  o_orderkey % 2000 + 1 AS width, o_orderkey % 1300 + 1 AS height FROM orders),
+tp AS (SELECT *, CASE WHEN modelo = 'digital' THEN 'digital' WHEN page_no = 1 THEN 'anverso' ELSE 'reverso' END AS template FROM pg)"""
+_ZONES = "z(template, field, x1, y1, x2, y2) AS (VALUES " + ", ".join(f"('{t}', '{f}', " + ", ".join(f"{v}::DOUBLE" for v in box) + ")" for t, zs in ZONES.items() for f, box in zs.items()) + ")"
+_QUADS = """q AS (SELECT o_orderkey AS doc_id, CAST(300 + o_orderkey % 90 AS DOUBLE) AS w, CAST(200 + o_orderkey % 40 AS DOUBLE) AS h FROM orders),
+p AS (SELECT doc_id, [[w, h + doc_id % 7], [10 + doc_id % 5, 12], [w + doc_id % 11, 15 + doc_id % 3], [8 + doc_id % 4, h]] AS p FROM q),
+k AS (SELECT doc_id, p, list_transform(p, lambda c: c[1] + c[2]) AS s, list_transform(p, lambda c: c[2] - c[1]) AS d FROM p),
+c AS (SELECT doc_id, p[list_position(s, list_min(s))] AS tl, p[list_position(d, list_min(d))] AS tr, p[list_position(s, list_max(s))] AS br, p[list_position(d, list_max(d))] AS bl FROM k)"""
+_SIDE = lambda a, b: f"sqrt(pow({a}[1] - {b}[1], 2) + pow({a}[2] - {b}[2], 2))"
+
 ORACLES = {
     "t01_normalize": over_raw(f"{normal('text_raw')} AS norm"),
     "t02_upper_plain": over_raw(f"{upper_plain('text_raw')} AS plain"),
@@ -217,6 +228,14 @@ ORACLES = {
     "l01_word_dedupe": f"WITH {WORDS} SELECT doc_id, page_no, config_ord, word_ord, text, norm, x, y, w, h, cx, cy, conf FROM d",
     "l03_line_assembly": f"WITH {BANDED} SELECT * FROM n",
     "l05_neighbours": f"WITH {BANDED} SELECT doc_id, page_no, line_no, coalesce(array_to_string(list(text) OVER (PARTITION BY doc_id, page_no ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '|'), '') AS above, coalesce(array_to_string(list(text) OVER (PARTITION BY doc_id, page_no ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), '|'), '') AS below FROM n",
+    "l10_zone_boxes": f"""WITH {_PAGES}, {_ZONES}, b AS (SELECT doc_id, page_no, template, field, CAST(trunc(x1 * width) AS INTEGER) AS "left", CAST(trunc(y1 * height) AS INTEGER) AS top,
+      CAST(trunc(x2 * width) AS INTEGER) AS "right", CAST(trunc(y2 * height) AS INTEGER) AS bottom FROM tp JOIN z USING (template)) SELECT * FROM b WHERE "right" > "left" AND bottom > top""",
+    "l11_template": f"WITH {_PAGES} SELECT doc_id, page_no, template FROM tp",
+    "l12_line_text": f"WITH {BANDED}, o AS (SELECT doc_id, page_no, line_id, string_agg(text, ' ' ORDER BY x, text) AS text, (min(y) + max(y + h)) / 2 AS cy FROM b GROUP BY ALL) SELECT doc_id, page_no, CAST(row_number() OVER (PARTITION BY doc_id, page_no ORDER BY cy, line_id) - 1 AS INTEGER) AS line_no, text FROM o",
+    "v01_order_corners": f"WITH {_QUADS} SELECT doc_id, tl[1] AS tl_x, tl[2] AS tl_y, tr[1] AS tr_x, tr[2] AS tr_y, br[1] AS br_x, br[2] AS br_y, bl[1] AS bl_x, bl[2] AS bl_y FROM c",
+    "v02_card_score": f"""WITH {_QUADS}, m AS (SELECT doc_id, (290.0 + doc_id % 90)::DOUBLE * (180.0 + doc_id % 40)::DOUBLE AS area, ({_SIDE('tr', 'tl')} + {_SIDE('br', 'bl')}) / 2 AS w, ({_SIDE('bl', 'tl')} + {_SIDE('br', 'tr')}) / 2 AS h FROM c),
+      a AS (SELECT *, w / h AS aspect, area / (900.0::DOUBLE * 700) AS share, 85.60::DOUBLE / 53.98 AS card FROM m)
+      SELECT doc_id, CASE WHEN share >= 0.02 AND aspect BETWEEN 1.15 AND 2.10 THEN round(least(share / 0.25, 1) * 0.35 + greatest(0, 1 - abs(aspect - card) / card / 0.35) * 0.40 + least(area / greatest(w * h, 1) / 0.90, 1) * 0.25, 9) END AS score FROM a""",
     "r01_text_merge": f"WITH {MERGED} SELECT * FROM t",
     "r02_general_accumulate": f"WITH {MERGED} SELECT * FROM g",
     "r03_crop_accumulate": f"WITH {MERGED} SELECT * FROM z",
