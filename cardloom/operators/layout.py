@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,28 +60,30 @@ def dedupe_words(words: DataFrame) -> DataFrame:
 def cluster_lines(words: DataFrame) -> DataFrame:
     """Adds `line_id`: words by height on the page join the first line whose mean is near enough.
 
-    Each word changes its line's mean and height, so a page is clustered in order, in one group; a group is one page.
+    Each word changes its line's mean and height, so words pass in order of page and height; only the lines of the
+    page at hand are held.
     """
-    schema = words.schema
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["cy", "x", "config_ord", "word_ord"], kind="stable")
-        total, count, height, out = [], [], [], []
-        for cy, h in zip(page["cy"].tolist(), page["h"].tolist(), strict=True):
-            for i in range(len(total)):
-                if abs(cy - total[i] / count[i]) <= max(TOLERANCE_PX, max(height[i], h) * TOLERANCE_HEIGHT):
-                    total[i], count[i], height[i] = total[i] + cy, count[i] + 1, max(height[i], h)
-                    break
-            else:
-                i = len(total)
-                total.append(cy)
-                count.append(1)
-                height.append(h)
-            out.append(i)
-        return page.assign(line_id=pd.Series(out, index=page.index, dtype="int32"))
-
-    return words.groupBy(*PAGE).applyInPandas(run, f"{fields}, line_id int")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in words.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, lines = None, []
+        for batch in batches:
+            out = []
+            for *page, cy, h in zip(*(batch.column(c).to_pylist() for c in (*PAGE, "cy", "h")), strict=True):
+                if page != now:
+                    now, lines = page, []
+                for i, (total, count, height) in enumerate(lines):
+                    if abs(cy - total / count) <= max(TOLERANCE_PX, max(height, h) * TOLERANCE_HEIGHT):
+                        lines[i] = (total + cy, count + 1, max(height, h))
+                        break
+                else:
+                    i = len(lines)
+                    lines.append((cy, 1, h))
+                out.append(i)
+            yield batch.append_column("line_id", pa.array(out, pa.int32()))
+
+    order = [*PAGE, "cy", "x", "config_ord", "word_ord"]
+    return words.repartition(*PAGE).sortWithinPartitions(*order).mapInArrow(run, f"{fields}, line_id int")
 
 
 def assemble_lines(words: DataFrame) -> DataFrame:
