@@ -1,6 +1,7 @@
 """Every query that SQL can express against its SQL, over the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from cardloom.plans import fixtures
@@ -20,7 +21,7 @@ def duck():
 
 
 def plain(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return None
     return round(float(v), 9) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
