@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.llm import exact_dedup, langid, packing, simhash, substring_dedup
+from cardloom.llm import exact_dedup, langid, near_texts, packing, substring_dedup
 from cardloom.llm.shared import staged
 
 #: Documents whose language scores less go; clean documents of one language score near 1.
@@ -32,8 +32,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates, leaves the document of the smallest id."""
-    return _without(docs, simhash.near_groups(docs).filter("doc_id <> component_id"))
+    """Of each component of texts that share at least 0.8 of their five-word shingles, leaves the document of the smallest id."""
+    return _without(docs, near_texts.near_text_groups(docs).filter("doc_id <> component_id"))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
