@@ -270,14 +270,41 @@ def identified(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
 
 
+def identified_share(model: Model, texts: list[str]) -> np.ndarray:
+    """Of each text, the share of its letters in words of a learned script whose span has any evidence for its language.
+
+    Spans are Viterbi's, so each of several languages counts by its own words, and a short text as much as a long one.
+    """
+    tokens = Tokens(texts)
+    emitted = model.emissions(tokens.distinct)[tokens.which]
+    path, _ = label_words(emitted, tokens.first)
+    docs = np.repeat(np.arange(len(texts)), np.diff(tokens.first))
+    known = model.scripts[scripts_of(tokens.distinct)].any(axis=1)[tokens.which]
+    if len(model.langs) > 1 and len(path):
+        other = emitted.copy()
+        other[np.arange(len(path)), path] = -np.inf
+        lead = emitted[np.arange(len(path)), path] - other.max(axis=1)
+        edge = np.ones(len(path), bool)
+        edge[1:] = (np.diff(path) != 0) | (np.diff(docs) != 0)
+        span = np.cumsum(edge) - 1
+        known &= (np.bincount(span, np.maximum(lead, 0)) > 0)[span]
+    size = tokens.ends - tokens.starts
+    return np.bincount(docs, size * known, len(texts)) / np.maximum(np.bincount(docs, size, len(texts)), 1)
+
+
 def confident(docs: DataFrame, model: Model, *, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of `docs` whose text has a language with a score of at least `least`, all columns as they were; no shuffle."""
+    """The rows of `docs` of whose letters a share of at least `least` is in identified languages, all columns as they were; no shuffle.
+
+    Null texts and texts without letters go, as all do without any language to learn.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in sub_batches(batches, text_col, 3 << 20):
-            rows = predict(m, [t or "" for t in b.column(text_col).to_pylist()]) if m.langs else [("und", 0.0, [])] * b.num_rows
-            yield b.filter(pa.array([lang != "und" and score >= least for lang, score, _ in rows], pa.bool_()))
+        for b in sub_batches(batches, text_col, 1 << 20):
+            texts = [t or "" for t in b.column(text_col).to_pylist()]
+            share = identified_share(m, texts) if m.langs else np.zeros(len(texts))
+            letters = [s > 0 and (any(map(str.isalpha, t[:50])) or any(map(str.isalpha, t))) for s, t in zip(share.tolist(), texts, strict=True)]
+            yield b.filter(pa.array((share >= least) & np.array(letters, bool)))
 
     return docs.mapInArrow(run, docs.schema)

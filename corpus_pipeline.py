@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from cardloom.llm import exact_dedup, langid, near_texts, packing, substring_dedup
 from cardloom.llm.shared import staged
 
-#: Documents whose language scores less go; clean documents of one language score near 1.
-LEAST_SCORE = 0.5
+#: Documents go of whose letters a smaller share is in identified languages, one or several; clean documents have 1.
+LEAST_SHARE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those whose language is in doubt."""
-    return langid.confident(docs, langid.fit(docs), least=LEAST_SCORE)
+    """Drops documents without letters and those mostly in scripts that no learned language has."""
+    return langid.confident(docs, langid.fit(docs), least=LEAST_SHARE)
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
