@@ -9,6 +9,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A key is hot with more rows than one in so many of all; so at most as many keys are hot, and only those are broadcast.
+HOT_KEYS = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,6 +47,24 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def looked_up(rows: DataFrame, table: DataFrame, key: str, weight: str, *, least: int = 1_000) -> DataFrame:
+    """`rows` with the columns of `table` that have one row a `key`, null where it has none; `weight` is how many rows a key has.
+
+    Rows of hot keys meet their table row in a broadcast of at most `HOT_KEYS` rows and are then dealt by their place,
+    so no task gets a whole hot key. `table` is evaluated several times and should be staged.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    value = F.struct(*(F.col(f"`{c}`") for c in table.columns if c != key))
+    is_hot = F.col(weight) > max(least, total // HOT_KEYS)
+    hot = table.filter(is_hot).select(F.col(key).alias("_hot_key"), value.alias("_hot"))
+    cold = table.filter(~is_hot).select(F.col(key).alias("_cold_key"), F.lit(0).cast("long").alias("_cold_deal"), value.alias("_cold"))
+    met = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
+    met = met.withColumn("_deal", F.when(F.col("_hot_key").isNull() & F.col(key).isNotNull(), F.lit(0).cast("long")).otherwise(1 + F.monotonically_increasing_id()))
+    both = met.join(cold, (F.col(key) == F.col("_cold_key")) & (F.col("_deal") == F.col("_cold_deal")), "left")
+    found = F.coalesce("_hot", "_cold")
+    return both.select(*(F.col(f"`{c}`") for c in rows.columns), *(found[c].alias(c) for c in table.columns if c != key))
+
+
 def sub_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches holding at most `limit` bytes of a text column, or one row if that alone is longer."""
     for batch in batches:
