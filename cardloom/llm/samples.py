@@ -2,34 +2,53 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cardloom.llm.shared import discard, staged
+
+#: Most bytes of training text of each label value, most training rows of all, and how many label values are broadcast.
+MOST_BYTES, MOST_IN_ALL, BROADCAST_LABELS, SALTS = 8 << 20, 50_000, 10_000, 64
+
 
 def fold(id_col: str, of: int) -> Column:
     """crc32 of the id as text, modulo `of`; null ids have fold null."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(of))
 
 
-def bounded_rows(rows: DataFrame, label: str, most: int, *, id_col: str = "doc_id", text_col: str = "text") -> list[tuple]:
-    """At most about `most` rows (text, label) of each label value, spread by a hash of the id; label values beyond the 500 most frequent have none.
+def bounded_rows(rows: DataFrame, label: str, most: int, *, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = MOST_BYTES, most_in_all: int = MOST_IN_ALL) -> list[tuple]:
+    """At most `most` rows (text, label) and `most_bytes` of text of each label value, spread by a hash of id and text.
 
-    The same rows come back whatever the partitioning. The bound holds as an expectation of the hash and is enforced
-    by keeping the rows of the smallest hashes.
+    All label values share `most_in_all` rows: with many of them each has fewer, with more than that a part of them has
+    one. Rows that repeat an id and a text count once; texts longer than `most_bytes` and null labels are left out. The
+    same rows come back whatever the partitioning. Counts stay in a table, and what is collected is what is kept plus
+    about a fifth.
     """
-    counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(500).collect()
-    if not counts:
+    size = F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long")
+    h = F.xxhash64(F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit("")), F.lit("sample"))
+    given = rows.filter(F.col(label).isNotNull() & (size <= most_bytes)).select(F.col(label).alias("y"), F.col(text_col).alias("t"), h.alias("h"), size.alias("b"))
+    counts = staged(given.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b")))
+    labels = counts.count()
+    if not labels:
         return []
-    spread = F.xxhash64(F.col(id_col).cast("string"), F.lit("sample"))
-    unit = F.pmod(spread, F.lit(1_000_003)) / 1_000_003
-    chosen = None
-    for r in counts:
-        mine = (F.col(label) == r[0]) & (unit < min(1.0, 1.2 * most / r["count"]))
-        chosen = mine if chosen is None else chosen | mine
-    got = rows.filter(chosen).select(spread.alias("h"), F.col(text_col).alias("t"), F.col(label).alias("y")).collect()
-    out, taken = [], {}
+    each = max(1, min(most, most_in_all // labels))
+    rate = F.least(F.lit(1.2 * each) / F.col("n"), F.lit(1.2 * most_bytes) / F.greatest("b", F.lit(1))) * min(1.0, most_in_all / labels)
+    unit = F.col("h").cast("double") / 2.0**64 + 0.5
+    rates = counts.select(F.col("y").alias("of"), rate.alias("rate"))
+    if labels <= BROADCAST_LABELS:
+        picked = given.join(F.broadcast(rates), F.col("y") == F.col("of"))
+    else:  # a frequent label is dealt over salts
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        picked = given.withColumn("s", F.pmod("h", F.lit(SALTS)).cast("int")).join(rates.withColumn("r", salts), (F.col("y") == F.col("of")) & (F.col("s") == F.col("r")))
+    got = picked.filter(unit < F.col("rate")).groupBy("y", "h").agg(F.first("t").alias("t")).collect()
+    discard(counts)
+    out, taken, held = [], Counter(), Counter()
     for r in sorted(got, key=lambda r: (r["h"], r["t"] or "")):
-        if taken.setdefault(r["y"], 0) < most:
+        n = len((r["t"] or "").encode())
+        if taken[r["y"]] < each and (held[r["y"]] + n <= most_bytes):
             taken[r["y"]] += 1
+            held[r["y"]] += n
             out.append((r["t"], r["y"]))
     return out
