@@ -5,19 +5,31 @@ Three stages, each of which compares whole normalised contents and not digests a
 1. *local*: the partial aggregate of the first `groupBy` merges equal contents inside each input task;
 2. *salted*: what the tasks kept meets by (digest, salt, content), where the salt comes from the input task, so
    that a group that holds a third of all rows is merged by `salts` tasks;
-3. *global*: the at most `salts` winners of a group meet by (digest, content).
+3. *global*: the at most `salts` winners of a group meet by digest and are merged by content.
 
-Every document then learns its group's winner through the digest, a second digest and the length.
+The last stage also counts the contents of every digest. A digest with a single content, as practically all have, is
+thereby shown to name one group, and documents learn their group's winner by it; those of a digest with several
+contents compare the contents again. Winners of large groups are broadcast (see `looked_up`), so no task gets a group.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cardloom.llm.shared import looked_up, staged
+
 WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
+SALTS = 16
+#: Digests of several contents that are named one by one; with more of them, every content is compared.
+MOST_NAMED = 10_000
+
+
+def sha256(content: Column) -> Column:
+    return F.sha2(content, 256)
 
 
 def normalised(text: Column) -> Column:
@@ -25,7 +37,40 @@ def normalised(text: Column) -> Column:
     return reduce(lambda c, w: F.replace(c, F.lit(w), F.lit("")), WHITE, F.coalesce(text, F.lit("")))
 
 
-def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", salts: int = 16, digest=lambda c: F.sha2(c, 256)) -> DataFrame:
+def _points(text: Column) -> Column:
+    return F.length(F.coalesce(text, F.lit(""))).cast("long")
+
+
+def _winners(docs: DataFrame, id_col: str, text_col: str, salts: int, digest: Callable[[Column], Column]) -> tuple[DataFrame, Callable[[Column, Column], Column]]:
+    """(w_key, w_id, w_n, w_size) of every group of two rows or more, and the key of a row from its digest and content."""
+    content = normalised(F.col(text_col))
+    # The order of the rank: most code points, an id rather than none, then the smallest id.
+    rank = F.struct(_points(F.col(text_col)).alias("n"), F.col(id_col).isNotNull().alias("known"), F.bitwise_not(F.col(id_col).cast("long")).alias("inverse"))
+    local = docs.select(digest(content).alias("digest"), content.alias("content"), rank.alias("best"), F.lit(1).cast("long").alias("size"), (F.spark_partition_id() % salts).alias("salt"))
+    merged = lambda keys, df: df.groupBy(*keys).agg(F.max("best").alias("best"), F.sum("size").alias("size"))
+    salted = merged(["digest", "salt", "content"], local)
+    groups = merged(["digest", "content"], salted.repartition("digest"))
+    several = F.count(F.lit(1)).over(Window.partitionBy("digest")) > 1
+    groups = groups.withColumn("several", several).filter("size > 1 OR several").withColumn("content", F.when(F.col("several"), F.col("content")))
+    found = staged(groups.select("digest", "content", "several", "size", F.col("best.n").alias("n"), F.bitwise_not("best.inverse").alias("id")))
+    named = [r[0] for r in found.filter("several").select("digest").distinct().limit(MOST_NAMED + 1).collect()]
+
+    def key(d: Column, c: Column) -> Column:
+        whole = F.concat(d, F.lit(":"), c)
+        return d if not named else whole if len(named) > MOST_NAMED else F.when(d.isin(named), whole).otherwise(d)
+
+    if len(named) > MOST_NAMED:  # then the contents of all groups are needed
+        full = merged(["digest", "content"], salted.repartition("digest")).filter("size > 1")
+        found = staged(full.select("digest", "content", F.lit(True).alias("several"), "size", F.col("best.n").alias("n"), F.bitwise_not("best.inverse").alias("id")))
+    w_key = F.when(F.col("several"), F.concat("digest", F.lit(":"), "content")).otherwise(F.col("digest"))
+    return found.filter("size > 1").select(w_key.alias("w_key"), F.col("id").alias("w_id"), F.col("n").alias("w_n"), F.col("size").alias("w_size")), key
+
+
+def _stays(doc_id: Column, n: Column) -> Column:
+    return F.col("w_size").isNull() | (doc_id.eqNullSafe(F.col("w_id")) & (n == F.col("w_n")))
+
+
+def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal contents the row with the most code points in its original text stays, then the one with the smallest id.
@@ -34,39 +79,41 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     null and `kept` is true. An empty table gives an empty result. Other columns are ignored, whatever their names.
     `digest` only spreads and finds groups: equal digests of different contents stay apart.
     """
-    text = F.col(text_col)
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.length(F.coalesce(text, F.lit(""))).cast("long").alias("n"),
-        normalised(text).alias("content"),
-    ).withColumn("digest", digest(F.col("content")))
-    # The struct's order: most code points, an id rather than none, then the smallest id.
-    rank = F.struct(F.col("n"), F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("neg"))
-    local = rows.select("digest", "content", rank.alias("best"), F.lit(1).cast("long").alias("size"), (F.spark_partition_id() % salts).alias("salt"))
-    merged = lambda keys, df: df.groupBy(*keys).agg(F.max("best").alias("best"), F.sum("size").alias("size"))
-    salted = merged(["digest", "salt", "content"], local)
-    groups = merged(["digest", "content"], salted)
-    winners = groups.filter("size > 1").select(
-        F.col("digest").alias("w_digest"),
-        F.xxhash64("content").alias("w_second"),
-        F.octet_length("content").alias("w_bytes"),
-        (-F.col("best.neg")).alias("w_id"),
-        F.col("best.n").alias("w_n"),
-        F.col("size").alias("w_size"),
-    )
-    members = rows.select("doc_id", "n", "digest", F.xxhash64("content").alias("second"), F.octet_length("content").alias("bytes"))
-    joined = members.join(winners, (F.col("digest") == F.col("w_digest")) & (F.col("second") == F.col("w_second")) & (F.col("bytes") == F.col("w_bytes")), "left")
-    alone = F.col("w_size").isNull()
-    keep = F.when(alone, F.col("doc_id")).otherwise(F.col("w_id"))
+    winners, key = _winners(docs, id_col, text_col, salts, digest)
+    rows = docs.select(F.col(id_col).alias("doc_id"), _points(F.col(text_col)).alias("n"), normalised(F.col(text_col)).alias("content"))
+    rows = rows.withColumn("digest", digest(F.col("content"))).select("doc_id", "n", "digest", key(F.col("digest"), F.col("content")).alias("w_key"))
+    joined = looked_up(rows, winners, "w_key", "w_size")
     return joined.select(
         "doc_id",
-        keep.alias("keep_id"),
+        F.when(F.col("w_size").isNull(), F.col("doc_id")).otherwise(F.col("w_id")).alias("keep_id"),
         F.coalesce("w_size", F.lit(1).cast("long")).alias("group_size"),
-        (alone | (F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("n") == F.col("w_n")))).alias("kept"),
+        _stays(F.col("doc_id"), F.col("n")).alias("kept"),
         F.col("digest").alias("text_sha256"),
     )
 
 
+def deduped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """The rows of `docs` that stay, all columns as they were: exactly one of each group of `exact_groups`.
+
+    Rows are told apart by their content, so a unique text stays whatever rows share its id. Of rows that share the
+    winner's id and length (repeated rows, null ids) one stays.
+    """
+    winners, key = _winners(docs, id_col, text_col, salts, digest)
+    w_key = key(digest(normalised(F.col(text_col))), normalised(F.col(text_col)))
+    slim = docs.select(F.col(id_col).alias("_id"), _points(F.col(text_col)).alias("_n"), w_key.alias("w_key"))
+    # Only keys whose winner stands for several rows need one of them picked; mostly there are none.
+    ties = staged(looked_up(slim, winners, "w_key", "w_size").filter(F.col("w_size").isNotNull() & _stays(F.col("_id"), F.col("_n"))).groupBy("w_key").count().filter("count > 1").select(F.col("w_key").alias("t_key")))
+    any_tied = ties.limit(1).count()
+    if any_tied:
+        winners = staged(winners.join(ties, F.col("w_key") == F.col("t_key"), "left").select(*winners.columns, F.col("t_key").isNotNull().alias("tied")))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("_id"), _points(F.col(text_col)).alias("_n"), w_key.alias("w_key"))
+    stay = looked_up(rows, winners, "w_key", "w_size").filter(_stays(F.col("_id"), F.col("_n")))
+    if not any_tied:
+        return stay.select("row.*")
+    one = stay.filter("tied").groupBy("w_key").agg(F.first("row").alias("row"))
+    return stay.filter("NOT coalesce(tied, false)").select("row.*").union(one.select("row.*"))
+
+
 ORACLE_SQL = r"""
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS c
