@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from cardloom.llm.arrays import Words, normal
 from cardloom.llm.components import components
-from cardloom.llm.shared import staged, sub_batches, texts
+from cardloom.llm.shared import looked_up, staged, sub_batches, texts
 
 SEED, RADIUS, SHINGLE = 42, 3, 3
 _LANES = np.array([sum(((b >> j) & 1) << (8 * j) for j in range(8)) for b in range(256)], np.uint64)
@@ -207,8 +207,10 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     fingerprint but never names one; a component of null ids only has a null id. An empty table gives an empty result.
     """
     rows = staged(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle))
-    # One node a fingerprint: its smallest id. An id that stands for two fingerprints (repeated ids) is linked below.
-    nodes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("id")))
-    found = components(links(nodes.filter("id IS NOT NULL"), radius=radius))
-    labels = nodes.join(found, nodes["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return rows.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # One node a fingerprint, so a fingerprint links others whatever ids it has.
+    nodes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")))
+    found = components(links(nodes.select(F.col("fp").alias("id"), "fp"), radius=radius))
+    labels = staged(nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "id", "n", F.coalesce("component", "fp").alias("component")))
+    least = staged(labels.groupBy("component").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("w")))
+    named = staged(looked_up(labels, least, "component", "w").select("fp", "n", "component_id"))
+    return looked_up(rows, named, "fp", "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
