@@ -15,12 +15,12 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.llm.arrays import U, Words, mix, normal, spans
 from cardloom.llm.components import components
-from cardloom.llm.shared import staged, sub_batches, texts
+from cardloom.llm.shared import looked_up, staged, sub_batches, texts
 from cardloom.llm.simhash import _LANES, SEED, BKTree
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -63,11 +63,11 @@ def prints_of(h: np.ndarray, count: np.ndarray) -> np.ndarray:
     return out
 
 
-def near_clusters(tree_side: list[tuple[int, int]], search_side: list[tuple[int, int]] | None) -> list[list[int]]:
+def near_clusters(tree_side: list[tuple], search_side: list[tuple] | None) -> list[list]:
     """The nodes that others within the radius lead to, by cluster; None searches the tree's own side."""
     tree, owners, parent = BKTree(), [], {}
 
-    def root(x: int) -> int:
+    def root(x):
         while (p := parent.setdefault(x, x)) != x:
             parent[x] = x = parent[p]
         return x
@@ -82,13 +82,13 @@ def near_clusters(tree_side: list[tuple[int, int]], search_side: list[tuple[int,
             for o in owners[at]:
                 if o != node and (x := root(o)) != (y := root(node)):
                     parent[x] = y
-    found: dict[int, list[int]] = {}
+    found: dict = {}
     for x in parent:
         found.setdefault(root(x), []).append(x)
     return [sorted(c) for c in found.values()]
 
 
-def similar_links(nodes: list[int], h: np.ndarray, count: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+def similar_links(nodes: list, h: np.ndarray, count: np.ndarray, similarity: float) -> list[tuple]:
     """Links that join what is similar, without those that close a cycle; `h` has the nodes' shingles, `count` of each."""
     _, code = np.unique(h, return_inverse=True)
     ends = np.cumsum(count)
@@ -123,7 +123,9 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], names: tuple
 
 
 def links(docs: DataFrame, *, similarity: float = SIMILARITY, shingle: int = SHINGLE, cap: int = 512) -> DataFrame:
-    """(a, b): nodes of `docs` (node, text) that are similar, enough of them to connect all that are found."""
+    """(a, b): nodes of `docs` (node, text) that are similar, enough of them to connect all that are found. A node is a long or a binary of a text."""
+    kind = docs.schema["node"].dataType.simpleString()
+    arrow = {"bigint": pa.int64(), "binary": pa.binary()}[kind]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sub_batches(batches, "text", 2 << 20):
@@ -132,19 +134,20 @@ def links(docs: DataFrame, *, similarity: float = SIMILARITY, shingle: int = SHI
             yield pa.record_batch({"node": b.column("node").filter(pa.array(count > 0)), "prints": prints})
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[int]] = {"cluster": [], "node": []}
+        held: dict[str, list] = {"cluster": [], "node": []}
+        table = lambda: pa.record_batch({"cluster": pa.array(held["cluster"], pa.int64()), "node": pa.array(held["node"], arrow)})
         whole = lambda a, b: (a & (2**64 - 1)) << 64 | b & (2**64 - 1)
         for (_, i, j), rows in _runs(batches, ("key", "i", "j"), ("node", "mine", "one", "two")):
             sides = {t: [(whole(a, b), node) for node, mine, a, b in rows if (mine == i) == t] for t in (True, False)}
             for nodes in near_clusters(sides[True], None if i == j else sides[False]):
                 # Named by its nodes: the same cluster of another band is the same.
-                name = xxhash.xxh64_intdigest(np.array(nodes, np.int64).tobytes(), SEED)
+                name = xxhash.xxh64_intdigest(b"".join(x if isinstance(x, bytes) else x.to_bytes(8, "little", signed=True) for x in nodes), SEED)
                 held["cluster"] += [name - (name >> 63 << 64)] * len(nodes)
                 held["node"] += nodes
             if len(held["node"]) > 10_000:
-                yield pa.record_batch({c: pa.array(v, pa.int64()) for c, v in held.items()})
+                yield table()
                 held = {"cluster": [], "node": []}
-        yield pa.record_batch({c: pa.array(v, pa.int64()) for c, v in held.items()})
+        yield table()
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def hashed() -> Iterator[pa.RecordBatch]:
@@ -156,10 +159,10 @@ def links(docs: DataFrame, *, similarity: float = SIMILARITY, shingle: int = SHI
         for _, rows in _runs(hashed(), ("cluster",), ("node", "set")):
             nodes, sets = zip(*rows, strict=True)
             if found := similar_links(list(nodes), np.frombuffer(b"".join(sets), U), np.array([len(x) // 8 for x in sets]), similarity):
-                yield pa.record_batch({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+                yield pa.record_batch({"a": pa.array([a for a, _ in found], arrow), "b": pa.array([b for _, b in found], arrow)})
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    prints = staged(docs.mapInArrow(sketch, "node long, prints array<long>")).dropDuplicates(["node"])
+    prints = staged(docs.mapInArrow(sketch, f"node {kind}, prints array<long>")).dropDuplicates(["node"])
     per = 64 // BAND
     at = lambda f: F.element_at("prints", f % PRINTS + 1)
     bands = [F.struct((F.lit(f * per + b << BAND) + F.shiftrightunsigned(at(f), b * BAND).bitwiseAND(F.lit((1 << BAND) - 1))).cast("int").alias("key"), at(f).alias("one"), at(f + 1).alias("two")) for f in range(PRINTS) for b in range(per)]
@@ -171,18 +174,49 @@ def links(docs: DataFrame, *, similarity: float = SIMILARITY, shingle: int = SHI
     cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("mine")).alias("i"), F.greatest(o, F.col("mine")).alias("j")))
     parted = keyed.join(F.broadcast(large), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("mine", mine)
     dealt = parted.select("key", "node", "mine", "one", "two", F.explode(cells).alias("c")).select("key", "c.i", "c.j", "node", "mine", "one", "two")
-    near = staged(dealt.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(search, "cluster long, node long").distinct())
+    near = staged(dealt.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(search, f"cluster long, node {kind}").distinct())
     read = docs.join(near.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    return near.join(read, "node").repartition(n, "cluster").sortWithinPartitions("cluster").mapInArrow(check, "a long, b long")
+    return near.join(read, "node").repartition(n, "cluster").sortWithinPartitions("cluster").mapInArrow(check, f"a {kind}, b {kind}")
+
+
+def _node(text_col: str) -> Column:
+    """A text's name: 128 bits of its SHA-256; null counts as empty."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), 1, 32))
+
+
+def _labels(docs: DataFrame, id_col: str, text_col: str, similarity: float, shingle: int) -> DataFrame:
+    """(node, n, component_id, rep_node, ties): of every text its rows, and its component's smallest id, the text of that and how many rows have both; staged."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _node(text_col).alias("node"), F.col(text_col).alias("text"))
+    by_id = rows.groupBy("node", "doc_id").agg(F.count(F.lit(1)).alias("c"))
+    best = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"), F.col("c").alias("c"))
+    nodes = by_id.groupBy("node").agg(F.min(best).alias("best"), F.sum("c").alias("n"))
+    found = components(links(rows.select("node", "text"), similarity=similarity, shingle=shingle))
+    named = staged(nodes.join(found, "node", "left").select("node", "n", "best", F.coalesce("component", "node").alias("component")))
+    top = F.struct("best.unknown", "best.id", "node", "best.c")
+    least = staged(named.groupBy("component").agg(F.min(top).alias("top"), F.count(F.lit(1)).alias("w")))
+    return staged(looked_up(named, least, "component", "w").select("node", "n", F.col("top.id").alias("component_id"), F.col("top.node").alias("rep_node"), F.col("top.c").alias("ties")))
 
 
 def near_text_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, component_id): one row per input row with the smallest id that similar texts lead to.
 
-    Equal texts are one node, whatever their ids; texts without words are similar to equal texts only. A row with a null
-    id is in its text's component but never names one. An empty table gives an empty result.
+    Equal texts are one node, whatever their ids, null as empty; texts without words are similar to equal texts only. A
+    row with a null id is in its text's component but never names one. An empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text"))
-    found = components(links(rows.select("node", "text"), similarity=similarity, shingle=shingle))
-    named = rows.select("doc_id", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    return named.join(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("doc_id", "component_id")
+    labels = _labels(docs, id_col, text_col, similarity, shingle)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _node(text_col).alias("node"))
+    return looked_up(rows, labels, "node", "n").select("doc_id", "component_id")
+
+
+def near_deduped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of `docs` that stay, all columns as they were: exactly one of each component, of the smallest id (a null id comes last).
+
+    Rows are told apart by their texts, so a row stays whatever rows share its id. Of rows that repeat id and text one stays.
+    """
+    labels = _labels(docs, id_col, text_col, similarity, shingle)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("_id"), _node(text_col).alias("node"))
+    stay = looked_up(rows, labels, "node", "n").filter((F.col("node") == F.col("rep_node")) & F.col("_id").eqNullSafe(F.col("component_id")))
+    if not labels.filter("node = rep_node AND ties > 1").limit(1).count():
+        return stay.select("row.*")
+    one = stay.filter("ties > 1").groupBy("node").agg(F.first("row").alias("row"))
+    return stay.filter("ties = 1").select("row.*").union(one.select("row.*"))
