@@ -68,6 +68,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_substring_dedup": substring_dedup.ORACLE_SQL,
     "op8_exact_dedup": exact_dedup.ORACLE_SQL,
     "op9_warc_fixity": warc.ORACLE_SQL,
 }

@@ -5,12 +5,14 @@ Consecutive windows that share a minimiser are a super-k-mer and travel as one p
 minimiser's bucket, where equal windows must meet; there they are sorted and their words compared.
 
 1. *Ranks*: a first pass counts super-k-mers by minimiser. Minimisers above `hot` of them rank behind all others, so
-   that only windows made of nothing but frequent k-grams share them; those are equal to one another in large numbers
-   and are merged before they travel. The hot list is bounded by its threshold (`HOT_MOST` entries) and broadcast.
+   that only windows made of nothing but frequent k-grams share them. Those windows go by a second minimiser of `LONG`
+   words, so that text made of frequent k-grams doesn't meet in one bucket. The hot list is bounded by its threshold
+   (`HOT_MOST` entries) and broadcast.
 2. *Map*: inside a batch of documents, sorted by id, a window that repeats an earlier one of the batch (words
    compared) is settled at once. The rest travels, packed by bucket and compressed.
 3. *Buckets*: each bucket sorts its windows by hash, document and start, compares the words of equal hashes, and
-   settles every window but the first.
+   settles every window but the first. A bucket larger than `CHUNK` bytes passes in chunks, of which only the windows
+   that are still first stay in memory, so copies of one passage cost no more than one.
 4. *Documents*: settled windows come back as word ranges of a document, which loses the words they cover.
 """
 
@@ -26,18 +28,28 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cardloom.llm.arrays import RangeHash, Words, mix, normal, spans
-from cardloom.llm.shared import staged, sub_batches, texts
+from cardloom.llm.shared import discard, staged, sub_batches, texts
 
-WINDOW, K = 20, 2
+WINDOW, K, LONG = 20, 2, 8
 #: Super-k-mers of one minimiser above which it is hot, and the most minimisers that can be hot.
 HOT_LEAST, HOT_MOST = 2_000, 500_000
-#: Super-k-mers to a bucket, on average.
-BUCKET = 50_000
+#: Super-k-mers to a bucket and buckets to a task, on average, and packed bytes of a bucket that are in memory at once.
+BUCKET, BUCKETS, CHUNK = 50_000, 8, 16 << 20
 _PACK = 4 << 20
 _U = np.uint64
 _NULL = np.iinfo(np.int64).min
 
 
+def leftmost_least(rank: np.ndarray, width: int) -> np.ndarray:
+    """Of every `width` values that stand together, the place of the least, the leftmost of equals: it depends on these values alone."""
+    at, have = np.arange(len(rank)), 1
+    while have < width:
+        step = min(have, width - have)
+        a, b = at[:-step], at[step:]
+        at, have = np.where(rank[b] < rank[a], b, a), have + step
+    return at
+
+
 class Batch:
     """The windows of a batch of documents in order of (id, text digest), and each window's minimiser."""
 
@@ -55,21 +67,22 @@ class Batch:
         self.at = np.flatnonzero(w.doc[: n - window + 1] == w.doc[window - 1 :])
         first = np.arange(n - k + 1)
         gram = self.word_hash(first, first + k)
-        #: Rank above, place below: of equal ranks the leftmost is the minimiser.
-        place_bits = _U(int(n).bit_length())
         rank = mix(gram ^ _U(0x5851F42D4C957F2D)) >> _U(1)
+        frequent = np.zeros(len(gram), bool)
         if len(hot):
-            at = np.minimum(np.searchsorted(hot, gram), len(hot) - 1)
-            rank |= (hot[at] == gram).astype(_U) << _U(63)
-        key = (rank >> place_bits << place_bits) | first.astype(_U)
-        width, have = window - k + 1, 1
-        low = key
-        while 2 * have <= width:
-            low, have = np.minimum(low[:-have], low[have:]), 2 * have
-        if have < width:
-            low = np.minimum(low[: len(low) - (width - have)], low[width - have :])
-        place = (low[self.at] & ((_U(1) << place_bits) - _U(1))).astype(np.int64)
-        self.place, self.minimiser = place, gram[place]
+            frequent = hot[np.minimum(np.searchsorted(hot, gram), len(hot) - 1)] == gram
+            rank |= frequent.astype(_U) << _U(63)
+        place = leftmost_least(rank, window - k + 1)[self.at]
+        minimiser = gram[place]
+        if frequent.any() and window > LONG > k:
+            rows = np.flatnonzero(frequent[place])
+            if len(rows):
+                start = np.arange(n - LONG + 1)
+                long = self.word_hash(start, start + LONG)
+                second = leftmost_least(mix(long ^ _U(0x2545F4914F6CDD1D)), window - LONG + 1)[self.at[rows]]
+                # Below zero, so that no place of one kind follows from one of the other.
+                place[rows], minimiser[rows] = -1 - second, mix(long[second])
+        self.place, self.minimiser = place, minimiser
 
     def runs(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the kept windows, the runs that follow one another and share a minimiser's place: index of the first window, number."""
@@ -111,7 +124,11 @@ def local_repeats(b: Batch) -> np.ndarray:
     """Of a batch's windows, whether an equal one comes earlier in the batch."""
     out = np.zeros(len(b.at), bool)
     if len(b.at):
-        again, lead = _repeats(b.word_hash(b.at, b.at + b.length), np.argsort(b.word_hash(b.at, b.at + b.length), kind="stable"))
+        code, owner = b.word_hash(b.at, b.at + b.length), b.words.doc[b.at]
+        # Windows are in order of document and start unless rows repeat an id; then starts decide.
+        plain = not (np.diff(b.ids) == 0).any()
+        order = np.argsort(code, kind="stable") if plain else np.lexsort((b.at - b.words.first[owner], b.ids[owner], code))
+        again, lead = _repeats(code, order)
         o = np.argsort(again)
         again, lead = again[o], lead[o]
         # Rows that repeat an id and a text are one document: of theirs, neither window is earlier.
@@ -138,9 +155,9 @@ def _unpack(blob: bytes, kinds: tuple) -> tuple[list[np.ndarray], bytes]:
 
 
 # Columns of a packed super-k-mer: id, text digest, first word, windows, bytes of its words.
-_SUPER = (np.int64, np.int32, np.int32, np.int32, np.int32)
+_SUPER = (np.int64, np.int64, np.int32, np.int32, np.int32)
 # Columns of a settled range: id, text digest, first word, word after the last.
-_RANGE = (np.int64, np.int32, np.int32, np.int32)
+_RANGE = (np.int64, np.int64, np.int32, np.int32)
 
 
 def ranges_of(ids: np.ndarray, marks: np.ndarray, start: np.ndarray, length: int) -> list[np.ndarray]:
@@ -151,7 +168,7 @@ def ranges_of(ids: np.ndarray, marks: np.ndarray, start: np.ndarray, length: int
     new[1:] = (np.diff(ids) != 0) | (np.diff(marks) != 0) | (np.diff(start) > length) | (np.diff(start) < 0)
     head = np.flatnonzero(new)
     last = np.append(head[1:], len(ids)) - 1
-    return [ids[head].astype(np.int64), marks[head].astype(np.int32), start[head].astype(np.int32), (start[last] + length).astype(np.int32)]
+    return [ids[head].astype(np.int64), marks[head].astype(np.int64), start[head].astype(np.int32), (start[last] + length).astype(np.int32)]
 
 
 def superkmers(b: Batch, repeat: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
@@ -177,8 +194,8 @@ def superkmers(b: Batch, repeat: np.ndarray, buckets: int) -> Iterator[tuple[int
         yield int(bucket[s]), _pack(*(c[s:e] for c in columns), text=text)
 
 
-def bucket_repeats(blobs: list[bytes], length: int) -> list[np.ndarray]:
-    """Ranges of the windows of a bucket that repeat an earlier window."""
+def bucket_repeats(blobs: list[bytes], length: int, rest: bool = False) -> tuple[list[np.ndarray], bytes | None]:
+    """Ranges of the windows of a bucket that repeat an earlier window; with `rest` also what is left, packed, each window of a document once."""
     parts = [_unpack(x, _SUPER) for x in blobs]
     ids, marks, first, count, size = (np.concatenate(c) for c in zip(*(p[0] for p in parts), strict=True))
     data = b" ".join(p[1] for p in parts)
@@ -218,7 +235,25 @@ def bucket_repeats(blobs: list[bytes], length: int) -> list[np.ndarray]:
         again = again[~twin]
     s = np.lexsort((start[again], marks[run[again]], ids[run[again]]))
     again = again[s]
-    return ranges_of(ids[run[again]], marks[run[again]], start[again], length)
+    settled = ranges_of(ids[run[again]], marks[run[again]], start[again], length)
+    if not rest:
+        return settled, None
+    keep = np.ones(len(at), bool)
+    keep[again] = False
+    # Rows that repeat an id and a text bring the same windows: one of each is enough.
+    left = np.flatnonzero(keep)
+    left = left[np.lexsort((start[left], marks[run[left]], ids[run[left]]))]
+    same = np.zeros(len(left), bool)
+    same[1:] = (np.diff(ids[run[left]]) == 0) & (np.diff(marks[run[left]]) == 0) & (np.diff(start[left]) == 0)
+    left = np.sort(left[~same])
+    new = np.ones(len(left), bool)
+    new[1:] = (np.diff(left) != 1) | (np.diff(run[left]) != 0)
+    head = np.flatnonzero(new)
+    n = np.diff(np.append(head, len(left)))
+    h = left[head]
+    low, high = w.starts[at[h]], w.ends[at[h] + n + length - 2] if len(h) else np.empty(0, np.int64)
+    columns = ids[run[h]], marks[run[h]], start[h].astype(np.int32), n.astype(np.int32), (high - low).astype(np.int32)
+    return settled, _pack(*columns, text=b" ".join(map(w.data.__getitem__, map(slice, low.tolist(), high.tolist()))))
 
 
 def _batches(batches: Iterator[pa.RecordBatch], window: int, k: int, hot: np.ndarray) -> Iterator[Batch]:
@@ -229,10 +264,10 @@ def _batches(batches: Iterator[pa.RecordBatch], window: int, k: int, hot: np.nda
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.hash(text).alias("mark"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
 
 
-def repeated_ranges(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = K, bucket: int = BUCKET, hot_least: int = HOT_LEAST) -> DataFrame:
+def repeated_ranges(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = K, bucket: int = BUCKET, hot_least: int = HOT_LEAST, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, mark, ranges): of each document with repeated windows the word ranges that they cover; `mark` is a hash of its text, which keeps rows apart that repeat an id."""
     spark, keyed = docs.sparkSession, _keyed(docs, id_col, text_col)
 
@@ -250,8 +285,10 @@ def repeated_ranges(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # At most HOT_MOST minimisers can have so large a share of the total.
     least = max(hot_least, total // HOT_MOST)
     hot = np.sort(np.array([r[0] for r in frequent.filter(F.col("n") >= least).select("gram").collect()], np.int64).view(_U))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(4 * n, total // bucket)
+    discard(frequent)
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // bucket)
+    # Tasks follow from the number of super-k-mers, so what one of them reads doesn't grow with the input.
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // BUCKETS)
     shared_hot = spark.sparkContext.broadcast(hot)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,22 +304,28 @@ def repeated_ranges(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             ids = pa.array(columns[0], mask=columns[0] == _NULL)
             return pa.record_batch([ids, *map(pa.array, columns[1:])], ["doc_id", "mark", "first", "past"])
 
-        now, blobs = None, []
+        now, blobs, held, limit = None, [], 0, chunk
         for batch in batches:
             for key, settled, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "settled", "blob")), strict=True):
                 if key != now:
                     if blobs:
-                        yield table(bucket_repeats(blobs, window))
-                    now, blobs = key, []
+                        yield table(bucket_repeats(blobs, window)[0])
+                    now, blobs, held, limit = key, [], 0, chunk
                 if settled:
                     yield table(_unpack(blob, _RANGE)[0])
-                else:
-                    blobs.append(blob)
+                    continue
+                blobs.append(blob)
+                held += len(blob)
+                if held > limit:
+                    ranges, left = bucket_repeats(blobs, window, rest=True)
+                    yield table(ranges)
+                    blobs, held = [left], len(left)
+                    limit = max(chunk, 2 * held)
         if blobs:
-            yield table(bucket_repeats(blobs, window))
+            yield table(bucket_repeats(blobs, window)[0])
 
-    settled = keyed.mapInArrow(send, "bucket long, settled boolean, blob binary").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(sort, "doc_id long, mark int, first int, past int")
-    return settled.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "past")).alias("ranges"))
+    settled = keyed.mapInArrow(send, "bucket long, settled boolean, blob binary").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(sort, "doc_id long, mark long, first int, past int")
+    return settled.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("first", "past")).alias("ranges"))
 
 
 def cut(text: bytes, first: list[int], past: list[int]) -> tuple[int, int, bytes]:
@@ -302,7 +345,7 @@ def _applied(docs: DataFrame, id_col: str, text_col: str, extra: list[str], sche
     """Joins documents with their ranges and maps every row; texts travel compressed, `extra` columns as a struct."""
     ranges = repeated_ranges(docs, id_col=id_col, text_col=text_col, **options)
     rest = F.struct(*(F.col(f"`{c}`") for c in extra)) if extra else F.lit(None).cast("int")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.hash(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), rest.alias("rest"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), rest.alias("rest"))
     kind = rows.schema["rest"].dataType.simpleString()
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,7 +354,7 @@ def _applied(docs: DataFrame, id_col: str, text_col: str, extra: list[str], sche
             z = [None if t is None else pack(t) for t in b.column("text").cast(pa.binary()).to_pylist()]
             yield pa.record_batch([b.column("doc_id"), b.column("mark"), pa.array(z, pa.binary()), b.column("rest")], ["doc_id", "mark", "z", "rest"])
 
-    keyed = rows.mapInArrow(squeeze, f"doc_id long, mark int, z binary, rest {kind}")
+    keyed = rows.mapInArrow(squeeze, f"doc_id long, mark long, z binary, rest {kind}")
     right = ranges.select(F.col("doc_id").alias("r_id"), F.col("mark").alias("r_mark"), F.col("ranges.first").alias("first"), F.col("ranges.past").alias("past"))
     joined = keyed.join(right, keyed["doc_id"].eqNullSafe(right["r_id"]) & (keyed["mark"] == right["r_mark"]), "left").drop("r_id", "r_mark", "mark")
 
@@ -331,6 +374,7 @@ def dedup_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     A window goes if the same words also start earlier: in a document of smaller id, or earlier in the same one. A null
     id counts as smaller than any other. Of rows that repeat an id, neither is earlier than the other at the same start;
     if the texts are equal too, they are one document and share the result. Null, empty and short texts keep all words.
+    Windows at the same start of rows with one id (null ids too) all stay in their bucket's memory, for none is earlier.
     """
 
     def make(b: pa.RecordBatch, raw: list, cuts: list) -> pa.RecordBatch:
@@ -356,3 +400,14 @@ def dedup_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     out = _applied(docs, id_col, text_col, extra, f"rest {kind}, text string, kept_text string, n_removed long", make, **options)
     columns = [F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns]
     return out.select(*columns, "kept_text", "n_removed")
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM d WHERE len(w) >= 20),
+r AS (SELECT doc_id, p, row_number() OVER (PARTITION BY array_to_string(w[p:p + 19], ' ') ORDER BY doc_id, p) AS n FROM s),
+c AS (SELECT DISTINCT doc_id, p + k AS p FROM r, range(20) AS t(k) WHERE n > 1),
+e AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d),
+k AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept FROM e ANTI JOIN c USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
