@@ -31,7 +31,9 @@ TERM, NEAR, FAR, STEM = 1, 2, 3, 4
 #: The context of a match.
 PLAIN, QUOTED, ADDRESSED = 0, 1, 2
 _STRIP = ".,;:!?\"'()[]{}«»“”„‘’|#$%&*…–—-"
-_MARK = re.compile("[\"«»“”„]")
+_MARK = re.compile("[\"'«»“”„‘’]")
+# Quotation marks that only open or only close when they stand alone; others may do either.
+_OPENS, _CLOSES = "«„‘", "»”’"
 # Words that report speech, and words that address someone, in the languages learned.
 REPORTING = frozenset("said says quote quoted quoting called term word wrote dit cite citation mot terme sagte zitat zitiert wort begriff dijo cita palabra llamado".split())
 ADDRESSING = frozenset("you your you're yours u tu toi vous votre ton du dich dir dein ihr euch usted ustedes tú ti vosotros".split())
@@ -130,6 +132,40 @@ class Automaton:
         return (STEM, stem) if stem >= 0 else (0, -1)
 
 
+def _edges(word: str) -> tuple[bool, bool, bool]:
+    """Whether a word has a quotation mark that opens (before its first letter or digit), one that closes (after its last), and whether it is nothing but marks."""
+    core = word.strip(_STRIP)
+    if not core:
+        marks = _MARK.findall(word)
+        return any(m not in _CLOSES for m in marks), any(m not in _OPENS for m in marks), True
+    at = word.index(core)
+    return bool(_MARK.search(word[:at])), bool(_MARK.search(word[at + len(core) :])), False
+
+
+def quoted(words: list[str], i: int) -> bool:
+    """Whether the nearest quotation marks within reach of word i, on its left one that opens and on its right one that closes, enclose it.
+
+    Marks of an earlier, closed quotation or of a later one don't count, nor does a stray mark such as that of inches.
+    """
+    opened = False
+    for j in range(i, max(-1, i - REACH - 1), -1):
+        opens, closes, alone = _edges(words[j])
+        if j < i and closes and not (alone and opens):
+            break
+        if opens:
+            opened = True
+            break
+    if not opened:
+        return False
+    for j in range(i, min(len(words), i + REACH + 1)):
+        opens, closes, alone = _edges(words[j])
+        if j > i and opens and not (alone and closes):
+            break
+        if closes:
+            return True
+    return False
+
+
 @dataclass
 class Model:
     """The lexicon with its log-odds, and the logistic weights of the context sums."""
@@ -167,11 +203,11 @@ class Model:
         hits = self.found(words)
         if not hits:
             return out
-        marks = np.cumsum([len(_MARK.findall(w)) for w in words]) if _MARK.search(text) else None
+        marked = bool(_MARK.search(text))
         seen = set()
         for i, kind, entry in hits:
             odds = (self.stem_odds if kind == STEM else self.term_odds)[entry]
-            out[(kind - 1) * 3 + self.context(words, marks, i)] += odds
+            out[(kind - 1) * 3 + self.context(words, marked, i)] += odds
             seen.add((kind == STEM, entry))
         out[:12] = np.log1p(out[:12])
         out[12] = np.log1p(len(hits))
@@ -179,15 +215,11 @@ class Model:
         out[14] = np.log1p(100 * len(hits) / len(words))
         return out
 
-    def context(self, words: list[str], marks: np.ndarray | None, i: int) -> int:
-        """Whether the window around a match quotes it, addresses someone, or neither."""
-        near = words[max(0, i - REACH) : i + REACH + 1]
-        if marks is not None:
-            # An odd number of marks before it, and a closing one within reach.
-            open_before = (int(marks[i]) - len(_MARK.findall(words[i]))) % 2 == 1 or bool(_MARK.match(words[i]))
-            if open_before and marks[min(len(words) - 1, i + REACH)] >= marks[i] and _MARK.search(" ".join(words[i : i + REACH + 1])):
-                return QUOTED
-        bare = {w.strip(_STRIP) for w in near}
+    def context(self, words: list[str], marked: bool, i: int) -> int:
+        """Whether the window around a match quotes it, addresses someone, or neither; `marked` if the text has quotation marks."""
+        if marked and quoted(words, i):
+            return QUOTED
+        bare = {w.strip(_STRIP) for w in words[max(0, i - REACH) : i + REACH + 1]}
         if bare & ADDRESSING:
             return ADDRESSED
         return QUOTED if bare & REPORTING else PLAIN
