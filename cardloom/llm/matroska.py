@@ -30,6 +30,8 @@ PCM = "A_PCM/INT/LIT"
 #: Samples a second, of a frame, frames of a laced block, and blocks of a cluster.
 RATE, FRAME, LACED, BLOCKS = 8000, 512, 4, 16
 UNIT = 64
+#: Sampling rates under this are none: a frame would last longer than timestamps can say.
+LEAST_RATE = 1e-3
 
 
 class Malformed(ValueError):
@@ -74,25 +76,33 @@ class Element:
     end: int
 
 
+def _header(data: bytes, at: int, end: int) -> tuple[int, int | None, int]:
+    """Id and size (None if unknown) of the element at a byte, and where its body begins."""
+    if at >= end or not data[at]:
+        raise Malformed(f"no id at byte {at}")
+    width = 9 - data[at].bit_length()
+    if width > 4 or at + width > end:
+        raise Malformed(f"no id at byte {at}")
+    size, body = read_size(data, at + width)
+    return int.from_bytes(data[at : at + width], "big"), size, body
+
+
 def elements(data: bytes, at: int, end: int) -> Iterator[Element]:
     """The elements one after the other in data[at:end]. One of unknown size runs to the next of its own level or the end."""
     while at < end:
         start = at
-        if not data[at]:
-            raise Malformed(f"no id at byte {at}")
-        width = 9 - data[at].bit_length()
-        if width > 4 or at + width > end:
-            raise Malformed(f"no id at byte {at}")
-        ident = int.from_bytes(data[at : at + width], "big")
-        size, body = read_size(data, at + width)
+        ident, size, body = _header(data, at, end)
         if size is None:
             stop = end
             if ident == CLUSTER:
                 stop = body
-                for child in elements(data, body, end):
-                    if child.ident in (CLUSTER, CUES, TRACKS, INFO):
+                while stop < end:
+                    child, length, inside = _header(data, stop, end)
+                    if child in (CLUSTER, CUES, TRACKS, INFO):
                         break
-                    stop = child.end
+                    if length is None:
+                        raise Malformed(f"an element of unknown size in a cluster at byte {stop}")
+                    stop = inside + length
             size = stop - body
         if body + size > end:
             raise Malformed(f"an element at byte {start} ends after its parent")
@@ -101,9 +111,18 @@ def elements(data: bytes, at: int, end: int) -> Iterator[Element]:
 
 
 def uint(data: bytes, e: Element) -> int:
+    if e.end - e.body > 8:
+        raise Malformed(f"an integer of more than 8 bytes at byte {e.start}")
     return int.from_bytes(data[e.body : e.end], "big")
 
 
+def real(data: bytes, e: Element) -> float:
+    """A float of 0 (zero), 4 or 8 bytes."""
+    if e.end - e.body not in (0, 4, 8):
+        raise Malformed(f"a float of {e.end - e.body} bytes at byte {e.start}")
+    return float(np.frombuffer(data[e.body : e.end], f">f{e.end - e.body}")[0]) if e.end > e.body else 0.0
+
+
 @dataclass
 class Packet:
     track: int
@@ -197,7 +216,9 @@ def _track(data: bytes, entry: Element, media: Media) -> None:
         elif x.ident == AUDIO:
             for a in elements(data, x.body, x.end):
                 if a.ident == SAMPLING:
-                    got["rate"] = float(np.frombuffer(data[a.body : a.end], f">f{a.end - a.body}")[0])
+                    got["rate"] = real(data, a)
+                    if not LEAST_RATE <= got["rate"] < np.inf:  # NaN included
+                        raise Malformed(f"no sampling rate at byte {a.start}")
                 elif a.ident == CHANNELS:
                     got["channels"] = uint(data, a)
                 elif a.ident == BIT_DEPTH:
@@ -231,6 +252,8 @@ def _cluster(data: bytes, cluster: Element, scale: int, media: Media) -> None:
         for i, (a, b) in enumerate(frames):
             # Frames of a lace follow one another: by the block's duration, else by their samples.
             later = duration * scale * i // len(frames) if duration is not None else round(passed * 1e9 / rate) if rate else 0
+            if not -(1 << 63) <= ns + later < 1 << 63:
+                raise Malformed(f"a timestamp out of range at byte {e.start}")
             media.packets.append(Packet(track, ns + later, bool(flags & 0x80), a, b, cluster.start))
             passed += (b - a) * 8 // bits
 
@@ -320,7 +343,7 @@ def packets(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "media
 
     A null file gives no row; one that is malformed gives one row with `error` and nulls.
     """
-    schema = "doc_id long, packet int, track int, timestamp_ns long, key boolean, first_byte long, past_byte long, cluster_byte long, error string"
+    schema = "doc_id long, packet int, track long, timestamp_ns long, key boolean, first_byte long, past_byte long, cluster_byte long, error string"
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +357,7 @@ def packets(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "media
                 except Malformed as why:
                     rows.append((ident, *[None] * 7, str(why)))
             if rows:
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media")).mapInArrow(run, schema)
