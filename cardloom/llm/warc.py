@@ -1,14 +1,15 @@
 """WARC records and a Merkle fixity audit of their replicas.
 
-An archive holds the records of a range of ids, each in the slot of its id. Slots hash their records, and ordered
-ranges of `FANOUT` children hash those of the level below up to the archive's root. An audit compares the roots of two
-replicas and then only the children of nodes that differ, down to the records.
+An archive holds the records of a range of ids, each in the slot of its id, in order of slot and digest. A slot's node
+hashes its records with their byte ranges; ordered ranges of `FANOUT` children hash the byte ranges and hashes of the
+level below, up to the archive's root. Ranges count from the start of their parent, so a record that changes its length
+moves no sibling's hash, while one that is moved, lost or added changes all nodes above it. An audit compares the roots
+of two replicas and then only the children of nodes that differ, down to the records, which are read there alone.
 """
 
 from __future__ import annotations
 
-import gzip
-import io
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,8 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cardloom.llm.shared import HOT_KEYS, staged
+
 SLOTS, FANOUT = 512, 8
 LEVELS = 3  # FANOUT ** LEVELS == SLOTS
+#: Distinct records of an archive above which it is split into parts by digest, unless one record in `HOT_KEYS` of all are more.
+MOST_RECORDS = 4096
+PLACE = ["archive", "part"]
 
 
 def record(page_id: Column, url: Column, html: Column) -> Column:
@@ -32,63 +38,105 @@ def record(page_id: Column, url: Column, html: Column) -> Column:
 
 
 def fixity(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
-    """(page_id, archive, slot, length, leaf): each page's record with its place and its SHA-256.
+    """(page_id, archive, slot, length, leaf, copies): each distinct record with its place, its SHA-256 and how many rows are alike.
 
     Pages with a null id are spread over archives below zero by their record's digest.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), record(F.col(id_col), F.col(url_col), F.col(body_col)).alias("r"))
     rows = rows.select("page_id", F.octet_length("r").cast("long").alias("length"), F.sha2("r", 256).alias("leaf"))
     spread = F.xxhash64("leaf")
-    return rows.select(
+    placed = rows.select(
         "page_id",
         F.when(F.col("page_id").isNull(), -1 - F.pmod(spread, F.lit(1 << 20))).otherwise(F.floor(F.col("page_id") / SLOTS)).cast("long").alias("archive"),
         F.when(F.col("page_id").isNull(), F.pmod(spread, F.lit(SLOTS))).otherwise(F.pmod("page_id", F.lit(SLOTS))).cast("int").alias("slot"),
-        "length",
-        "leaf",
-    )
+        "length", "leaf",
+    )
+    return placed.groupBy("page_id", "archive", "slot", "length", "leaf").agg(F.count(F.lit(1)).alias("copies"))
 
 
-def with_offsets(records: DataFrame) -> DataFrame:
-    """Adds each record's first byte in its archive: records stand by slot, then by digest."""
-    before = Window.partitionBy("archive").orderBy("slot", "leaf").rowsBetween(Window.unboundedPreceding, -1)
-    return records.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
+def placed(ours: DataFrame, theirs: DataFrame, most: int = MOST_RECORDS) -> tuple[DataFrame, DataFrame]:
+    """Both replicas' records with `part` and `offset`, the first byte in the archive's part, staged.
 
+    Archives of more than `most` records (repeated ids can fill one slot) are split by digest, in both replicas alike.
+    """
+    ours, theirs = staged(ours), staged(theirs)
+    sizes = ours.groupBy("archive").count().unionAll(theirs.groupBy("archive").count()).groupBy("archive").agg(F.max("count").alias("n"))
+    # At most 2 * HOT_KEYS archives can be above the second bound.
+    least = max(most, ours.count() // HOT_KEYS, theirs.count() // HOT_KEYS)
+    parts = F.broadcast(sizes.filter(F.col("n") > least).select("archive", F.ceil(F.col("n") / least).cast("int").alias("parts")))
+    before = Window.partitionBy(*PLACE).orderBy("slot", "leaf", "page_id").rowsBetween(Window.unboundedPreceding, -1)
 
-def levels(records: DataFrame) -> list[DataFrame]:
-    """The trees from slots to roots: (archive, node, hash) by level. Equal records of a slot count once, with their number."""
-    slot = (
-        records.groupBy("archive", F.col("slot").alias("node"), "leaf").count()
-        .groupBy("archive", "node").agg(F.sha2(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("leaf", "count"))), lambda x: F.concat(x["leaf"], F.lit("*"), x["count"].cast("string")))), 256).alias("hash"))
-    )
-    out = [slot]
-    for _ in range(LEVELS):
-        child = F.array_sort(F.collect_list(F.struct("node", "hash")))
-        named = F.transform(child, lambda x: F.concat(x["node"].cast("string"), F.lit(":"), x["hash"]))
-        out.append(out[-1].groupBy("archive", F.floor(F.col("node") / FANOUT).cast("int").alias("parent")).agg(F.sha2(F.concat_ws(",", named), 256).alias("hash")).withColumnRenamed("parent", "node"))
-    return out
+    def one(records: DataFrame) -> DataFrame:
+        part = F.coalesce(F.pmod(F.xxhash64("leaf"), F.col("parts")).cast("int"), F.lit(0))
+        return staged(records.join(parts, "archive", "left").withColumn("part", part).drop("parts").withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))))
+
+    return one(ours), one(theirs)
 
 
-def differing(a: list[DataFrame], b: list[DataFrame]) -> DataFrame:
-    """(archive, node) of the slots in which two replicas differ, found from the roots down."""
+def tree(records: DataFrame) -> DataFrame:
+    """(level, archive, part, node, start, bytes, hash) from slots (level 0) to roots, staged; an archive's nodes are made in one task.
+
+    A node hashes its children in order, each as its range of bytes from the node's start, and its hash or digest.
+    """
+
+    def over(children: DataFrame, node: Column, length: Column, name: Column) -> DataFrame:
+        item = F.struct(F.col("start").alias("s"), F.col("node").alias("k"), length.alias("n"), name.alias("h"))
+        nodes = children.groupBy(*PLACE, node.alias("at")).agg(F.array_sort(F.collect_list(item)).alias("c"), F.min("start").alias("start"), F.sum(length).alias("bytes"))
+        text = F.transform("c", lambda x: F.concat_ws(":", (x["s"] - F.col("start")).cast("string"), x["n"].cast("string"), x["k"], x["h"]))
+        return nodes.select(*PLACE, F.col("at").alias("node"), "start", "bytes", F.sha2(F.concat_ws(",", text), 256).alias("hash"))
+
+    dealt = records.repartition(*PLACE)
+    leaves = dealt.select(*PLACE, "slot", F.col("offset").alias("start"), F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("node"), "length", F.concat_ws("*", "leaf", F.col("copies").cast("string")).alias("name"))
+    now = over(leaves, F.col("slot"), F.col("length"), F.col("name"))
+    out = [now.withColumn("level", F.lit(0))]
+    for level in range(1, LEVELS + 1):
+        children = now.withColumn("up", F.floor(F.col("node") / FANOUT).cast("int")).withColumn("node", F.col("node").cast("string"))
+        now = over(children, F.col("up"), F.col("bytes"), F.col("hash"))
+        out.append(now.withColumn("level", F.lit(level)))
+    whole = out[0]
+    for more in out[1:]:
+        whole = whole.unionByName(more)
+    return staged(whole)
+
+
+def differing(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(archive, part, node) of the slots in which two trees differ, found from the roots down."""
     wrong = None
-    for left, right in zip(reversed(a), reversed(b), strict=True):
+    for level in range(LEVELS, -1, -1):
+        left, right = (t.filter(F.col("level") == level).select(*PLACE, "node", "hash") for t in (a, b))
         if wrong is not None:
-            up = wrong.withColumnRenamed("node", "parent")
-            under = lambda df: df.withColumn("parent", F.floor(F.col("node") / FANOUT).cast("int")).join(up, ["archive", "parent"], "left_semi")  # noqa: B023, E731
+            up = wrong.withColumnRenamed("node", "up")
+            under = lambda df: df.withColumn("up", F.floor(F.col("node") / FANOUT).cast("int")).join(up, [*PLACE, "up"], "left_semi").drop("up")  # noqa: B023, E731
             left, right = under(left), under(right)
-        both = left.select("archive", "node", F.col("hash").alias("h1")).join(right.select("archive", "node", F.col("hash").alias("h2")), ["archive", "node"], "full_outer")
-        wrong = both.filter(~F.col("h1").eqNullSafe(F.col("h2"))).select("archive", "node")
+        both = left.withColumnRenamed("hash", "h1").join(right.withColumnRenamed("hash", "h2"), [*PLACE, "node"], "full_outer")
+        wrong = staged(both.filter(~F.col("h1").eqNullSafe(F.col("h2"))).select(*PLACE, "node"))
     return wrong
 
 
-def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """Our records (see `fixity`) with `offset` and `ok`: false in the slots whose records the other replica doesn't hold alike.
+def audit(ours: DataFrame, theirs: DataFrame, *, most: int = MOST_RECORDS) -> DataFrame:
+    """(page_id, archive, part, slot, offset, length, leaf, copies, held, ok): every distinct record of either replica (see `fixity`).
 
-    Records that only the other replica has show by `ok` of their slot's records, if there are any; see `differing`
-    for their slots. Repeated records keep their number; an empty table gives an empty result.
+    `held` is `both`, `ours` or `theirs`; `ok` is true where both hold it, at the same place of its slot and as often. A
+    damaged record shows twice, as ours and as theirs. `offset`, `length` and `copies` are ours, or theirs where we hold
+    none. Only slots whose nodes differ are compared by record. Empty tables give an empty result.
     """
-    wrong = differing(levels(ours), levels(theirs)).select("archive", F.col("node").alias("slot"), F.lit(False).alias("ok"))
-    return with_offsets(ours).join(wrong, ["archive", "slot"], "left").withColumn("ok", F.coalesce("ok", F.lit(True)))
+    a, b = placed(ours, theirs, most)
+    wrong = differing(tree(a), tree(b)).withColumnRenamed("node", "slot")
+    columns = ["page_id", *PLACE, "slot", "offset", "length", "leaf", "copies"]
+    suspect = lambda df: df.join(wrong, [*PLACE, "slot"], "left_semi")
+    # A record's place in its slot: the bytes of the slot before it.
+    slot = Window.partitionBy(*PLACE, "slot")
+    at = lambda df: suspect(df).withColumn("at", F.col("offset") - F.min("offset").over(slot))
+    x, y = at(a).alias("x"), at(b).alias("y")
+    same = F.lit(True)
+    for c in (*PLACE, "slot", "page_id", "leaf"):
+        same = same & F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}"))
+    met = x.join(y, same, "full_outer")
+    held = F.when(F.col("y.slot").isNull(), "ours").when(F.col("x.slot").isNull(), "theirs").otherwise("both")
+    ok = (held == "both") & (F.col("x.at") == F.col("y.at")) & (F.col("x.copies") == F.col("y.copies"))
+    checked = met.select(*(F.when(F.col("x.slot").isNotNull(), F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")).alias(c) for c in columns), held.alias("held"), F.coalesce(ok, F.lit(False)).alias("ok"))
+    sound = a.join(wrong, [*PLACE, "slot"], "left_anti").select(*columns, F.lit("both").alias("held"), F.lit(True).alias("ok"))
+    return sound.unionByName(checked)
 
 
 @dataclass
@@ -97,39 +145,114 @@ class Record:
     length: int
     header: dict[str, str]
     body: bytes
+    error: str | None = None
+
+
+def _members(data: bytes) -> Iterator[tuple[int, bytes, str | None]]:
+    """(first byte, content, error) of the members of a gzip file; after damage, from the next member on."""
+    at = 0
+    while at < len(data):
+        unpack = zlib.decompressobj(31)
+        try:
+            content = unpack.decompress(data[at:])
+            error = None if unpack.eof else "a gzip member ends early"
+        except zlib.error as why:
+            content, error = b"", f"a damaged gzip member: {why}"
+        if error is None:
+            yield at, content, None
+            at = len(data) - len(unpack.unused_data)
+            continue
+        later = data.find(b"\x1f\x8b\x08", at + 1)
+        yield at, content, error
+        at = len(data) if later < 0 else later
 
 
 def parse(data: bytes) -> Iterator[Record]:
-    """The records of a WARC file, plain or compressed by record or as a whole; stops at what is no record."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.GzipFile(fileobj=io.BytesIO(data)).read()
+    """The records of a WARC file, plain or compressed by record or as a whole; what is no whole record has an `error`.
+
+    Offsets and lengths are those of the uncompressed bytes that can be read. Bytes between records, a record that ends
+    early, one without a length and a damaged gzip member each give a row of their own; reading goes on at the next
+    record or member.
+    """
+    if data[:2] != b"\x1f\x8b":
+        yield from _records(data, 0)
+        return
+    at, held = 0, b""
+    for _, content, error in _members(data):
+        if error is None:
+            held += content
+            continue
+        # What came before the damage may end within a record; it has to be read apart from what follows.
+        yield from _records(held, at)
+        at, held = at + len(held), b""
+        yield Record(at, len(content), {}, content, error)
+        at += len(content)
+    yield from _records(held, at)
+
+
+def _records(data: bytes, base: int) -> Iterator[Record]:
     at = 0
-    while data.startswith(b"WARC/", at):
+    while at < len(data):
+        if not data.startswith(b"WARC/", at):
+            later = data.find(b"\nWARC/", at)
+            end = len(data) if later < 0 else later + 1
+            if data[at:end].strip(b"\r\n"):
+                yield Record(base + at, end - at, {}, data[at:end], "no record")
+            at = end
+            continue
         stop = data.find(b"\r\n\r\n", at)
         if stop < 0:
+            yield Record(base + at, len(data) - at, {}, b"", "a header ends early")
             return
         lines = data[at:stop].decode("utf-8", "replace").split("\r\n")
         header = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        size = int(header.get("Content-Length", "0")) if header.get("Content-Length", "0").isdigit() else 0
-        end = stop + 4 + size + 4
-        yield Record(at, end - at, header, data[stop + 4 : stop + 4 + size])
-        at = end
+        size = next((v for k, v in header.items() if k.lower() == "content-length"), "")
+        body = stop + 4
+        if not (size.isascii() and size.isdigit()):
+            later = data.find(b"\nWARC/", body)
+            end = len(data) if later < 0 else later + 1
+            yield Record(base + at, end - at, header, data[body:end], "no length")
+            at = end
+            continue
+        end = body + int(size)
+        if end > len(data):
+            yield Record(base + at, len(data) - at, header, data[body:], "a record ends early")
+            return
+        past = end + 4 if data.startswith(b"\r\n\r\n", end) else end
+        yield Record(base + at, past - at, header, data[body:end])
+        at = past
+
+
+#: A row holds a file, so larger ones can't be read; they get a row that says so.
+MOST_BYTES = 2_000_000_000
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The records of WARC files: path, offset, length, type, record_id, url, body."""
-    names = ["path", "offset", "length", "type", "record_id", "url", "body"]
+    """The records of WARC files: path, offset, length, type, record_id, url, body, error (see `parse`).
+
+    A file of more than `MOST_BYTES` gives one row with an error; WARC files are cut at about a gigabyte by convention.
+    """
+    names = ["path", "offset", "length", "type", "record_id", "url", "body", "error"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.string()]
+        table = lambda rows: pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
         for batch in batches:
-            for p, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                rows = [(p, r.offset, r.length, r.header.get("WARC-Type"), r.header.get("WARC-Record-ID"), r.header.get("WARC-Target-URI"), r.body) for r in parse(data)]
+            for i in range(batch.num_rows):
+                p, rows, held = batch.column("path")[i].as_py(), [], 0
+                for r in parse(batch.column("content")[i].as_py()):
+                    rows.append((p, r.offset, r.length, r.header.get("WARC-Type"), r.header.get("WARC-Record-ID"), r.header.get("WARC-Target-URI"), r.body, r.error))
+                    held += len(r.body)
+                    if held > 32 << 20:
+                        yield table(rows)
+                        rows, held = [], 0
                 if rows:
-                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    yield table(rows)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "path string, offset long, length long, type string, record_id string, url string, body binary")
+    found = spark.read.format("binaryFile").load(path)
+    small = found.filter(F.col("length") <= MOST_BYTES).select("path", "content").mapInArrow(run, "path string, offset long, length long, type string, record_id string, url string, body binary, error string")
+    large = found.filter(F.col("length") > MOST_BYTES).select("path", F.lit(0).cast("long").alias("offset"), "length", *(F.lit(None).cast(k).alias(c) for c, k in (("type", "string"), ("record_id", "string"), ("url", "string"), ("body", "binary"))), F.lit("a file too large for a row").alias("error"))
+    return small.unionByName(large)
 
 
 def damaged(pages: DataFrame, every: int = 97) -> DataFrame:
@@ -140,21 +263,27 @@ def damaged(pages: DataFrame, every: int = 97) -> DataFrame:
 
 def audited(pages: DataFrame) -> DataFrame:
     """The query's rows: an audit of all pages against a damaged replica."""
-    return audit(fixity(pages), fixity(damaged(pages))).select("page_id", "archive", "slot", "offset", "length", F.col("leaf").alias("record_sha256"), "ok")
+    return audit(fixity(pages), fixity(damaged(pages))).withColumnRenamed("leaf", "record_sha256")
 
 
 ORACLE_SQL = r"""
-WITH r AS (
-  SELECT page_id, html, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id
+WITH v AS (
+  SELECT page_id, url, html, 'ours' AS side FROM pages
+  UNION ALL SELECT page_id, url, CASE WHEN page_id % 97 = 13 THEN chr(1) || substr(html, 2) ELSE html END, 'theirs' FROM pages
+), r AS (
+  SELECT page_id, side, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id
     || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
     || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS rec
-  FROM pages
+  FROM v
 ), h AS (
-  SELECT page_id, page_id // 512 AS archive, CAST(page_id % 512 AS INTEGER) AS slot, CAST(strlen(rec) AS BIGINT) AS length, sha256(rec) AS record_sha256,
-         NOT (page_id % 97 = 13 AND length(coalesce(html, '')) > 0 AND left(html, 1) <> chr(1)) AS ok
-  FROM r
-)
-SELECT page_id, archive, slot, CAST(coalesce(sum(length) OVER (PARTITION BY archive ORDER BY slot, record_sha256 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
-       length, record_sha256, ok
-FROM h
+  SELECT page_id, side, page_id // 512 AS archive, CAST(page_id % 512 AS INTEGER) AS slot, CAST(strlen(rec) AS BIGINT) AS length, sha256(rec) AS record_sha256 FROM r
+), o AS (
+  SELECT *, CAST(coalesce(sum(length) OVER (PARTITION BY side, archive ORDER BY slot, record_sha256 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM h
+), a AS (SELECT * FROM o WHERE side = 'ours'), b AS (SELECT * FROM o WHERE side = 'theirs')
+SELECT a.page_id, a.archive, 0 AS part, a.slot, a."offset", a.length, a.record_sha256, CAST(1 AS BIGINT) AS copies,
+  CASE WHEN b.page_id IS NULL THEN 'ours' ELSE 'both' END AS held, b.page_id IS NOT NULL AS ok
+FROM a LEFT JOIN b ON b.page_id = a.page_id AND b.record_sha256 = a.record_sha256
+UNION ALL
+SELECT b.page_id, b.archive, 0, b.slot, b."offset", b.length, b.record_sha256, CAST(1 AS BIGINT), 'theirs', false
+FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.page_id = b.page_id AND a.record_sha256 = b.record_sha256)
 """
