@@ -79,12 +79,34 @@ class SegmentTree:
             nodes[i] = min(nodes[2 * i], nodes[2 * i + 1])
 
 
+# The only normaliser, splitter and model options that `Encoder` follows, as a tokenizer file states them.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+_PLAIN = ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges", "fuse_unk")
+_ADDED = ("single_word", "lstrip", "rstrip", "normalized")
+
+
+def unsupported(spec: dict) -> list[str]:
+    """What a tokenizer file asks for that `Encoder` doesn't do; its ids would differ without a sign."""
+    split = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [None, None]
+    levels = {k: v for k, v in (split[-1] or {}).items() if k != "trim_offsets"}
+    wrong = [] if spec["model"].get("type") == "BPE" else ["model"]
+    wrong += [] if spec.get("normalizer") == _NORMALIZER else ["normalizer"]
+    wrong += [] if split[:-1] == [_SPLIT] and levels == _BYTES else ["pre_tokenizer"]
+    wrong += ["decoder"] if spec.get("decoder") else []
+    wrong += [k for k in _PLAIN if spec["model"].get(k)]
+    return wrong + [f"added token {t['content']!r}" for t in spec["added_tokens"] if any(t.get(k) for k in _ADDED)]
+
+
 class Vocabulary:
-    """A tokenizer file's vocabulary, merges and added tokens."""
+    """A tokenizer file's vocabulary, merges and added tokens. Raises ValueError for a file that asks for something else than `Encoder` does."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if wrong := unsupported(spec):
+            raise ValueError(f"{path}: not supported: {', '.join(wrong)}")
         model = spec["model"]
         self.ids: dict[str, int] = model["vocab"]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
