@@ -4,7 +4,8 @@ import pytest
 
 import corpus_pipeline as cp
 from cardloom.llm.shared import staged
-from tests.llm.test_operators import brute_components, brute_fingerprint, brute_windows
+from tests.llm.test_near_texts import shingles, similar
+from tests.llm.test_operators import brute_components, brute_windows
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,8 +29,8 @@ def test_stages(spark, steps):
     for i, t in before.items():
         best.setdefault("".join(t.split()), []).append((-len(t), i))
     assert set(text(single)) == {min(v)[1] for v in best.values()}
-    fps = {i: brute_fingerprint(t) for i, t in text(single).items()}
-    groups = brute_components([(a, b) for a in fps for b in fps if (fps[a] ^ fps[b]).bit_count() <= 3])
+    sets = {i: shingles(t) for i, t in text(single).items()}
+    groups = brute_components([(i, i) for i in sets] + [(a, b) for a in sets for b in sets if a < b and similar(sets[a], sets[b])])
     assert set(text(near)) == {i for i, c in groups.items() if i == c}
     windows = brute_windows(list(text(near).items()))
     for r in cut.collect():
@@ -44,6 +45,21 @@ def test_run_is_the_stages(spark, steps):
     assert rows(cp.run(spark, SF)) == rows(steps[-1])
 
 
+def test_rows_go_and_not_ids(spark):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    words = [f"word{i}" for i in range(60)]
+    other = " ".join(reversed(words))
+    near = " ".join([*words[:59], "changed"])
+    rows = [(1, "a copied text", "en", "s", 1), (2, "a copied text", "en", "s", 1), (2, "a unique text", "en", "s", 1), (3, other, "en", "s", 1), (3, other, "en", "s", 1)]
+    rows += [(None, "null ids", "en", "s", 1), (None, "null ids", "en", "t", 1), (4, " ".join(words), "en", "s", 1), (5, near, "en", "s", 1), (5, "shares an id with a near copy", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, schema)
+    left = staged(cp.exact(spark, docs, SF))
+    assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == sorted([(1, "a copied text"), (2, "a unique text"), (3, other), (0, "null ids"), (4, " ".join(words)), (5, near), (5, "shares an id with a near copy")])
+    for start in (docs, left):
+        out = sorted((r.doc_id or 0, r.text) for r in cp.near(spark, start, SF).collect())
+        assert out == sorted([(1, "a copied text"), (2, "a unique text"), (3, other), (0, "null ids"), (4, " ".join(words)), (5, "shares an id with a near copy")])
+
+
 def test_nulls_and_nothing(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", None, 0), (1, "same id", None, None, 7)], docs.schema)
