@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns the columns of
 `documents`; the last returns where every piece of every document goes. Empty tables pass through, nulls in any column
-are allowed, and rows that share an id are kept or dropped together where an id names what goes.
+are allowed, and rows are told apart by their texts: what a row shares its id with doesn't matter.
 """
 
 from __future__ import annotations
@@ -22,18 +22,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.confident(docs, langid.fit(docs), least=LEAST_SHARE)
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    return docs.join(gone.select(F.col("doc_id").alias("_gone")).distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
-
-
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal documents, leaves the one that `exact_groups` keeps."""
-    return _without(docs, exact_dedup.exact_groups(docs).filter("NOT kept"))
+    """Of equal documents, leaves one row: the one that `exact_groups` keeps."""
+    return exact_dedup.deduped(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of texts that share at least 0.8 of their five-word shingles, leaves the document of the smallest id."""
-    return _without(docs, near_texts.near_text_groups(docs).filter("doc_id <> component_id"))
+    """Of each component of texts that share at least 0.8 of their five-word shingles, leaves one row, of the smallest id."""
+    return near_texts.near_deduped(docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
