@@ -52,14 +52,14 @@ def numbered(rows: DataFrame, order: str, after: DataFrame, key: str) -> DataFra
     """Adds `key`: the largest in `after`, plus each row's rank by `order`, which has no ties.
 
     Ranks come from counts of ranges of the order, so that no task sees all rows: a row's rank is its rank in its range
-    and the sizes of the ranges before.
+    and the sizes of the ranges before. There is a range for every shuffle partition; their bounds, so many whole
+    numbers, are all that reaches the driver, and a row finds its range by halving.
     """
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = [r for r in rows.select(F.percentile_approx(order, [i / parts for i in range(1, parts)], 1000).alias("q")).first()["q"] or []] if parts > 1 else []
-    bounds = sorted(set(bounds))
-    edge = sum((F.when(F.col(order) > b, 1).otherwise(0) for b in bounds), F.lit(0)) if bounds else F.lit(0)
-    cut = rows.withColumn("_range", edge)
+    cuts = [i / parts for i in range(1, parts)]
+    bounds = sorted(set(rows.select(F.percentile_approx(order, cuts, max(10_000, 10 * parts)).alias("q")).first()["q"] or [])) if cuts else []
+    cut = rows.withColumn("_range", range_of(F.col(order), bounds))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = cut.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     base = after.agg(F.coalesce(F.max(key), F.lit(0)).alias("_max"))
@@ -67,6 +67,17 @@ def numbered(rows: DataFrame, order: str, after: DataFrame, key: str) -> DataFra
     return cut.withColumn("_rank", rank).join(F.broadcast(sizes), "_range").crossJoin(F.broadcast(base)).withColumn(key, (F.col("_max") + F.col("_base") + F.col("_rank")).cast(after.schema[key].dataType)).drop("_range", "_rank", "_base", "_max")
 
 
+def range_of(value: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are below a whole number: one array and a step for each of its halvings, however many there are."""
+    if not bounds:
+        return F.lit(0)
+    # A text that is split makes one literal; a literal for each bound makes a plan as large as the list.
+    listed = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<long>")
+    steps = [1 << i for i in range(len(bounds).bit_length() - 1, -1, -1)]
+    further = lambda n, step: F.when((n + step <= len(bounds)) & (F.get(listed, n + step - 1) < value), n + step).otherwise(n)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), further)
+
+
 def upsert_students(extractions: DataFrame, students: DataFrame) -> DataFrame:
     """The students after all arrivals: Id, NumeroDocumento and the rest.
 
@@ -146,6 +157,20 @@ def consolidate(extractions: DataFrame, users: DataFrame, students: DataFrame, p
     return Tables(s, p, append_documents(x, s, p, documents, uploaded), unknown_users(extractions, users))
 
 
+def verified(documents: DataFrame, students: DataFrame, programs: DataFrame, users: DataFrame, written: DataFrame) -> DataFrame:
+    """(Id, stored, student, program, user): of each document of a batch whether the tables, read again after the write, have it and all that it refers to.
+
+    `documents` are the rows that were to be written, `written` the table as it is now. The four lookups are semi joins
+    on keys, so a document shows once however often a table repeats a key.
+    """
+    there = lambda df, key, to: df.select(F.col(key).alias(to)).distinct().withColumn(f"_{to}", F.lit(True))
+    out = documents.select("Id", "EstudianteId", "ProgramaId", "UsuarioId")
+    for table, key, to in ((written, "Id", "Id"), (students, "Id", "EstudianteId"), (programs, "id", "ProgramaId"), (users, "Id", "UsuarioId")):
+        out = out.join(there(table, key, to), to, "left")
+    flags = {"stored": "_Id", "student": "_EstudianteId", "program": "_ProgramaId", "user": "_UsuarioId"}
+    return out.select("Id", *(F.col(c).isNotNull().alias(n) for n, c in flags.items()))
+
+
 def register(requests: DataFrame, users: DataFrame) -> DataFrame:
     """New users from requests (seq, email, name, last_name, password_hash): the first of each address that no user has."""
     fresh = requests.groupBy(F.col("email").alias("Email")).agg(F.min(F.struct("seq", "name", "last_name", "password_hash")).alias("r"))
@@ -154,7 +179,7 @@ def register(requests: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def count_logins(users: DataFrame, logins: DataFrame) -> DataFrame:
-    """`users` with ConteoIngresos raised by the verified logins (email) of each; users without any keep theirs."""
-    n = logins.groupBy(F.col("email").alias("Email")).agg(F.count(F.lit(1)).alias("_n"))
+    """`users` with ConteoIngresos raised by the verified logins (email, verified) of each; users without any keep theirs."""
+    n = logins.filter("verified").groupBy(F.col("email").alias("Email")).agg(F.count(F.lit(1)).alias("_n"))
     raised = F.when(F.col("_n").isNotNull(), F.coalesce("ConteoIngresos", F.lit(0)) + F.col("_n").cast("int")).otherwise(F.col("ConteoIngresos"))
     return users.join(n, "Email", "left").withColumn("ConteoIngresos", raised).drop("_n").select(*users.columns)
