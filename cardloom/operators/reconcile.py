@@ -44,11 +44,20 @@ def compare(general: DataFrame, crop: DataFrame) -> DataFrame:
     return both.withColumn("r", compared(F.col("field"), F.col("general"), F.col("crop"))).select("doc_id", "field", "general", "crop", "r.*")
 
 
-def precedence(text: DataFrame, general: DataFrame, crop: DataFrame) -> DataFrame:
-    """(doc_id, field, value): label over crop over embedded text."""
-    chosen = compare(general, crop).select("doc_id", "field", F.col("value").alias("chosen"))
-    t = text.select("doc_id", "field", F.col("value").alias("text"))
-    return chosen.join(t, ["doc_id", "field"], "full_outer").select("doc_id", "field", F.coalesce("chosen", "text").alias("value")).filter("value IS NOT NULL")
+def merged(candidates: DataFrame) -> DataFrame:
+    """(doc_id, field, text, general, crop): the outcomes of the three merges side by side, null for none, from one pass over all candidates (with `source`)."""
+    f, v, of = F.col("field"), F.col("value"), F.col("source")
+    value = F.when(of == "crop", T.clean_field(f, v)).when(T.valid(f, v), v)
+    usable = candidates.select("doc_id", "field", "source", "page_no", value.alias("value")).filter("value IS NOT NULL")
+    page = lambda name: F.when(of == name, F.col("page_no"))
+    return usable.groupBy("doc_id", "field").agg(
+        F.min_by("value", page("text")).alias("text"), F.max_by("value", page("general")).alias("general"), F.max_by("value", page("crop")).alias("crop"),
+    )
+
+
+def precedence(candidates: DataFrame) -> DataFrame:
+    """(doc_id, field, value): label over crop over embedded text; what is merged is valid already."""
+    return merged(candidates).select("doc_id", "field", F.coalesce("general", "crop", "text").alias("value"))
 
 
 def rebuild_name(final: DataFrame, crop: DataFrame) -> DataFrame:
@@ -83,7 +92,6 @@ def envelope(text: DataFrame, ocr: DataFrame) -> DataFrame:
     `text` is `extract_by_lines`, `ocr` is `wide`; a document may be missing from either.
     """
     names = [c for c in text.columns if c != "doc_id"]
-    t = text.select("doc_id", F.struct(*names).alias("t"))
     as_map = lambda cols: F.map_filter(F.create_map(*(x for c in cols for x in (F.lit(c), F.col(c).cast("string")))), lambda _, v: v.isNotNull())
     t = text.select("doc_id", T.useful(*(F.col(c) for c in ("numero_documento", "nombre_completo", "fecha_nacimiento", "sexo", "rh"))).alias("ok"), as_map(names).alias("t"))
     o = ocr.select("doc_id", as_map([c for c in ocr.columns if c != "doc_id"]).alias("o"))
