@@ -9,31 +9,38 @@ from cardloom.functions import text as T
 
 # Line ends, and what marks a heading line.
 LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
-HEADINGS = ("REPUBLICA", "COLOMBIA", "IDENTIFICACION", "IDENTIFICACIÓN", "CEDULA", "REPUBLICA DE COLOMBIA", "IDENTIFICACIÓN PERSONAL", "CEDULA DE CIUDADANÍA", "CEDULA DE CIUDADANIA")
+HEADINGS = ("REPUBLICA", "REPUBLICA DE COLOMBIA", "COLOMBIA", "IDENTIFICACION", "IDENTIFICACIÓN", "IDENTIFICACIÓN PERSONAL", "CEDULA DE CIUDADANÍA", "CEDULA DE CIUDADANIA", "CEDULA")
 TEXT_FIELDS = ("nombre_completo", "numero_documento", "fecha_nacimiento", "sexo", "lugar_nacimiento", "fecha_expedicion", "nacionalidad", "rh")
 
 
+def _split(text: Column) -> Column:
+    parts = F.split(text, LINE_ENDS)
+    return F.when(text == "", F.array().cast("array<string>")).when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+
 def explode_lines(pages: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line_no, raw) from 0; an empty rest after the last line end is no line, and null or empty texts have none."""
-    parts = F.split(F.col(text_col), LINE_ENDS)
-    kept = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return pages.filter(F.col(text_col) != "").select(F.col(id_col).alias("doc_id"), F.posexplode(kept).alias("line_no", "raw"))
+    return pages.filter(F.col(text_col) != "").select(F.col(id_col).alias("doc_id"), F.posexplode(_split(F.col(text_col))).alias("line_no", "raw"))
 
 
-def trim_headings(lines: DataFrame) -> DataFrame:
-    """Drops up to three heading lines at the top and numbers the rest from 0."""
-    plain = T.upper_plain(T.strip(F.col("raw")))
+def _headings_end(raw: Column) -> Column:
+    """How many lines at the top of a document are headings, three at most."""
+    plain = T.upper_plain(T.strip(raw))
     heading = F.lit(False)
     for h in HEADINGS:
         heading = heading | F.contains(plain, F.lit(h))
     whole = Window.partitionBy("doc_id")
     first_other = F.min(F.when(~heading, F.col("line_no"))).over(whole)
-    drop = F.least(F.lit(3), F.coalesce(first_other, F.max("line_no").over(whole) + 1))
-    return lines.withColumn("_drop", drop).filter("line_no >= _drop").select("doc_id", (F.col("line_no") - F.col("_drop")).alias("line_no"), "raw")
+    return F.least(F.lit(3), F.coalesce(first_other, F.max("line_no").over(whole) + 1))
 
 
-def with_context(lines: DataFrame) -> DataFrame:
-    """Adds to each line: `plain`, the two lines before and the one after, and the document's `kind` so far."""
+def trim_headings(lines: DataFrame) -> DataFrame:
+    """Drops up to three heading lines at the top and numbers the rest from 0."""
+    return lines.withColumn("_drop", _headings_end(F.col("raw"))).filter("line_no >= _drop").select("doc_id", (F.col("line_no") - F.col("_drop")).alias("line_no"), "raw")
+
+
+def with_context(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Adds to each line: `plain`, the two lines before and the one after, and the document's `kind` so far; `keep` names columns to carry along."""
     w = Window.partitionBy("doc_id").orderBy("line_no")
     plain = T.upper_plain(T.strip(F.col("raw")))
     event = F.when(F.col("plain").rlike("APELLIDOS?|NOMBRES?"), "antigua").when(F.contains("plain", F.lit("NUIP")), "nueva")
@@ -42,7 +49,7 @@ def with_context(lines: DataFrame) -> DataFrame:
         lines.withColumn("plain", plain)
         .withColumn("event", event)
         .select(
-            "doc_id", "line_no", "raw", "plain",
+            "doc_id", "line_no", "raw", "plain", *keep,
             T.strip(F.lag("raw", 1).over(w)).alias("before"), T.strip(F.lag("raw", 2).over(w)).alias("before2"), T.strip(F.lead("raw", 1).over(w)).alias("after"),
             F.coalesce(so_far, F.lit("desconocido")).alias("kind"),
         )
@@ -73,10 +80,10 @@ def writes(lines: DataFrame) -> dict[str, Column]:
     }
 
 
-def fold(lines: DataFrame) -> DataFrame:
-    """One row a document of `with_context` with the last assignment to each field."""
+def fold(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row a document of `with_context` with the last assignment to each field; columns of `keep` are alike in all its lines."""
     folds = [F.max_by(v, F.when(v.isNotNull(), F.col("line_no"))).alias(k) for k, v in writes(lines).items()]
-    return lines.groupBy("doc_id").agg(*folds)
+    return lines.groupBy("doc_id").agg(*folds, *(F.max(c).alias(c) for c in keep))
 
 
 def longest_number(text: Column) -> Column:
@@ -101,18 +108,22 @@ def extract_by_lines(pages: DataFrame, as_of: Column, *, id_col: str = "doc_id",
     Of several assignments the last one wins. The number and the name have fallbacks over the whole text; ages count
     to `as_of`. Rows without a text keep nulls; ids are expected to be unique.
     """
-    lines = with_context(trim_headings(explode_lines(pages, id_col=id_col, text_col=text_col)))
-    fields = fold(lines).withColumnRenamed("doc_id", "_id")
-    t = F.col(text_col)
-    joined = pages.join(fields, F.col(id_col) == F.col("_id"), "left")
-    number = F.coalesce(T.some(F.col("numero_documento")), longest_number(t), F.col("numero_documento"))
-    name = F.coalesce(T.some(F.col("nombre_completo")), T.some(capital_name(t)), F.col("nombre_completo"))
-    return joined.select(
-        F.col(id_col).alias("doc_id"), name.alias("nombre_completo"), number.alias("numero_documento"), "fecha_nacimiento", "sexo",
+    t, carried = F.col(text_col), ("_number", "_name")
+    # What the whole text says goes with its lines, so texts are neither shuffled nor joined again.
+    whole = pages.select(F.col(id_col).alias("doc_id"), longest_number(t).alias("_number"), capital_name(t).alias("_name"), _split(t).alias("_lines"))
+    lines = whole.select("doc_id", *carried, F.size(F.coalesce("_lines", F.array().cast("array<string>"))).alias("_n"), F.posexplode_outer("_lines").alias("line_no", "raw"))
+    # The last line stays even if it is a heading, then without a text: a document needs a row.
+    lines = lines.withColumn("_drop", _headings_end(F.col("raw"))).filter("line_no IS NULL OR line_no >= _drop OR line_no = _n - 1").withColumn("raw", F.when(F.col("line_no") >= F.col("_drop"), F.col("raw")))
+    found = fold(with_context(lines, carried), carried)
+    number = F.coalesce(T.some(F.col("numero_documento")), "_number", "numero_documento")
+    name = F.coalesce(T.some(F.col("nombre_completo")), T.some(F.col("_name")), "nombre_completo")
+    return found.select(
+        "doc_id", name.alias("nombre_completo"), number.alias("numero_documento"), "fecha_nacimiento", "sexo",
         "lugar_nacimiento", "fecha_expedicion", "nacionalidad", "rh", T.age(F.col("fecha_nacimiento"), as_of).alias("edad"),
     )
 
 
+# Fixed values from here on: the patterns of fields in whole texts.
 _NAME = r"([A-ZÁÉÍÓÚÑ\s]+)"
 
 
