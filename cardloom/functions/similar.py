@@ -1,8 +1,12 @@
-"""Similarity of short texts by matching blocks, for pairs that the native cases don't settle."""
+"""Similarity of short texts by matching blocks, and what labels a page's lines resemble."""
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections.abc import Callable
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,15 +16,14 @@ from pyspark.sql.types import DoubleType
 from cardloom.functions import text as T
 
 
+@lru_cache(1 << 18)
+def _blocks(a: str, b: str) -> float:
+    return SequenceMatcher(None, a, b).ratio()
+
+
 @F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    known: dict[tuple[str, str], float] = {}
-    out = []
-    for pair in zip(a, b, strict=True):
-        if pair not in known:
-            known[pair] = 0.0 if pair[0] is None or pair[1] is None else SequenceMatcher(None, *pair).ratio()
-        out.append(known[pair])
-    return pd.Series(out, dtype="float64")
+    return pd.Series([0.0 if x is None or y is None else _blocks(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def similarity_normal(a: Column, b: Column) -> Column:
@@ -35,3 +38,88 @@ def similarity_normal(a: Column, b: Column) -> Column:
 def similarity(a: Column, b: Column) -> Column:
     """Similarity of two texts from 0 to 1: 1 if equal after normalisation, 0.95 if one contains the other, else twice the matching blocks over both lengths."""
     return similarity_normal(T.normalize(a), T.normalize(b))
+
+
+def plain(text: str) -> str:
+    """`T.normalize` of one short text, for dictionaries."""
+    bare = "".join(c for c in unicodedata.normalize("NFD", text.upper()) if unicodedata.category(c) != "Mn")
+    return re.sub("[^A-Z0-9+#.]+", " ", bare).strip()
+
+
+def likeness(a: str, b: str) -> float:
+    """`similarity_normal` of two normalised texts."""
+    if not a or not b:
+        return 0.0
+    return 1.0 if a == b else 0.95 if a in b or b in a else _blocks(a, b)
+
+
+class PageReader:
+    """Compares a page's normalised lines with label dictionaries, the fields' and those of the two sides of a card."""
+
+    #: Distinct lines and words whose outcomes are remembered.
+    REMEMBERED = 1 << 16
+
+    def __init__(self, labels: dict[str, tuple[str, ...]], sides: tuple[tuple[str, ...], tuple[str, ...]], find: float, exclude: float, side_word: float, inside: float):
+        self.table = [(field, label, plain(label)) for field, variants in labels.items() for label in variants]
+        self.sides = [[plain(label) for label in side] for side in sides]
+        self.find, self.exclude, self.side_word, self.inside = find, exclude, side_word, inside
+        self.lines: dict[str, tuple[list[tuple[str, str, str, float]], bool]] = {}
+        self.words: dict[str, list[frozenset[str]]] = {}
+
+    def by_line(self, norm: str) -> tuple[list[tuple[str, str, str, float]], bool]:
+        """Of each field that a line resembles its best label, the first of equals; and whether the line counts as a label itself."""
+        best: dict[str, tuple[str, str, float]] = {}
+        pieces = [norm, *(w for w in norm.split() if len(w) >= 3)]
+        labelled = False
+        for field, label, label_norm in self.table:
+            contained = label_norm != "" and label_norm in norm
+            score = max(self.inside if contained else 0.0, *(likeness(p, label_norm) for p in pieces))
+            labelled |= norm != "" and (contained or likeness(norm, label_norm) >= self.exclude)
+            if score >= self.find and (field not in best or score > best[field][2]):
+                best[field] = label, label_norm, score
+        return [(f, *b) for f, b in best.items()], labelled
+
+    def near_side(self, word: str) -> list[frozenset[str]]:
+        return [frozenset(x for x in side if likeness(word, x) >= self.side_word) for side in self.sides]
+
+    def read(self, norms: list[str]) -> dict:
+        """What `page_reader` says of a page."""
+        for known in (self.lines, self.words):
+            if len(known) > self.REMEMBERED:
+                known.clear()
+        best: dict[str, dict] = {}
+        flags = []
+        for i, norm in enumerate(norms):
+            if norm not in self.lines:
+                self.lines[norm] = self.by_line(norm)
+            hits, labelled = self.lines[norm]
+            flags.append(labelled)
+            for field, label, label_norm, score in hits:
+                if field not in best or score > best[field]["score"]:
+                    best[field] = {"field": field, "line": i, "label": label, "label_norm": label_norm, "score": score}
+        text = re.sub(" +", " ", " ".join(norms)).strip()
+        near = []
+        for w in set(text.split()):
+            if w not in self.words:
+                self.words[w] = self.near_side(w)
+            near.append(self.words[w])
+        points = [sum(2 if x and x in text else int(any(x in n[k] for n in near)) for x in side) for k, side in enumerate(self.sides)]
+        return {"found": list(best.values()), "is_label": flags, "front": points[0], "back": points[1]}
+
+
+def page_reader(labels: dict[str, tuple[str, ...]], sides: tuple[tuple[str, ...], tuple[str, ...]], find: float, exclude: float, side_word: float, inside: float) -> Callable[[Column], Column]:
+    """A function of a page's normalised lines, an array from the top, that compares them with label dictionaries.
+
+    Its outcome is a struct: `found` (field, line, label, label_norm, score), of each field the line and label most
+    alike from `find` on, the first line and label of equals; `is_label` by line, whether it contains a label or is
+    alike from `exclude` on; `front` and `back`, the points of the two dictionaries of `sides`: two for a label inside
+    the page's text, one for a word alike from `side_word` on. A label inside a line counts `inside`.
+    """
+    reader = PageReader(labels, sides, find, exclude, side_word, inside)
+    schema = "found array<struct<field string, line int, label string, label_norm string, score double>>, is_label array<boolean>, front int, back int"
+
+    @F.pandas_udf(schema)
+    def run(pages: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([reader.read(list(p)) for p in pages], columns=["found", "is_label", "front", "back"])
+
+    return run

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cardloom.functions import text as T
-from cardloom.functions.similar import similarity_normal
+from cardloom.functions.similar import page_reader
 
 # Label variants of each field, zones of each template, and what tells a card's side.
 LABELS = {
@@ -40,6 +40,8 @@ SIDE_FIELDS["desconocido"] = SIDE_FIELDS["anverso"] + SIDE_FIELDS["reverso"]
 CONFIDENCE, TOLERANCE_PX, TOLERANCE_HEIGHT = 15.0, 12.0, 0.6
 FIND, EXCLUDE, SIDE_WORD, INSIDE = 0.62, 0.75, 0.70, 0.96
 CARD_ASPECT = 85.60 / 53.98
+#: Least score of a card, least share and aspects of a region, and its padding.
+ACCEPT, LEAST_REGION, REGION_ASPECT, PADDING = 0.45, 0.05, (1.10, 2.20), 0.01
 PAGE = ["doc_id", "page_no"]
 
 
@@ -118,49 +120,42 @@ def label_table(spark: SparkSession, labels: dict[str, tuple[str, ...]] = LABELS
     return spark.createDataFrame(rows, "field string, label_ord int, label string").withColumn("label_norm", T.normalize(F.col("label")))
 
 
+def _pages(lines: DataFrame, *columns: Column, labels: dict[str, tuple[str, ...]] = LABELS, find: float = FIND, exclude: float = EXCLUDE) -> DataFrame:
+    """(doc_id, page_no, lines, seen): the lines of each page from the top, as structs of `norm` and `columns`, and what they resemble (see `page_reader`).
+
+    Lines come dealt by page from their numbering, so nothing is shuffled here, and every page is read once.
+    """
+    read = page_reader(labels, (FRONT_LABELS, BACK_LABELS), find, exclude, SIDE_WORD, INSIDE)
+    line = F.struct("line_no", "norm", *columns)
+    pages = lines.groupBy(*PAGE).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    return pages.withColumn("seen", read(F.transform("lines", lambda l: l["norm"])))
+
+
 def find_labels(lines: DataFrame, labels: dict[str, tuple[str, ...]] = LABELS, threshold: float = FIND) -> DataFrame:
     """(doc_id, page_no, field, line_no, label, label_norm, score): of each field the line and label most alike, if alike enough.
 
     A label inside a line counts 0.96. Words of three characters or more are compared too. Ties go to the first line,
-    then to the first label. Similarities are computed once for each distinct pair of texts.
+    then to the first label.
     """
-    spark = lines.sparkSession
-    table = F.broadcast(label_table(spark, labels))
-    base = lines.select(*PAGE, "line_no", "norm")
-    words = F.filter(F.split("norm", " "), lambda w: F.length(w) >= 3)
-    texts = base.select(*PAGE, "line_no", "norm", F.explode(F.array_union(F.array("norm"), words)).alias("piece")).filter("piece <> ''")
-    pairs = texts.select("piece").distinct().crossJoin(table.select("label_norm").distinct())
-    scored = pairs.withColumn("score", similarity_normal(F.col("piece"), F.col("label_norm"))).filter(F.col("score") >= threshold)
-    inside = base.crossJoin(table).filter((F.col("label_norm") != "") & F.contains("norm", "label_norm")).select(*PAGE, "line_no", "field", "label_ord", "label", "label_norm", F.lit(INSIDE).alias("score"))
-    alike = texts.join(scored, "piece").join(table, "label_norm").select(*PAGE, "line_no", "field", "label_ord", "label", "label_norm", "score")
-    best = F.struct(F.col("score"), (-F.col("line_no")).alias("l"), (-F.col("label_ord")).alias("o"), F.col("label"), F.col("label_norm"))
-    found = inside.unionByName(alike).groupBy(*PAGE, "field").agg(F.max(best).alias("b"))
-    return found.select(*PAGE, "field", (-F.col("b.l")).alias("line_no"), "b.label", "b.label_norm", "b.score")
+    found = _pages(lines, labels=labels, find=threshold).select(*PAGE, "lines", F.explode("seen.found").alias("f"))
+    return found.select(*PAGE, "f.field", F.get("lines", F.col("f.line"))["line_no"].alias("line_no"), "f.label", "f.label_norm", "f.score")
 
 
 def resembles_label(lines: DataFrame, labels: dict[str, tuple[str, ...]] = LABELS, threshold: float = EXCLUDE) -> DataFrame:
-    """Adds `is_label`: whether a line's text contains or resembles any label."""
-    table = F.broadcast(label_table(lines.sparkSession, labels).select("label_norm").distinct())
-    pairs = lines.select("norm").distinct().crossJoin(table)
-    alike = F.contains("norm", "label_norm") | (similarity_normal(F.col("norm"), F.col("label_norm")) >= threshold)
-    hits = pairs.filter((F.col("norm") != "") & alike).select("norm").distinct().withColumn("is_label", F.lit(True))
-    return lines.join(hits, "norm", "left").withColumn("is_label", F.coalesce("is_label", F.lit(False)))
+    """`lines` with `is_label`: whether a line's text contains or resembles any label."""
+    rest = [c for c in lines.columns if c not in (*PAGE, "line_no", "norm")]
+    pages = _pages(lines, *(F.col(f"`{c}`") for c in rest), labels=labels, exclude=threshold)
+    out = pages.select(*PAGE, F.explode(F.arrays_zip("lines", F.col("seen.is_label").alias("is_label"))).alias("z")).select(*PAGE, "z.lines.*", "z.is_label")
+    return out.select(*(F.col(f"`{c}`") for c in lines.columns), "is_label")
+
+
+def _side(front: Column, back: Column) -> Column:
+    return F.when(front > back, "anverso").when(back > front, "reverso").otherwise("desconocido")
 
 
 def detect_side(lines: DataFrame) -> DataFrame:
     """(doc_id, page_no, front, back, lado): a label inside the page counts two, a word like it one; more points win."""
-    spark = lines.sparkSession
-    rows = [("front", i, x) for i, x in enumerate(FRONT_LABELS)] + [("back", i, x) for i, x in enumerate(BACK_LABELS)]
-    table = F.broadcast(spark.createDataFrame(rows, "side string, k int, label string").withColumn("label_norm", T.normalize(F.col("label"))))
-    pages = lines.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("line_no", "norm"))).alias("ls")).select(*PAGE, T.normalize(F.array_join(F.transform("ls", lambda l: l["norm"]), " ")).alias("all"))
-    words = pages.select(*PAGE, F.explode(F.array_distinct(F.split("all", " "))).alias("word")).filter("word <> ''")
-    alike = words.select("word").distinct().crossJoin(table.select("label_norm").distinct()).withColumn("s", similarity_normal(F.col("word"), F.col("label_norm"))).filter(F.col("s") >= SIDE_WORD)
-    near = words.join(alike, "word").select(*PAGE, "label_norm").distinct().withColumn("near", F.lit(1))
-    whole = pages.crossJoin(table).withColumn("inside", F.contains("all", "label_norm")).join(near, [*PAGE, "label_norm"], "left")
-    points = F.when(F.col("inside"), 2).otherwise(F.coalesce("near", F.lit(0)))
-    side = lambda s: F.sum(F.when(F.col("side") == s, points).otherwise(0)).cast("int")
-    both = whole.groupBy(*PAGE).agg(side("front").alias("front"), side("back").alias("back"))
-    return both.withColumn("lado", F.when(F.col("front") > F.col("back"), "anverso").when(F.col("back") > F.col("front"), "reverso").otherwise("desconocido"))
+    return _pages(lines).select(*PAGE, "seen.front", "seen.back", _side(F.col("seen.front"), F.col("seen.back")).alias("lado"))
 
 
 def _first(values: Column) -> Column:
@@ -168,6 +163,45 @@ def _first(values: Column) -> Column:
     return F.get(F.filter(values, lambda v: v.isNotNull()), F.lit(0))
 
 
+def _with_letters(lines: DataFrame, **options) -> DataFrame:
+    letters = F.filter(F.transform("items", lambda i: T.normalize(i["text"])), lambda t: t.isin("M", "F"))
+    return _pages(lines, F.col("text"), letters.alias("letters"), **options)
+
+
+def _with_value(x: DataFrame) -> DataFrame:
+    """Adds `value`: what the label `hit` (a struct of `found`, or null) of `field` leads to among `lines`, with `seen.is_label`."""
+    field, hit, n = F.col("field"), F.col("hit"), F.coalesce("hit.line", F.lit(0))
+    # The lines around the label, each made once: three above from the nearest, its own, two below.
+    around = F.slice(F.arrays_zip("lines", F.col("seen.is_label").alias("is_label")), F.greatest(n - 2, F.lit(1)), F.least(n, F.lit(3)) + 3)
+    marked = F.transform(around, lambda z: F.struct(z["lines"]["text"].alias("text"), z["lines"]["norm"].alias("norm"), z["lines"]["letters"].alias("letters"), z["is_label"].alias("is_label")))
+    x = x.withColumns({"_marked": marked, "_at": F.least(n, F.lit(3)), "_label": F.coalesce("hit.label_norm", F.lit(""))})
+    x = x.withColumns({
+        "_up": F.reverse(F.slice("_marked", F.lit(1), F.col("_at"))), "_here": F.get("_marked", F.col("_at")),
+        "_down": F.slice("_marked", F.col("_at") + 2, F.lit(2)), "_texts": F.transform(F.slice("_marked", F.col("_at") + 1, F.lit(3)), lambda l: l["text"]),
+    })
+    up, here, down, here_and_below, label_norm = F.col("_up"), F.col("_here"), F.col("_down"), F.col("_texts"), F.col("_label")
+    plain = lambda ls: F.filter(ls, lambda l: (l["text"] != "") & ~l["is_label"])
+    valid_clean = lambda t: T.let(T.clean_text(t), lambda v: F.when(T.valid(field, v), v))
+    above = _first(F.transform(plain(F.slice(up, 1, 2)), lambda l: valid_clean(l["text"])))
+    place_lines = F.slice(F.filter(plain(up), lambda l: T.parse_date(l["text"]).isNull()), 1, 2)
+    place = valid_clean(F.array_join(F.reverse(F.transform(place_lines, lambda l: l["text"])), " "))
+    rest = F.trim(F.replace(here["norm"], label_norm, F.lit("")))
+    behind = F.when(F.length(rest) >= 3, valid_clean(rest))
+    below = _first(F.transform(plain(down), lambda l: valid_clean(l["text"])))
+    letters = here["letters"]
+    sex = F.when(F.size(letters) > 0, T.sex(F.element_at(letters, -1))).otherwise(T.sex(F.get(F.flatten(F.transform(down, lambda l: l["letters"])), F.lit(0))))
+    value = (
+        F.when(field == "numero_documento", _first(F.transform(here_and_below, lambda t: T.match(t, r"\d{6,12}"))))
+        .when(field == "fecha_nacimiento", _first(F.transform(here_and_below, T.parse_date)))
+        .when(field == "sexo", sex)
+        .when(field == "tipo_sangre", _first(F.transform(here_and_below, T.blood)))
+        .when(field.isin("apellidos", "nombres"), above)
+        .when(field == "lugar_nacimiento", place)
+        .when(field == "nacionalidad", F.coalesce(behind, below))
+    )
+    return x.withColumn("value", F.when(hit.isNotNull(), value)).drop("_marked", "_at", "_label", "_up", "_here", "_down", "_texts")
+
+
 def extract_by_labels(lines: DataFrame, fields: DataFrame | None = None) -> DataFrame:
     """(doc_id, page_no, field, value): of each field with a label the value that its place beside the label suggests.
 
@@ -175,50 +209,23 @@ def extract_by_labels(lines: DataFrame, fields: DataFrame | None = None) -> Data
     of two lines above, the birth place on two of three above, the nationality behind the label or below, where no
     line that is a label counts. `fields` (doc_id, page_no, field) limits what is looked for.
     """
-    w = Window.partitionBy(*PAGE).orderBy("line_no")
-    letters = F.filter(F.transform("items", lambda i: T.normalize(i["text"])), lambda t: t.isin("M", "F"))
-    line = F.struct(F.col("text").alias("text"), F.col("is_label").alias("is_label"), letters.alias("letters"))
-    ctx = resembles_label(lines).withColumn("line", line).select(
-        *PAGE, "line_no", "norm", "text", letters.alias("letters"),
-        F.reverse(F.collect_list("line").over(w.rowsBetween(-3, -1))).alias("up"), F.collect_list("line").over(w.rowsBetween(1, 2)).alias("down"),
-    )
-    found = find_labels(lines)
+    x = _with_letters(lines).select(*PAGE, "lines", "seen", F.explode("seen.found").alias("hit")).withColumn("field", F.col("hit.field"))
     if fields is not None:
-        found = found.join(fields.select(*PAGE, "field"), [*PAGE, "field"], "left_semi")
-    x = found.select(*PAGE, "field", "line_no", "label_norm").join(ctx, [*PAGE, "line_no"])
-    here_and_below = F.concat(F.array("text"), F.transform("down", lambda l: l["text"]))
-    plain = lambda ls: F.filter(ls, lambda l: (l["text"] != "") & ~l["is_label"])
-    valid_clean = lambda t: T.let(T.clean_text(t), lambda v: F.when(T.valid(F.col("field"), v), v))
-    above = _first(F.transform(plain(F.slice("up", 1, 2)), lambda l: valid_clean(l["text"])))
-    place_lines = F.slice(F.filter(plain(F.col("up")), lambda l: T.parse_date(l["text"]).isNull()), 1, 2)
-    place = valid_clean(F.array_join(F.reverse(F.transform(place_lines, lambda l: l["text"])), " "))
-    rest = F.trim(F.replace(F.col("norm"), F.col("label_norm"), F.lit("")))
-    behind = F.when(F.length(rest) >= 3, valid_clean(rest))
-    below = _first(F.transform(plain(F.col("down")), lambda l: valid_clean(l["text"])))
-    sex_here = F.element_at("letters", -1)
-    sex = F.when(F.size("letters") > 0, T.sex(sex_here)).otherwise(T.sex(F.get(F.flatten(F.transform("down", lambda l: l["letters"])), F.lit(0))))
-    value = (
-        F.when(F.col("field") == "numero_documento", _first(F.transform(here_and_below, lambda t: T.match(t, r"\d{6,12}"))))
-        .when(F.col("field") == "fecha_nacimiento", _first(F.transform(here_and_below, T.parse_date)))
-        .when(F.col("field") == "sexo", sex)
-        .when(F.col("field") == "tipo_sangre", _first(F.transform(here_and_below, T.blood)))
-        .when(F.col("field").isin("apellidos", "nombres"), above)
-        .when(F.col("field") == "lugar_nacimiento", place)
-        .when(F.col("field") == "nacionalidad", F.coalesce(behind, below))
-    )
-    return x.select(*PAGE, "field", value.alias("value"))
+        x = x.join(fields.select(*PAGE, "field"), [*PAGE, "field"], "left_semi")
+    return _with_value(x).select(*PAGE, "field", "value")
 
 
 def by_labels(lines: DataFrame) -> DataFrame:
     """(doc_id, page_no, lado, field, value): the fields of each page's side, found by label and cleaned; null for none.
 
-    A birth date is found in ISO form, which the cleaner doesn't take, so it comes out null here.
+    A birth date is found in ISO form, which the cleaner doesn't take, so it comes out null here. A page is read once
+    for its side, its labels and its values, with no join.
     """
-    rows = [(lado, f) for lado, fs in SIDE_FIELDS.items() for f in fs]
-    sides = F.broadcast(lines.sparkSession.createDataFrame(rows, "lado string, field string"))
-    wanted = detect_side(lines).select(*PAGE, "lado").join(sides, "lado")
-    got = extract_by_labels(lines, wanted).withColumn("value", T.clean_field(F.col("field"), F.col("value")))
-    return wanted.join(got, [*PAGE, "field"], "left").select(*PAGE, "lado", "field", "value")
+    wanted = F.create_map(*(x for lado, fs in SIDE_FIELDS.items() for x in (F.lit(lado), F.array(*map(F.lit, fs)))))
+    pages = _with_letters(lines).withColumn("lado", _side(F.col("seen.front"), F.col("seen.back")))
+    x = pages.select(*PAGE, "lado", "lines", "seen", F.explode(F.element_at(wanted, F.col("lado"))).alias("field"))
+    x = x.withColumn("hit", F.get(F.filter("seen.found", lambda f: f["field"] == F.col("field")), F.lit(0)))
+    return _with_value(x).select(*PAGE, "lado", "field", T.clean_field(F.col("field"), F.col("value")).alias("value"))
 
 
 def zone_table(spark: SparkSession) -> DataFrame:
@@ -245,6 +252,15 @@ def zone_boxes(pages: DataFrame) -> DataFrame:
     return boxes.filter("right > left AND bottom > top")
 
 
+def zone_values(readings: DataFrame) -> DataFrame:
+    """(doc_id, page_no, template, field, value): of every zone the first of its `readings` (an array) with a text, cleaned; null if it has none.
+
+    The readings are a recogniser's, see `sources.recognise.zones`; rows without a field, of files that failed, are left out.
+    """
+    first = _first(F.transform("readings", lambda r: T.some(T.strip(r))))
+    return readings.filter("field IS NOT NULL").select(*PAGE, "template", "field", T.clean_field(F.col("field"), first).alias("value"))
+
+
 def order_corners(points: Column) -> Column:
     """Corners (arrays x, y) as top left, top right, bottom right, bottom left, by their sums and differences; the first of equals."""
     at = lambda p, i: F.element_at(p, i)
@@ -258,6 +274,48 @@ def order_corners(points: Column) -> Column:
     return F.array(pick(total, False), pick(diff, False), pick(total, True), pick(diff, True))
 
 
+def convex(points: Column) -> Column:
+    """Whether four points (arrays x, y), in their order, turn the same way at every corner; false for another number of points."""
+    at = lambda i, j: F.element_at(F.element_at(points, i % 4 + 1), j)
+    turn = lambda i: (at(i + 1, 1) - at(i, 1)) * (at(i + 2, 2) - at(i + 1, 2)) - (at(i + 1, 2) - at(i, 2)) * (at(i + 2, 1) - at(i + 1, 1))
+    turns = [turn(i) for i in range(4)]
+    every = lambda ok: ok(turns[0]) & ok(turns[1]) & ok(turns[2]) & ok(turns[3])
+    return F.when(F.size(points) == 4, every(lambda t: t >= 0) | every(lambda t: t <= 0)).otherwise(False)
+
+
+def choose_card(images: DataFrame, quads: DataFrame, regions: DataFrame) -> DataFrame:
+    """(doc_id, detected, method, score, aspect, corners, box) of every image (doc_id, width, height).
+
+    Of its `quads` (doc_id, ord, area, points) the convex one of the highest `score_card`, the first of equals, if that
+    is at least 0.45. Else of its `regions` (doc_id, ord, area, x, y, w, h) the largest of those that fill a twentieth
+    of the image and are 1.10 to 2.20 times as wide as high, as a box padded by a hundredth of the shorter side. Else
+    the whole image. Scores and aspects are rounded to four places, corners to two.
+    """
+    size = images.select("doc_id", "width", "height")
+    length = lambda a, b: F.sqrt(F.pow(a[0] - b[0], 2) + F.pow(a[1] - b[1], 2))
+    whole = (F.col("width") * F.col("height")).cast("double")
+    aspect = lambda c: (length(c[1], c[0]) + length(c[2], c[3])) / (length(c[3], c[0]) + length(c[2], c[1]))
+    rated = T.let(order_corners(F.col("points")), lambda c: F.struct(score_card(F.col("area"), c, F.col("width"), F.col("height")).alias("score"), aspect(c).alias("aspect"), c.alias("c")))
+    scored = quads.join(size, "doc_id").filter(convex(F.col("points"))).select("doc_id", "ord", rated.alias("q")).filter("q.score IS NOT NULL")
+    best = scored.groupBy("doc_id").agg(F.max_by("q", F.struct("q.score", -F.col("ord"))).alias("q"))
+    share = F.col("area") / whole
+    fit = regions.join(size, "doc_id").filter((share >= LEAST_REGION) & (F.col("w") / F.greatest("h", F.lit(1))).between(*REGION_ASPECT))
+    found = fit.groupBy("doc_id").agg(F.max_by(F.struct(F.least(share / 0.5, F.lit(1.0)).alias("score"), "x", "y", "w", "h"), F.struct(F.least(share / 0.5, F.lit(1.0)), -F.col("ord"))).alias("r"))
+    pad = (F.least("width", "height") * PADDING).cast("int")
+    left, top = F.greatest(F.lit(0), F.col("r.x") - pad), F.greatest(F.lit(0), F.col("r.y") - pad)
+    box = F.array(left, top, F.least("width", left + F.col("r.w") + 2 * pad), F.least("height", top + F.col("r.h") + 2 * pad)).cast("array<int>")
+    quad, region = F.coalesce(F.col("q.score") >= ACCEPT, F.lit(False)), F.col("r").isNotNull()
+    everything = F.array(F.lit(0), F.lit(0), "width", "height").cast("array<int>")
+    return size.join(best, "doc_id", "left").join(found, "doc_id", "left").select(
+        "doc_id", (quad | region).alias("detected"),
+        F.when(quad, "quadrilateral").when(region, "bounding_box_fallback").otherwise("original_image").alias("method"),
+        F.when(quad, F.round("q.score", 4)).when(region, F.round("r.score", 4)).otherwise(0.0).alias("score"),
+        F.when(quad, F.round("q.aspect", 4)).alias("aspect"),
+        F.when(quad, F.transform("q.c", lambda p: F.transform(p, lambda v: F.round(v, 2)))).alias("corners"),
+        F.when(~quad, F.when(region, box).otherwise(everything)).alias("box"),
+    )
+
+
 def score_card(area: Column, corners: Column, width: Column, height: Column) -> Column:
     """How much four ordered corners look like a card on an image of a size; null if too small or out of shape."""
     p = lambda i, j: F.element_at(F.element_at(corners, i), j)
