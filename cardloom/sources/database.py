@@ -1,26 +1,34 @@
-"""JDBC access to the record tables."""
+"""JDBC access to the record tables, and SQL over them."""
 
 from __future__ import annotations
 
-from urllib.parse import parse_qsl, urlencode, urlsplit
+import re
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-LOCAL_HOSTS = frozenset(("localhost", "127.0.0.1", "::1"))
 TABLES = ("usuarios", "estudiante", "programa", "documento")
+# Hosts of this machine, which need no encrypted connection.
+LOCAL_HOSTS = ("localhost", "127.0.0.1", "::1")
+_SHORT = "postgres://"
 
 
 def database_url(raw: str | None) -> str:
-    """The URL with the long scheme name and, for PostgreSQL, an sslmode: none for a local server, required elsewhere."""
+    """The URL with the long scheme name and, for PostgreSQL, an sslmode: none for a local server, required elsewhere.
+
+    The rest stays as it is written: an sslmode goes behind the options that are there.
+    """
     if not raw:
         raise RuntimeError("no database URL is configured")
-    url = urlsplit(raw.replace("postgres://", "postgresql://", 1))
-    if url.scheme not in ("postgres", "postgresql"):
-        return raw.replace("postgres://", "postgresql://", 1)
-    options = parse_qsl(url.query, keep_blank_values=True)
-    if "sslmode" not in dict(options):
-        options.append(("sslmode", "disable" if (url.hostname or "") in LOCAL_HOSTS else "require"))
-    return url._replace(query=urlencode(options)).geturl()
+    before, short, after = raw.partition(_SHORT)
+    url = f"{before}postgresql://{after}" if short else raw
+    if not re.match("postgres(ql)?://", url, re.IGNORECASE) or re.search(r"[?&]sslmode(=|&|#|$)", url):
+        return url
+    mode = "disable" if urlsplit(url).hostname in LOCAL_HOSTS else "require"
+    head, mark, fragment = url.partition("#")
+    joint = "" if head.endswith(("?", "&")) else "&" if "?" in head else "?"
+    return f"{head}{joint}sslmode={mode}{mark}{fragment}"
 
 
 def jdbc_options(raw: str | None, table: str) -> dict[str, str]:
@@ -28,7 +36,7 @@ def jdbc_options(raw: str | None, table: str) -> dict[str, str]:
     url = urlsplit(database_url(raw))
     host = f"{url.hostname or ''}{f':{url.port}' if url.port else ''}"
     out = {"url": f"jdbc:{url.scheme}://{host}{url.path}{'?' + url.query if url.query else ''}", "dbtable": table}
-    return out | ({"user": url.username} if url.username else {}) | ({"password": url.password} if url.password else {})
+    return out | ({"user": unquote(url.username)} if url.username else {}) | ({"password": unquote(url.password)} if url.password else {})
 
 
 def read_table(spark: SparkSession, raw: str | None, table: str, *, key: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 16) -> DataFrame:
@@ -40,5 +48,15 @@ def read_table(spark: SparkSession, raw: str | None, table: str, *, key: str | N
 
 
 def append_table(rows: DataFrame, raw: str | None, table: str) -> None:
-    """Appends rows over JDBC."""
+    """Appends rows over JDBC; `missing` tells whether they are there afterwards."""
     rows.write.format("jdbc").options(**jdbc_options(raw, table)).mode("append").save()
+
+
+def missing(rows: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """The rows whose key the table, read again after a write, doesn't have."""
+    return rows.join(stored.select(F.col(key)).distinct(), key, "left_anti")
+
+
+def query(spark: SparkSession, sql: str, **tables: DataFrame) -> DataFrame:
+    """Literal SQL in which `{name}` stands for a table."""
+    return spark.sql(sql, **tables)
