@@ -10,7 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cardloom.operators import records
 
-TABLES = ("students", "programs", "documents")
+#: Tables that every version has whole; documents only grow, so a version has its new ones.
+TABLES = ("students", "programs")
 
 
 def version_path(root: str, version: int) -> str:
@@ -34,20 +35,41 @@ class Store:
         return max(done, default=None)
 
     def read(self, table: str) -> DataFrame:
+        if table == "documents":
+            return self.documents()
         version = self.latest()
         if version is None:
             raise FileNotFoundError(f"nothing is published under {self.root}")
         return self.spark.read.parquet(f"{version_path(self.root, version)}/{table}")
 
-    def publish(self, version: int, tables: dict[str, DataFrame]) -> None:
-        """Writes all tables of a version, then its marker."""
+    def documents(self) -> DataFrame:
+        """All documents: the rows that each published version added. Rows of a version without a marker don't show."""
+        version = self.latest()
+        if version is None:
+            raise FileNotFoundError(f"nothing is published under {self.root}")
+        added = self.spark.read.option("recursiveFileLookup", "false").parquet(f"{self.root}/documents")
+        return added.filter(F.col("version") <= version).drop("version")
+
+    def publish(self, version: int, tables: dict[str, DataFrame], keep: int | None = None) -> None:
+        """Writes all tables of a version, then its marker; `documents` are the version's new rows only, in a folder of their own.
+
+        A version that was begun before is written anew. With `keep`, older versions of the other tables are deleted.
+        """
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{version_path(self.root, version)}/{name}")
+            to = f"{self.root}/documents/version={version}" if name == "documents" else f"{version_path(self.root, version)}/{name}"
+            df.write.mode("overwrite").parquet(to)
         self.spark.range(1).write.mode("overwrite").parquet(f"{self.root}/published/version={version}")
+        if keep:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path
+            fs = path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
+            for old in (s.getPath() for s in fs.listStatus(path(self.root))):
+                number = old.getName().removeprefix("version=")
+                if number.isdigit() and int(number) <= version - keep:
+                    fs.delete(old, True)
 
 
-def apply_batch(store: Store, users: DataFrame, uploaded: Column) -> Callable[[DataFrame, int], None]:
-    """What `foreachBatch` runs: consolidates a batch onto the latest version. A batch that was published before is skipped."""
+def apply_batch(store: Store, users: DataFrame, uploaded: Column, keep: int | None = 3) -> Callable[[DataFrame, int], None]:
+    """What `foreachBatch` runs: consolidates a batch onto the latest version and leaves the last `keep` versions. A batch that was published before is skipped."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         latest = store.latest()
@@ -55,8 +77,8 @@ def apply_batch(store: Store, users: DataFrame, uploaded: Column) -> Callable[[D
         if latest is not None and version <= latest:
             return
         before = {t: store.read(t) for t in TABLES}
-        done = records.consolidate(batch, users, before["students"], before["programs"], before["documents"], uploaded)
-        store.publish(version, {"students": done.students, "programs": done.programs, "documents": before["documents"].unionByName(done.documents), "rejected": done.rejected})
+        done = records.consolidate(batch, users, before["students"], before["programs"], store.documents(), uploaded)
+        store.publish(version, {"students": done.students, "programs": done.programs, "documents": done.documents, "rejected": done.rejected}, keep)
 
     return run
 
