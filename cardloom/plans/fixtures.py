@@ -142,35 +142,36 @@ def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(arrival_seq, usuario_id, programa, archivo, the fields); several arrivals share a number, some users are unknown."""
     key = F.col("o_orderkey")
     who = F.floor(key / 3).cast("long")
-    columns = [pick(cases, key if name != "numero_documento" else who, who % 500 + 20_000_000).alias(name) for name, cases in PEOPLE.items()]
-    return orders(spark, sf_dir).select(
-        key.alias("arrival_seq"), F.pmod(key, F.lit(40)).cast("int").alias("usuario_id"), pick(PROGRAMS, key, who % 7).alias("programa"),
+    columns = [pick(cases, key if name != "numero_documento" else who, who + 20_000_000).alias(name) for name, cases in PEOPLE.items()]
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        key.alias("arrival_seq"), F.col("o_custkey").cast("int").alias("usuario_id"), pick(PROGRAMS, key, F.floor(who / 50).cast("long")).alias("programa"),
         F.concat(F.lit("card "), key.cast("string"), F.lit(".pdf")).alias("archivo"), *columns,
     )
 
 
-EXTRACTIONS_SQL = f"SELECT o_orderkey AS arrival_seq, CAST(o_orderkey % 40 AS INTEGER) AS usuario_id, {sql_pick(PROGRAMS, 'o_orderkey', '(o_orderkey // 3) % 7')} AS programa, 'card ' || o_orderkey || '.pdf' AS archivo, " + ", ".join(
-    f"{sql_pick(cases, 'o_orderkey' if name != 'numero_documento' else 'o_orderkey // 3', '(o_orderkey // 3) % 500 + 20000000')} AS {name}" for name, cases in PEOPLE.items()
+EXTRACTIONS_SQL = f"SELECT o_orderkey AS arrival_seq, CAST(o_custkey AS INTEGER) AS usuario_id, {sql_pick(PROGRAMS, 'o_orderkey', 'o_orderkey // 3 // 50')} AS programa, 'card ' || o_orderkey || '.pdf' AS archivo, " + ", ".join(
+    f"{sql_pick(cases, 'o_orderkey' if name != 'numero_documento' else 'o_orderkey // 3', 'o_orderkey // 3 + 20000000')} AS {name}" for name, cases in PEOPLE.items()
 ) + " FROM orders"
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """usuarios, ids 0 to 34 of the customers, with an e-mail address and a login counter."""
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey < 35")
-    return c.select(F.col("c_custkey").cast("int").alias("Id"), F.concat(F.lit("user"), F.col("c_custkey").cast("string"), F.lit("@example.org")).alias("Email"), F.when(F.col("c_custkey") % 3 > 0, (F.col("c_custkey") % 3).cast("int")).alias("ConteoIngresos"))
+    """usuarios, one for every customer, with an e-mail address and a login counter; one id in nine is no user's."""
+    c, k = spark.read.parquet(f"{sf_dir}/customer.parquet"), F.col("c_custkey")
+    ident = k + F.floor(k / 8)
+    return c.select(ident.cast("int").alias("Id"), F.concat(F.lit("user"), ident.cast("string"), F.lit("@example.org")).alias("Email"), F.when(k % 3 > 0, (k % 3).cast("int")).alias("ConteoIngresos"))
 
 
-USERS_SQL = "SELECT CAST(c_custkey AS INTEGER) AS Id, 'user' || c_custkey || '@example.org' AS Email, CASE WHEN c_custkey % 3 > 0 THEN CAST(c_custkey % 3 AS INTEGER) END AS ConteoIngresos FROM customer WHERE c_custkey < 35"
+USERS_SQL = "SELECT CAST(c_custkey + c_custkey // 8 AS INTEGER) AS Id, 'user' || (c_custkey + c_custkey // 8) || '@example.org' AS Email, CASE WHEN c_custkey % 3 > 0 THEN CAST(c_custkey % 3 AS INTEGER) END AS ConteoIngresos FROM customer"
 
 
 def students(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """estudiante, one for some of the numbers that arrive."""
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey < 250")
-    k = F.col("c_custkey")
-    return c.select(k.cast("int").alias("Id"), (k + 20_000_000).cast("string").alias("NumeroDocumento"), F.lit("Viejo Nombre").alias("NombreCompleto"), F.lit(None).cast("string").alias("FechaNacimiento"), F.when(k % 2 == 0, "Femenino").alias("Sexo"), F.lit("Tunja").alias("LugarNacimiento"), F.lit("").alias("Nacionalidad"), F.lit("B+").alias("TipoSangre"), F.lit("Archivo").alias("Programa"), (k % 30).cast("int").alias("UsuarioId"))
+    """estudiante, one for every customer: some numbers are held twice, some by none, and some arrive only later."""
+    c, k = spark.read.parquet(f"{sf_dir}/customer.parquet"), F.col("c_custkey")
+    number = F.when(k % 11 > 0, (k - F.when(k % 7 == 0, 1).otherwise(0) + 20_000_000).cast("string"))
+    return c.select(k.cast("int").alias("Id"), number.alias("NumeroDocumento"), F.lit("Viejo Nombre").alias("NombreCompleto"), F.lit(None).cast("string").alias("FechaNacimiento"), F.when(k % 2 == 0, "Femenino").alias("Sexo"), F.lit("Tunja").alias("LugarNacimiento"), F.lit("").alias("Nacionalidad"), F.lit("B+").alias("TipoSangre"), F.lit("Archivo").alias("Programa"), (k % 30).cast("int").alias("UsuarioId"))
 
 
-STUDENTS_SQL = "SELECT CAST(c_custkey AS INTEGER) AS Id, CAST(c_custkey + 20000000 AS VARCHAR) AS NumeroDocumento, 'Viejo Nombre' AS NombreCompleto, CAST(NULL AS VARCHAR) AS FechaNacimiento, CASE WHEN c_custkey % 2 = 0 THEN 'Femenino' END AS Sexo, 'Tunja' AS LugarNacimiento, '' AS Nacionalidad, 'B+' AS TipoSangre, 'Archivo' AS Programa, CAST(c_custkey % 30 AS INTEGER) AS UsuarioId FROM customer WHERE c_custkey < 250"
+STUDENTS_SQL = "SELECT CAST(c_custkey AS INTEGER) AS Id, CASE WHEN c_custkey % 11 > 0 THEN CAST(c_custkey - CASE WHEN c_custkey % 7 = 0 THEN 1 ELSE 0 END + 20000000 AS VARCHAR) END AS NumeroDocumento, 'Viejo Nombre' AS NombreCompleto, CAST(NULL AS VARCHAR) AS FechaNacimiento, CASE WHEN c_custkey % 2 = 0 THEN 'Femenino' END AS Sexo, 'Tunja' AS LugarNacimiento, '' AS Nacionalidad, 'B+' AS TipoSangre, 'Archivo' AS Programa, CAST(c_custkey % 30 AS INTEGER) AS UsuarioId FROM customer"
 
 
 def programs(spark: SparkSession, sf_dir: str) -> DataFrame:

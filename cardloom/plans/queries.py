@@ -10,7 +10,7 @@ from cardloom.functions.similar import similarity
 from cardloom.operators import layout, lines, reconcile, records
 from cardloom.plans import fixtures as X
 from cardloom.plans.oracles import ORACLES  # noqa: F401
-from cardloom.sources import files, recognise
+from cardloom.sources import database, files, recognise
 
 QUERIES = {}
 
@@ -107,6 +107,13 @@ def t14_useful(spark, sf_dir):
     return _raw(spark, sf_dir, useful=T.useful(*five), filled=T.filled(*five))
 
 
+@query
+def t14b_useful_seven(spark, sf_dir):
+    c, k = {n: F.col(f"{n}_raw") for n in X.RAW}, F.col("doc_id")
+    seven = (F.when(k % 2 == 0, c["number"]), F.when(k % 3 == 0, c["text"]), F.when(k % 5 == 0, c["text"]), F.when(k % 7 == 0, c["text"]), F.when(k % 11 == 0, c["date"]), F.when(k % 13 == 0, c["sex"]), F.when(k % 4 == 0, c["blood"]))
+    return _raw(spark, sf_dir, useful=T.useful(*seven), filled=T.filled(*seven))
+
+
 @query
 def t15_final(spark, sf_dir):
     return _raw(spark, sf_dir, name=T.final(F.col("text_raw")), number=T.final(F.col("number_raw")))
@@ -209,9 +216,8 @@ def _words(spark, sf_dir):
     return layout.dedupe_words(layout.usable_words(X.words_raw(spark, sf_dir)))
 
 
-def _banded(spark, sf_dir):
-    """Lines by a fixed band of the page, so that SQL can follow."""
-    return layout.assemble_lines(_words(spark, sf_dir).withColumn("line_id", F.floor(F.col("cy") / 30).cast("int")))
+def _lines(spark, sf_dir):
+    return layout.assemble_lines(layout.cluster_lines(_words(spark, sf_dir)))
 
 
 @query
@@ -226,37 +232,37 @@ def l02_line_clustering(spark, sf_dir):
 
 @query
 def l03_line_assembly(spark, sf_dir):
-    return _banded(spark, sf_dir).select("doc_id", "page_no", "line_no", "text", "norm", "x1", "y1", "x2", "y2", "cx", "cy")
+    return _lines(spark, sf_dir).select("doc_id", "page_no", "line_no", "text", "norm", "x1", "y1", "x2", "y2", "cx", "cy")
 
 
 @query
 def l04_find_labels(spark, sf_dir):
-    return layout.find_labels(_banded(spark, sf_dir)).select("doc_id", "page_no", "field", "line_no", "label", "score")
+    return layout.find_labels(_lines(spark, sf_dir)).select("doc_id", "page_no", "field", "line_no", "label", "score")
 
 
 @query
 def l05_neighbours(spark, sf_dir):
-    return layout.neighbours(_banded(spark, sf_dir)).select("doc_id", "page_no", "line_no", F.array_join("above", "|").alias("above"), F.array_join("below", "|").alias("below"))
+    return layout.neighbours(_lines(spark, sf_dir)).select("doc_id", "page_no", "line_no", F.array_join("above", "|").alias("above"), F.array_join("below", "|").alias("below"))
 
 
 @query
 def l06_extract_by_labels(spark, sf_dir):
-    return layout.extract_by_labels(_banded(spark, sf_dir))
+    return layout.extract_by_labels(_lines(spark, sf_dir))
 
 
 @query
 def l07_resembles_label(spark, sf_dir):
-    return layout.resembles_label(_banded(spark, sf_dir)).select("doc_id", "page_no", "line_no", "is_label")
+    return layout.resembles_label(_lines(spark, sf_dir)).select("doc_id", "page_no", "line_no", "is_label")
 
 
 @query
 def l08_detect_side(spark, sf_dir):
-    return layout.detect_side(_banded(spark, sf_dir))
+    return layout.detect_side(_lines(spark, sf_dir))
 
 
 @query
 def l09_by_labels(spark, sf_dir):
-    return layout.by_labels(_banded(spark, sf_dir))
+    return layout.by_labels(_lines(spark, sf_dir))
 
 
 def _page_sizes(spark, sf_dir):
@@ -269,6 +275,16 @@ def l10_zone_boxes(spark, sf_dir):
     return layout.zone_boxes(_page_sizes(spark, sf_dir))
 
 
+@query
+def l13_zone_values(spark, sf_dir):
+    """Two readings of every zone that isn't empty; some have none."""
+    k = F.col("doc_id")
+    which = F.element_at(F.create_map(*(F.lit(x) for i, f in enumerate(T.FIELDS) for x in (f, i))), F.col("field"))
+    reading = lambda n: F.when((k + which) % n > 0, F.when(which == 0, X.pick(X.NUMBERS, k + n, k)).when(which == 4, X.pick(X.DATES, k + n, k)).when(which == 5, X.pick(X.SEXES, k + n, k)).when(which == 8, X.pick(X.BLOODS, k + n, k)).otherwise(X.pick(X.TEXTS, k + n, k)))
+    readings = layout.zone_boxes(_page_sizes(spark, sf_dir)).select("doc_id", "page_no", "template", "field", F.array(reading(3), reading(4)).alias("readings"))
+    return layout.zone_values(readings)
+
+
 @query
 def l11_template(spark, sf_dir):
     return _page_sizes(spark, sf_dir).select("doc_id", "page_no", layout.template(F.col("modelo"), F.col("page_no")).alias("template"))
@@ -276,7 +292,7 @@ def l11_template(spark, sf_dir):
 
 @query
 def l12_line_text(spark, sf_dir):
-    return _banded(spark, sf_dir).select("doc_id", "page_no", "line_no", layout.line_text(F.col("items")).alias("text"))
+    return _lines(spark, sf_dir).select("doc_id", "page_no", "line_no", layout.line_text(F.col("items")).alias("text"))
 
 
 def _quads(spark, sf_dir):
@@ -300,33 +316,49 @@ def v02_card_score(spark, sf_dir):
     return x.select("doc_id", F.round(layout.score_card(area, F.col("c"), F.lit(900.0), F.lit(700.0)), 9).alias("score"))
 
 
-def _source(spark, sf_dir, name, page=None):
-    c = X.candidates(spark, sf_dir).filter(F.col("source") == name)
-    return c if page is None else c.filter(F.col("page_no") == page)
+@query
+def v04_choose_card(spark, sf_dir):
+    """Two quadrilaterals an image, of which some aren't convex, and two regions; some images lack one or both."""
+    k = F.col("doc_id")
+    images = X.orders(spark, sf_dir).select(F.col("o_orderkey").alias("doc_id"), F.lit(900).alias("width"), F.lit(700).alias("height"))
+    each = images.withColumn("ord", F.explode(F.array(F.lit(0), F.lit(1))))
+    o = F.col("ord")
+    w, h = (F.lit(180) + k % 97 * 3 + o * 40).cast("double"), (F.lit(150) + k % 83 * 2 + o * 10).cast("double")
+    p = lambda x, y: F.array(x.cast("double"), y.cast("double"))
+    a, b, c, d = p(F.lit(5) + k % 3, F.lit(7)), p(w, F.lit(4) + k % 6), p(w + k % 5, h), p(F.lit(2), h + k % 4)
+    quads = each.filter(k % 4 > 0).select("doc_id", "ord", (w * h * 0.93).alias("area"), F.when((k + o) % 5 == 0, F.array(a, c, b, d)).otherwise(F.array(a, b, c, d)).alias("points"))
+    regions = each.filter(k % 3 > 0).select("doc_id", "ord", (w * h * 0.8).alias("area"), (k % 50).cast("int").alias("x"), (k % 30 * 20).cast("int").alias("y"), w.cast("int").alias("w"), h.cast("int").alias("h"))
+    out = layout.choose_card(images, quads, regions)
+    return out.select("doc_id", "detected", "method", "score", "aspect", F.element_at(F.element_at("corners", 1), 1).alias("tl_x"), F.element_at(F.element_at("corners", 3), 2).alias("br_y"), *(F.get("box", F.lit(i)).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))))
+
+
+def _source(spark, sf_dir, name):
+    return X.candidates(spark, sf_dir).filter(F.col("source") == name)
 
 
-def _merged(spark, sf_dir):
-    return (reconcile.merge_text(_source(spark, sf_dir, "text")), reconcile.accumulate_general(_source(spark, sf_dir, "general")), reconcile.accumulate_crop(_source(spark, sf_dir, "crop")))
+def _latest(spark, sf_dir, name):
+    """Of each field the value of the latest page that has it, valid or not."""
+    return _source(spark, sf_dir, name).groupBy("doc_id", "field").agg(F.max_by("value", "page_no").alias("value"))
 
 
 @query
 def r01_text_merge(spark, sf_dir):
-    return _merged(spark, sf_dir)[0]
+    return reconcile.merge_text(_source(spark, sf_dir, "text"))
 
 
 @query
 def r02_general_accumulate(spark, sf_dir):
-    return _merged(spark, sf_dir)[1]
+    return reconcile.accumulate_general(_source(spark, sf_dir, "general"))
 
 
 @query
 def r03_crop_accumulate(spark, sf_dir):
-    return _merged(spark, sf_dir)[2]
+    return reconcile.accumulate_crop(_source(spark, sf_dir, "crop"))
 
 
 @query
 def r04_compare(spark, sf_dir):
-    return reconcile.compare(_source(spark, sf_dir, "general", 1), _source(spark, sf_dir, "crop", 1))
+    return reconcile.compare(_latest(spark, sf_dir, "general"), _latest(spark, sf_dir, "crop"))
 
 
 @query
@@ -337,24 +369,24 @@ def r05_field_union(spark, sf_dir):
 
 @query
 def r06_precedence(spark, sf_dir):
-    return reconcile.precedence(*_merged(spark, sf_dir))
+    return reconcile.precedence(X.candidates(spark, sf_dir))
 
 
 @query
 def r07_full_name(spark, sf_dir):
-    crop = _merged(spark, sf_dir)[2].withColumn("field", F.when(F.col("field") == "lugar_nacimiento", "apellidos").otherwise(F.col("field")))
+    crop = r03_crop_accumulate(spark, sf_dir).withColumn("field", F.when(F.col("field") == "lugar_nacimiento", "apellidos").otherwise(F.col("field")))
     return reconcile.rebuild_name(crop, crop)
 
 
 @query
 def r08_combine(spark, sf_dir):
-    return reconcile.combine(_source(spark, sf_dir, "crop", 1), _source(spark, sf_dir, "general", 1))
+    return reconcile.combine(_latest(spark, sf_dir, "crop"), _latest(spark, sf_dir, "general"))
 
 
 @query
 def r09_envelope(spark, sf_dir):
     text = lines.extract_by_lines(X.card_text(spark, sf_dir), as_of())
-    ocr = reconcile.wide(reconcile.precedence(*_merged(spark, sf_dir)))
+    ocr = reconcile.wide(reconcile.precedence(X.candidates(spark, sf_dir)))
     return reconcile.envelope(text, ocr).select("doc_id", "metodo", "error", F.size(F.coalesce("resultado", F.create_map().cast("map<string,string>"))).alias("n_fields"))
 
 
@@ -391,16 +423,26 @@ def m04_user_gate(spark, sf_dir):
 @query
 def m05_register_unique(spark, sf_dir):
     k = F.col("o_orderkey")
-    r = X.orders(spark, sf_dir).filter("o_orderkey < 400").select(k.alias("seq"), F.concat(F.lit("user"), F.floor(k / 2).cast("string"), F.lit("@example.org")).alias("email"), F.concat(F.lit("N"), k.cast("string")).alias("name"), F.lit(None).cast("string").alias("last_name"), F.lit("x").alias("password_hash"))
+    r = X.orders(spark, sf_dir).select(k.alias("seq"), F.concat(F.lit("user"), F.floor(k / 2).cast("string"), F.lit("@example.org")).alias("email"), F.concat(F.lit("N"), k.cast("string")).alias("name"), F.lit(None).cast("string").alias("last_name"), F.lit("x").alias("password_hash"))
     return records.register(r, X.users(spark, sf_dir)).select("Id", "Email", "Nombre", "ConteoIngresos")
 
 
 @query
 def m06_login_counter(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_id % 5 > 0").select(F.concat(F.lit("user"), (F.col("user_id") % 60).cast("string"), F.lit("@example.org")).alias("email"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit("@example.org")).alias("email"), (F.col("event_id") % 5 > 0).alias("verified"))
     return records.count_logins(X.users(spark, sf_dir), e)
 
 
+@query
+def snk2_verify_append(spark, sf_dir):
+    """The batch's documents against the tables after it; the stored ones lack every 100th row."""
+    none = spark.createDataFrame([], "Id int")
+    users = X.users(spark, sf_dir)
+    done = records.consolidate(X.extractions(spark, sf_dir), users, X.students(spark, sf_dir), X.programs(spark, sf_dir), none, arrived())
+    stored = done.documents.withColumn("Id", F.when(F.col("Id") % 100 > 0, F.col("Id")))
+    return records.verified(done.documents, done.students, done.programs, users, stored)
+
+
 @query
 def src01_joined_text(spark, sf_dir):
     one = X.card_text(spark, sf_dir)
@@ -423,6 +465,16 @@ def src05_first_student(spark, sf_dir):
     return records.first_by(X.students(spark, sf_dir), "NumeroDocumento", "Id").select("Id", "NumeroDocumento")
 
 
+@query
+def src06_literal_sql(spark, sf_dir):
+    return database.query(spark, "SELECT Id, Email, ConteoIngresos FROM {usuarios} ORDER BY Id LIMIT 1", usuarios=X.users(spark, sf_dir))
+
+
+@query
+def src05_lookup(spark, sf_dir):
+    return records.lookup(X.students(spark, sf_dir), "NumeroDocumento", "20000013", "Id").select("Id", "NumeroDocumento")
+
+
 @query
 def snk1_landing_path(spark, sf_dir):
     return X.extractions(spark, sf_dir).select("arrival_seq", files.landing_path("documentos", F.col("programa"), F.col("usuario_id"), arrived(), F.col("archivo")).alias("path"))
