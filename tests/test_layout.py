@@ -95,6 +95,30 @@ def test_zones_and_corners(spark):
     assert abs(score - (0.35 + 0.40 * (1 - abs(1.5 - L.CARD_ASPECT) / L.CARD_ASPECT / 0.35) + 0.25)) < 1e-9
 
 
+def test_sides_and_likeness(spark):
+    lines = L.assemble_lines(L.cluster_lines(words(spark, 2))).cache()
+    pages = {}
+    for r in lines.orderBy("doc_id", "line_no").collect():
+        pages.setdefault(r.doc_id, []).append(r.norm)
+    variants = [norm(x) for xs in L.LABELS.values() for x in xs]
+    marked = {(r.doc_id, r.line_no): r.is_label for r in L.resembles_label(lines).collect()}
+    sides = {r.doc_id: (r.front, r.back) for r in L.detect_side(lines).collect()}
+    for doc, norms in pages.items():
+        for i, n in enumerate(norms):
+            assert marked[doc, i] == (n != "" and any(v in n or similar(n, v) >= 0.75 for v in variants))
+        whole = " ".join(" ".join(norms).split())
+        points = lambda labels: sum(2 if x in whole else int(any(similar(w, x) >= 0.7 for w in whole.split())) for x in map(norm, labels))  # noqa: B023, E731
+        assert sides[doc] == (points(L.FRONT_LABELS), points(L.BACK_LABELS))
+    assert L.resembles_label(lines).columns == [*lines.columns, "is_label"]
+
+
+def test_convex(spark):
+    square = [[0.0, 0.0], [4.0, 0.0], [4.0, 3.0], [0.0, 3.0]]
+    cases = [(square, True), (square[::-1], True), ([square[0], square[2], square[1], square[3]], False), ([*square[:3], [3.0, 1.0]], False), (square[:3], False), ([*square, [1.0, 1.0]], False)]
+    df = spark.createDataFrame(cases, "p array<array<double>>, ok boolean")
+    assert df.filter(L.convex(F.col("p")) != F.col("ok")).count() == 0
+
+
 def test_empty_pages(spark):
     none = words(spark).limit(0)
     lines = L.assemble_lines(L.cluster_lines(none))

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from cardloom.operators import lines, reconcile, records
+from cardloom.operators import layout, lines, reconcile, records
 from cardloom.plans import fixtures as X
 from cardloom.sources import database, files, recognise
 from cardloom.streaming import ingest
@@ -52,6 +52,42 @@ def test_numbering_has_no_gaps(spark):
     assert got == list(range(42, 1042))
 
 
+@pytest.mark.parametrize("parts", [1, 300, 5000])
+def test_numbering_for_any_number_of_partitions(spark, parts):
+    rows = spark.range(0, 6000, 1, 7).select((F.col("id") * 37 % 6007).alias("s"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = records.numbered(rows, "s", spark.createDataFrame([], "k long"), "k").select("s", "k").toPandas().sort_values("s")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got["k"].tolist() == list(range(1, 6001))
+
+
+def test_range_of_a_value(spark):
+    bounds = [3, 5, 9, 9_000_000_000]
+    values = [-1, 3, 4, 5, 6, 9, 10, 9_000_000_000, 9_000_000_001]
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    for n in range(len(bounds) + 1):
+        assert [r[0] for r in df.select(records.range_of(F.col("v"), bounds[:n])).collect()] == [sum(b < v for b in bounds[:n]) for v in values]
+
+
+def test_one_pass_merges_as_the_three(spark):
+    c = X.candidates(spark, SF)
+    by = {n: {(r.doc_id, r.field): r.value for r in f(c.filter(F.col("source") == n)).collect()} for n, f in (("text", reconcile.merge_text), ("general", reconcile.accumulate_general), ("crop", reconcile.accumulate_crop))}
+    rows = reconcile.merged(c).collect()
+    assert {n: {(r.doc_id, r.field): r[n] for r in rows if r[n] is not None} for n in by} == by
+
+
+def test_verification_finds_what_is_missing(spark):
+    docs = spark.createDataFrame([(1, 10, 20, 30), (2, 11, 21, 31)], "Id int, EstudianteId int, ProgramaId int, UsuarioId int")
+    one = lambda name, *ids: spark.createDataFrame([(i,) for i in ids], f"{name} int")
+    rows = records.verified(docs, one("Id", 10, 11), one("id", 20), one("Id", 30, 30, 31), docs.filter("Id = 1")).orderBy("Id").collect()
+    assert [tuple(r) for r in rows] == [(1, True, True, True, True), (2, False, True, False, True)]
+    assert [r.Id for r in database.missing(docs, docs.filter("Id = 1"), "Id").collect()] == [2]
+    assert records.lookup(docs, "UsuarioId", 31, "Id").first().Id == 2 and records.lookup(docs, "UsuarioId", 9, "Id").count() == 0
+
+
 def test_stream(spark, tmp_path):
     src = str(tmp_path / "in")
     X.extractions(spark, SF).filter("arrival_seq < 300").coalesce(1).write.parquet(src)
@@ -68,10 +104,17 @@ def test_stream(spark, tmp_path):
     assert store.latest() == 2
     known = records.known_users(X.extractions(spark, SF), X.users(spark, SF)).count()
     assert store.read("documents").count() == known == store.read("documents").select("Id").distinct().count()
+    # Each version has its new documents only, and what a broken version left doesn't show.
+    added = [spark.read.parquet(f"{store.root}/documents/version={v}").count() for v in (0, 1, 2)]
+    assert added[0] == 0 < min(added[1:]) and sum(added) == known
     whole = records.upsert_students(records.known_users(X.extractions(spark, SF), X.users(spark, SF)), X.students(spark, SF))
     columns = [c for c in whole.columns if c not in ("Id",)]
     named = lambda df: sorted(map(str, df.filter("NumeroDocumento IS NOT NULL").select(columns).collect()))
     assert named(store.read("students")) == named(whole)
+    spark.read.parquet(f"{store.root}/documents/version=2").write.parquet(f"{store.root}/documents/version=3")
+    assert store.read("documents").count() == known
+    store.publish(4, {"students": X.students(spark, SF)}, keep=2)
+    assert store.read("students").count() == X.students(spark, SF).count() and not (tmp_path / "out" / "version=2").exists()
 
 
 class Fake:
@@ -81,8 +124,18 @@ class Fake:
         return content.decode().split("\f")
 
     def words(self, content, page):
+        if content == b"bad":
+            raise ValueError("unreadable")
         return [(0, 0, f"w{page}", 90.0, 1, 2, 3, 4)]
 
+    def size(self, content, page):
+        if content == b"bad":
+            raise ValueError("unreadable")
+        return (1000, 500) if page <= content.count(b"\f") + 1 else None
+
+    def field(self, content, page, field, box):
+        return [" ", f"{field} {box[0]}", "later"]
+
 
 def test_recogniser(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"one\f \ftwo")
@@ -91,7 +144,17 @@ def test_recogniser(spark, tmp_path):
     pages = recognise.pages(found, Fake())
     assert pages.filter("error IS NOT NULL").count() == 1
     assert [r.text for r in recognise.joined_text(pages.filter("text IS NOT NULL")).collect()] == ["one\ntwo\n"]
-    assert recognise.words(found, Fake()).count() == 4
+    rows = recognise.words(found, Fake()).collect()
+    assert sorted((r.text or "", r.error) for r in rows) == [("", "unreadable"), ("w1", None), ("w2", None)]
+    assert layout.usable_words(recognise.words(found, Fake())).count() == 2
+    zones = recognise.zones(found, Fake(), "hologramas")
+    assert zones.filter("error IS NOT NULL").count() == 1
+    sizes = zones.filter("error IS NULL").select("doc_id", "page_no", F.lit("hologramas").alias("modelo"), F.lit(1000).alias("width"), F.lit(500).alias("height")).distinct()
+    box = ["doc_id", "page_no", "template", "field", "left", "top", "right", "bottom"]
+    plain = lambda df: sorted(map(tuple, df.select(*box).collect()))
+    assert plain(zones.filter("error IS NULL")) == plain(layout.zone_boxes(sizes)) and len(plain(layout.zone_boxes(sizes))) == 7
+    values = {r.field: r.value for r in layout.zone_values(zones).collect()}
+    assert len(values) == 7 and values["apellidos"] == "Apellidos" and values["sexo"] is None
     assert spark.range(1).select(recognise.first_reading(F.lit(" "), F.lit("x"))).first()[0] == "x"
 
 
@@ -99,6 +162,8 @@ def test_database_urls():
     assert database.database_url("postgres://u:p@localhost/d") == "postgresql://u:p@localhost/d?sslmode=disable"
     assert database.database_url("postgresql://u@db.example.org:5432/d?a=1") == "postgresql://u@db.example.org:5432/d?a=1&sslmode=require"
     assert database.database_url("postgresql://h/d?sslmode=prefer").endswith("sslmode=prefer")
+    assert database.database_url("postgres://h/d?a=b%20c#f") == "postgresql://h/d?a=b%20c&sslmode=require#f"
+    assert database.database_url("postgresql://[::1]:5432/d?") == "postgresql://[::1]:5432/d?sslmode=disable"
     assert database.database_url("sqlite:///:memory:") == "sqlite:///:memory:"
     assert database.jdbc_options("postgres://u:p@localhost/d", "usuarios") == {"url": "jdbc:postgresql://localhost/d?sslmode=disable", "dbtable": "usuarios", "user": "u", "password": "p"}
     with pytest.raises(RuntimeError):
