@@ -1,14 +1,17 @@
 """Texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8, by SimHash, BK-trees and a check.
 
 At 0.8 two SimHashes differ in about one bit of seven, far beyond what one fingerprint's radius can be sharded for. So a
-text has 16 fingerprints of other seeds, cut into 64 bands of 16 bits, and goes to a shard for each band: two texts at 0.8
-share a shard with a chance of 0.992, more similar ones with more. A BK-tree over the shard, on 128 bits, finds the
-texts that have another within the radius; these are read again, and only pairs whose shingles pass are linked.
-A shard of more than `cap` texts is cut into parts, and every two parts meet in a cell of their own.
+text has several fingerprints of other seeds, cut into bands, and goes to a shard for each band: two texts at 0.8 share
+a shard with a chance of `RECALL` at least, more similar ones with more. Bands grow with the logarithm of the number of
+texts, so that shards of unrelated texts don't grow, and their number follows from the chance (see `bands_for`). A
+BK-tree over the shard, on 128 bits, finds the texts that have another within the radius; these are read again, and only
+pairs whose shingles pass are linked. A shard of more than `cap` texts is cut into parts, and every two parts meet in a
+cell of their own.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -24,8 +27,20 @@ from cardloom.llm.shared import looked_up, staged, sub_batches, texts
 from cardloom.llm.simhash import _LANES, SEED, BKTree
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Fingerprints of a text, bits of a band, and the radius in the 128 bits of a band's fingerprint and the next.
-PRINTS, BAND, RADIUS = 16, 16, 30
+#: Least chance that texts of the least similarity share a shard, least bits of a band, unrelated texts to a shard, and
+#: the radius in the 128 bits of a band's fingerprint and the next.
+RECALL, BAND, SHARD, RADIUS = 0.99, 16, 64, 30
+
+
+def bands_for(texts: int, similarity: float = SIMILARITY) -> tuple[int, int]:
+    """(fingerprints of a text, bits of a band) for so many texts: 16 and 16 up to four million.
+
+    A bit of two texts' fingerprints agrees with a chance that follows from the angle between their shingle sets.
+    """
+    band = max(BAND, math.ceil(math.log2(max(texts, 1) / SHARD)))
+    agree = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bands = math.ceil(math.log(1 - RECALL) / math.log1p(-(agree**band)))
+    return -(-bands // (64 // band)), band
 
 
 def shingles_of(batch: list[bytes], shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -45,16 +60,16 @@ def shingles_of(batch: list[bytes], shingle: int = SHINGLE) -> tuple[np.ndarray,
     return h[new], np.bincount(doc[new], minlength=len(batch))
 
 
-def prints_of(h: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """SimHashes of the texts that have shingles, PRINTS across."""
+def prints_of(h: np.ndarray, count: np.ndarray, prints: int) -> np.ndarray:
+    """SimHashes of the texts that have shingles, so many across."""
     count = count[count > 0]
-    out = np.zeros((len(count), PRINTS), U)
+    out = np.zeros((len(count), prints), U)
     if not len(count):
         return out
     # Eight counters to a word, summed over at most 255 shingles at a time.
     cut = np.flatnonzero(spans(count) % 255 == 0)
     starts = np.searchsorted(cut, np.cumsum(count) - count)
-    for f in range(PRINTS):
+    for f in range(prints):
         planes = mix(h + U((f + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))).view(np.uint8).reshape(-1, 8)
         for p in range(8):
             part = np.add.reduceat(_LANES[planes[:, p]], cut).view(np.uint8).reshape(-1, 8).astype(np.int64)
@@ -124,14 +139,15 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], names: tuple
 
 def links(docs: DataFrame, *, similarity: float = SIMILARITY, shingle: int = SHINGLE, cap: int = 512) -> DataFrame:
     """(a, b): nodes of `docs` (node, text) that are similar, enough of them to connect all that are found. A node is a long or a binary of a text."""
+    across, band = bands_for(docs.count(), similarity)
     kind = docs.schema["node"].dataType.simpleString()
     arrow = {"bigint": pa.int64(), "binary": pa.binary()}[kind]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sub_batches(batches, "text", 2 << 20):
             h, count = shingles_of(texts(b, "text"), shingle)
-            prints = pa.FixedSizeListArray.from_arrays(pa.array(prints_of(h, count).view(np.int64).ravel()), PRINTS).cast(pa.list_(pa.int64()))
-            yield pa.record_batch({"node": b.column("node").filter(pa.array(count > 0)), "prints": prints})
+            found = pa.FixedSizeListArray.from_arrays(pa.array(prints_of(h, count, across).view(np.int64).ravel()), across).cast(pa.list_(pa.int64()))
+            yield pa.record_batch({"node": b.column("node").filter(pa.array(count > 0)), "prints": found})
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {"cluster": [], "node": []}
@@ -163,10 +179,12 @@ def links(docs: DataFrame, *, similarity: float = SIMILARITY, shingle: int = SHI
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     prints = staged(docs.mapInArrow(sketch, f"node {kind}, prints array<long>")).dropDuplicates(["node"])
-    per = 64 // BAND
-    at = lambda f: F.element_at("prints", f % PRINTS + 1)
-    bands = [F.struct((F.lit(f * per + b << BAND) + F.shiftrightunsigned(at(f), b * BAND).bitwiseAND(F.lit((1 << BAND) - 1))).cast("int").alias("key"), at(f).alias("one"), at(f + 1).alias("two")) for f in range(PRINTS) for b in range(per)]
-    keyed = prints.select("node", F.explode(F.array(*bands)).alias("c")).select("node", "c.*")
+    # Every band as its number and its bits, with its fingerprint and the next.
+    per = 64 // band
+    at = lambda k, more: F.element_at("prints", ((F.floor(k / per) + more) % across + 1).cast("int"))
+    spread = prints.select("node", "prints", F.explode(F.sequence(F.lit(0), F.lit(across * per - 1))).alias("k"))
+    spread = spread.select("node", "k", at(F.col("k"), 0).alias("one"), at(F.col("k"), 1).alias("two"), (F.col("k") % per * band).cast("int").alias("shift"))
+    keyed = spread.select("node", (F.col("k").cast("long") * (1 << band) + F.expr("shiftrightunsigned(one, shift)").bitwiseAND(F.lit((1 << band) - 1))).alias("key"), "one", "two")
     # Only shards over the cap need their size: fewer than one a `cap` rows of `keyed`.
     large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cap).select("key", F.ceil(F.col("n") / cap).cast("int").alias("parts"))
     mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")

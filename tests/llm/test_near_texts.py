@@ -29,8 +29,18 @@ def test_near_stage_links_what_is_similar(spark):
     assert {r.doc_id for r in cp.near(spark, single, "").collect()} == {i for i, c in groups.items() if i == c}
 
 
-@pytest.mark.parametrize("cap", [512, 7])
-def test_near_copies_of_one_text(spark, cap):
+def test_bands_keep_their_chance():
+    assert near_texts.bands_for(1) == near_texts.bands_for(4 << 20) == (16, 16)
+    for n in (1, 10**7, 10**9, 10**11):
+        prints, band = near_texts.bands_for(n)
+        assert n / 2**band <= near_texts.SHARD or band == 16
+        assert 1 - (1 - 0.8485**band) ** (prints * (64 // band)) > 0.989
+
+
+@pytest.mark.parametrize(("cap", "bands"), [(512, None), (7, None), (512, (62, 21))])
+def test_near_copies_of_one_text(spark, cap, bands, monkeypatch):
+    if bands:
+        monkeypatch.setattr(near_texts, "bands_for", lambda *_: bands)
     rng = random.Random(3)
     rows = {}
     for g in range(6):
