@@ -85,6 +85,12 @@ def upsert_students(extractions: DataFrame, students: DataFrame) -> DataFrame:
     them; a field keeps its last value that isn't empty, Programa the last one, UsuarioId the first. An arrival without
     a number is always a new student. New students are numbered in order of arrival.
     """
+    updated, added = _upserted(extractions, students)
+    return updated.unionByName(added.drop("_seq"))
+
+
+def _upserted(extractions: DataFrame, students: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The students there were, brought up to date, and the new ones with `_seq`, the arrival that made each."""
     number = T.some(T.strip(F.col("numero_documento")))
     x = extractions.withColumn("_number", number)
     last = lambda f: F.max_by(f, F.when(T.some(F.col(f)).isNotNull(), F.col("arrival_seq")))
@@ -108,8 +114,7 @@ def upsert_students(extractions: DataFrame, students: DataFrame) -> DataFrame:
         F.col("arrival_seq").alias("_seq"), F.lit(None).cast("string").alias("NumeroDocumento"),
         *(F.coalesce(F.col(f), F.lit("")).alias(c) for f, c in FILLED.items()), F.col("programa").alias("Programa"), F.col("usuario_id").alias("UsuarioId"),
     )
-    added = numbered(new.unionByName(nameless), "_seq", students, "Id")
-    return updated.unionByName(added.drop("_seq"))
+    return updated, numbered(new.unionByName(nameless), "_seq", students, "Id")
 
 
 def ensure_programs(extractions: DataFrame, programs: DataFrame) -> DataFrame:
@@ -119,23 +124,23 @@ def ensure_programs(extractions: DataFrame, programs: DataFrame) -> DataFrame:
     return programs.select("id", "nombre").unionByName(numbered(fresh, "_seq", programs, "id").select("id", "nombre"))
 
 
-def append_documents(extractions: DataFrame, students: DataFrame, programs: DataFrame, documents: DataFrame, uploaded: Column) -> DataFrame:
+def append_documents(extractions: DataFrame, students: DataFrame, programs: DataFrame, documents: DataFrame, uploaded: Column, made: DataFrame | None = None) -> DataFrame:
     """The new rows of documento: every arrival with its student, programme and user.
 
     `students` and `programs` are those after the arrivals. A student without a number belongs to the arrival that
-    made it, which is found by its place among such arrivals.
+    made it: `made` (_seq, Id) tells which; without it the k-th latest such arrival made the k-th newest such student.
     """
-    number = T.some(T.strip(F.col("numero_documento")))
-    x = numbered(extractions.withColumn("_number", number), "arrival_seq", documents, "Id")
+    x = numbered(extractions.withColumn("_number", T.some(T.strip(F.col("numero_documento")))), "arrival_seq", documents, "Id")
     named = first_by(students, "NumeroDocumento", "Id").select(F.col("Id").alias("EstudianteId"), F.col("NumeroDocumento").alias("_number"))
     program = first_by(programs, "nombre", "id").select(F.col("id").alias("ProgramaId"), F.col("nombre").alias("programa"))
     with_number = x.filter("_number IS NOT NULL").join(named, "_number")
-    # The k-th arrival without a number made the k-th of the newest students without one.
-    null_students = students.filter("NumeroDocumento IS NULL").withColumn("_minus", -F.col("Id"))
-    zero = students.limit(0).select(F.lit(0).alias("_k"))
-    by_age = numbered(null_students, "_minus", zero, "_k").select("_k", F.col("Id").alias("EstudianteId"))
-    orphans = numbered(x.filter("_number IS NULL").withColumn("_minus", -F.col("arrival_seq")), "_minus", zero, "_k")
-    without = orphans.join(by_age, "_k").drop("_k", "_minus")
+    if made is None:
+        zero = students.limit(0).select(F.lit(0).alias("_k"))
+        by_age = numbered(students.filter("NumeroDocumento IS NULL").withColumn("_minus", -F.col("Id")), "_minus", zero, "_k").select("_k", F.col("Id").alias("EstudianteId"))
+        orphans = numbered(x.filter("_number IS NULL").withColumn("_minus", -F.col("arrival_seq")), "_minus", zero, "_k")
+        without = orphans.join(by_age, "_k").drop("_k", "_minus")
+    else:
+        without = x.filter("_number IS NULL").join(made.select(F.col("_seq").alias("arrival_seq"), F.col("Id").alias("EstudianteId")), "arrival_seq")
     done = with_number.unionByName(without).join(program, "programa")
     return done.select(
         "Id", "EstudianteId", "ProgramaId", F.col("usuario_id").alias("UsuarioId"), F.lit("Cedula").alias("TipoDocumento"), F.col("archivo").alias("Archivo"), uploaded.alias("FechaSubida"),
@@ -153,8 +158,10 @@ class Tables:
 def consolidate(extractions: DataFrame, users: DataFrame, students: DataFrame, programs: DataFrame, documents: DataFrame, uploaded: Column) -> Tables:
     """All four tables' next state from a batch of arrivals; `documents` holds the new rows only."""
     x = known_users(defaults(extractions), users)
-    s, p = upsert_students(x, students), ensure_programs(x, programs)
-    return Tables(s, p, append_documents(x, s, p, documents, uploaded), unknown_users(extractions, users))
+    updated, added = _upserted(x, students)
+    s, p = updated.unionByName(added.drop("_seq")), ensure_programs(x, programs)
+    made = added.filter("NumeroDocumento IS NULL").select("_seq", "Id")
+    return Tables(s, p, append_documents(x, s, p, documents, uploaded, made), unknown_users(extractions, users))
 
 
 def verified(documents: DataFrame, students: DataFrame, programs: DataFrame, users: DataFrame, written: DataFrame) -> DataFrame:

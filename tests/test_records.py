@@ -41,6 +41,14 @@ def test_replay_is_idempotent(spark):
     assert rows(records.upsert_students(x, once)) == rows(once)
 
 
+def test_documents_find_their_nameless_students_either_way(spark):
+    x, s, p = records.known_users(X.extractions(spark, SF), X.users(spark, SF)), X.students(spark, SF).filter("NumeroDocumento IS NOT NULL"), X.programs(spark, SF)
+    none, when = spark.createDataFrame([], "Id int"), F.to_timestamp(F.lit(X.ARRIVED))
+    done = records.consolidate(x, X.users(spark, SF), s, p, none, when)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(records.append_documents(x, done.students, done.programs, none, when)) == rows(done.documents)
+
+
 def test_empty_batches(spark):
     x, s, p = X.extractions(spark, SF).limit(0), X.students(spark, SF), X.programs(spark, SF)
     done = records.consolidate(x, X.users(spark, SF), s, p, spark.createDataFrame([], "Id int"), F.current_timestamp())
