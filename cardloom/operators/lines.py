@@ -102,23 +102,30 @@ def capital_name(text: Column) -> Column:
     return F.array_join(F.transform(parts, lambda x: F.initcap(x)), "")
 
 
-def extract_by_lines(pages: DataFrame, as_of: Column, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def extract_by_lines(pages: DataFrame, as_of: Column, *, id_col: str = "doc_id", text_col: str = "text", wider: bool = False) -> DataFrame:
     """One row a text with the fields of `TEXT_FIELDS` and `edad`, null where the lines say nothing.
 
-    Of several assignments the last one wins. The number and the name have fallbacks over the whole text; ages count
-    to `as_of`. Rows without a text keep nulls; ids are expected to be unique.
+    Of several assignments the last one wins. The number and the name have fallbacks over the whole text, and with
+    `wider` the blood type, the birth date and the sex as well. Ages count to `as_of`. Rows without a text keep nulls;
+    ids are expected to be unique.
     """
-    t, carried = F.col(text_col), ("_number", "_name")
+    t = F.col(text_col)
+    fallback = {"numero_documento": longest_number(t), "nombre_completo": T.some(capital_name(t))}
+    if wider:
+        fallback |= {
+            "rh": T.match(t, r"(?U)\b[OAB][+-]\b"), "fecha_nacimiento": T.match(t, r"\d{2}-[A-Z]{3}-\d{4}"),
+            "sexo": F.when(t.rlike(r"(?U)\bM\b"), "Masculino").when(t.rlike(r"(?U)\bF\b"), "Femenino"),
+        }
+    carried = tuple(f"_{c}" for c in fallback)
     # What the whole text says goes with its lines, so texts are neither shuffled nor joined again.
-    whole = pages.select(F.col(id_col).alias("doc_id"), longest_number(t).alias("_number"), capital_name(t).alias("_name"), _split(t).alias("_lines"))
+    whole = pages.select(F.col(id_col).alias("doc_id"), *(v.alias(f"_{c}") for c, v in fallback.items()), _split(t).alias("_lines"))
     lines = whole.select("doc_id", *carried, F.size(F.coalesce("_lines", F.array().cast("array<string>"))).alias("_n"), F.posexplode_outer("_lines").alias("line_no", "raw"))
     # The last line stays even if it is a heading, then without a text: a document needs a row.
     lines = lines.withColumn("_drop", _headings_end(F.col("raw"))).filter("line_no IS NULL OR line_no >= _drop OR line_no = _n - 1").withColumn("raw", F.when(F.col("line_no") >= F.col("_drop"), F.col("raw")))
     found = fold(with_context(lines, carried), carried)
-    number = F.coalesce(T.some(F.col("numero_documento")), "_number", "numero_documento")
-    name = F.coalesce(T.some(F.col("nombre_completo")), T.some(F.col("_name")), "nombre_completo")
+    found = found.withColumns({c: F.coalesce(T.some(F.col(c)), f"_{c}", c) for c in fallback})
     return found.select(
-        "doc_id", name.alias("nombre_completo"), number.alias("numero_documento"), "fecha_nacimiento", "sexo",
+        "doc_id", "nombre_completo", "numero_documento", "fecha_nacimiento", "sexo",
         "lugar_nacimiento", "fecha_expedicion", "nacionalidad", "rh", T.age(F.col("fecha_nacimiento"), as_of).alias("edad"),
     )
 

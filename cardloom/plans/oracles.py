@@ -162,6 +162,9 @@ SELECT p.doc_id, coalesce(nullif(f.nombre_completo, ''), nullif({NAME}, ''), f.n
   coalesce(nullif(f.numero_documento, ''), {NUMBER}, f.numero_documento) AS numero_documento,
   f.fecha_nacimiento, f.sexo, f.lugar_nacimiento, f.fecha_expedicion, f.nacionalidad, f.rh, {age('f.fecha_nacimiento')} AS edad
 FROM pages p LEFT JOIN f USING (doc_id)"""
+BORN = f"coalesce(nullif(f.fecha_nacimiento, ''), nullif(regexp_extract(text, '[0-9]{{2}}-[A-Z]{{3}}-[0-9]{{4}}', 0), ''), f.fecha_nacimiento)"
+WIDER = BY_LINES.replace("f.fecha_nacimiento, f.sexo, ", f"{BORN} AS fecha_nacimiento, coalesce(f.sexo, CASE WHEN regexp_matches(text, '(^|[^{WORD}])M($|[^{WORD}])') THEN 'Masculino' WHEN regexp_matches(text, '(^|[^{WORD}])F($|[^{WORD}])') THEN 'Femenino' END) AS sexo, ")
+WIDER = WIDER.replace("f.rh, ", f"coalesce(nullif(f.rh, ''), {short_blood('text')}, f.rh) AS rh, ").replace(age("f.fecha_nacimiento"), age(BORN))
 _N = r"([A-ZÁÉÍÓÚÑ\s]+)"
 PATTERNS = {
     "numero_documento": rf"nullif(regexp_extract(text, '(^|[^{WORD}])([0-9]{{6,15}})($|[^{WORD}])', 2), '')",
@@ -371,6 +374,7 @@ ORACLES = {
       coalesce(regexp_extract(upper({_found('(O|A|B|AB)[+-]')}), '^([ABO]{{1,2}}[+-])', 1), '') AS tipo_sangre, coalesce({sex(_found(f'(^|[^{WORD}])([MF])($|[^{WORD}])', 2, 'upper(text)'))}, '') AS sexo,
       {_after('APELLIDOS')} AS apellidos, {_after('NOMBRES')} AS nombres, trim({_after('NOMBRES')} || ' ' || {_after('APELLIDOS')}) AS nombre_completo,
       {_after('LUGAR DE NACIMIENTO', '()')} AS lugar_nacimiento, {_after('NACIONALIDAD')} AS nacionalidad FROM ({X.CARD_SQL})""",
+    "x15_wider_fallbacks": WIDER,
     "l01_word_dedupe": f"WITH {WORDS} SELECT doc_id, page_no, config_ord, word_ord, text, norm, x, y, w, h, cx, cy, conf FROM d",
     "l02_line_clustering": f"WITH RECURSIVE {CLUSTERED} SELECT doc_id, page_no, config_ord, word_ord, line_id FROM b",
     "l03_line_assembly": f"WITH RECURSIVE {LINED} SELECT * EXCLUDE (letters) FROM n",

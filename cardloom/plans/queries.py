@@ -212,6 +212,11 @@ def x14_extract_hybrid(spark, sf_dir):
     return lines.extract_hybrid(X.card_text(spark, sf_dir))
 
 
+@query
+def x15_wider_fallbacks(spark, sf_dir):
+    return lines.extract_by_lines(X.card_text(spark, sf_dir), as_of(), wider=True)
+
+
 def _words(spark, sf_dir):
     return layout.dedupe_words(layout.usable_words(X.words_raw(spark, sf_dir)))
 
