@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -38,9 +39,25 @@ def staged(df: DataFrame) -> DataFrame:
     df.write.parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
     out._staged_at = at
+    for held in _SCRATCH[-1:]:
+        held.append(out)
     return out
 
 
+_SCRATCH: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Deletes at its end what `staged` wrote in it, but for what is taken off the list; for work whose outcome is written before the end."""
+    _SCRATCH.append([])
+    try:
+        yield _SCRATCH[-1]
+    finally:
+        for df in _SCRATCH.pop():
+            discard(df)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes what `staged` wrote for a DataFrame that nothing reads any more."""
     path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged_at)
