@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardloom.llm import exact_dedup, langid, near_texts, packing, substring_dedup
-from cardloom.llm.shared import staged
+from cardloom.llm.shared import discard, scratch, staged
 
 #: Documents go of whose letters a smaller share is in identified languages, one or several; clean documents have 1.
 LEAST_SHARE = 0.5
@@ -58,10 +58,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of `sf_dir`, each written as Parquet and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = staged(docs)
-    return docs
+    """All stages over the documents of `sf_dir`, each written as Parquet and read again by the next; what a stage leaves besides is deleted."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        with scratch() as made:
+            docs = staged(stage(spark, docs, sf_dir))
+            made.pop()
+        if before is not None:
+            discard(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
