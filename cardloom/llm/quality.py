@@ -159,8 +159,8 @@ def train(rows: list[tuple[str | None, int]], *, epochs: int = 12, batch: int =
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Machine:
     """A machine of at most `sample` rows of each label, of those whose fold (crc32 of the id modulo 5) is not 0. Rows without a label are left out."""
     y = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_y IS NOT NULL")
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(y, "_id").filter(fold("_id", 5) != 0)
-    return train(bounded_rows(rows, "_y", sample, id_col="_id", text_col="_t"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).filter(fold("_id", 5) != 0)
+    return train(bounded_rows(rows, "_y", sample, labels=y, id_col="_id", text_col="_t"))
 
 
 def scored(docs: DataFrame, machine: Machine, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
