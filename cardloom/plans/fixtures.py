@@ -89,7 +89,7 @@ def words_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, n = F.col("l_orderkey"), F.col("l_linenumber")
     mixed = k * 7 + n * 13
     base = li.select(
-        k.alias("doc_id"), F.lit(1).alias("page_no"), n.alias("n"), mixed.alias("m"),
+        k.alias("doc_id"), F.when(n > 5, 2).otherwise(1).alias("page_no"), n.alias("n"), mixed.alias("m"),
         F.explode(F.array(F.lit(0), F.lit(1))).alias("config_ord"),
     )
     m, c = F.col("m"), F.col("config_ord")
@@ -103,7 +103,7 @@ def words_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-WORDS_SQL = f"""SELECT l_orderkey AS doc_id, 1 AS page_no, config_ord, l_linenumber AS word_ord, {sql_pick(WORDS, 'm', 'l_orderkey')} AS text,
+WORDS_SQL = f"""SELECT l_orderkey AS doc_id, CASE WHEN l_linenumber > 5 THEN 2 ELSE 1 END AS page_no, config_ord, l_linenumber AS word_ord, {sql_pick(WORDS, 'm', 'l_orderkey')} AS text,
   CAST(([14.9, 15.0, 15.1, 60.0, 91.5, -1.0])[CAST((m + config_ord) % 6 AS INTEGER) + 1] AS DOUBLE) AS conf,
   CAST((m * 3 % 9) * 55 + m % 3 * 5 + config_ord * (m % 2) * 5 AS INTEGER) AS x,
   CAST(m % 5 * 27 + m % 4 * 4 + config_ord * 2 AS INTEGER) AS y,
