@@ -3,7 +3,8 @@
 Fingerprints that differ in at most 3 bits agree in all bits of at least `blocks - 3` of `blocks` blocks. So each
 distinct fingerprint goes to one shard for every such choice of blocks, and a BK-tree over the shard (children keyed
 by their Hamming distance to the parent) answers radius searches by following only edges within the radius. A shard
-with more than `shard_cap` fingerprints is cut into parts, and every part's tree is sent to every part's searches.
+with more than `shard_cap` fingerprints is sharded again by blocks of its other bits, of which one must agree as well;
+what is still larger is cut into parts, and every part's tree is sent to every part's searches.
 A search leaves only the links that join two groups, so a shard emits fewer links than it has fingerprints.
 """
 
@@ -15,7 +16,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.llm.arrays import Words, normal
@@ -140,14 +141,20 @@ def _blocks(blocks: int) -> list[tuple[int, int]]:
     return list(zip(edges, edges[1:], strict=False))
 
 
-def _keys(fp: Column, blocks: int, radius: int) -> Column:
-    """Of every choice of blocks - radius blocks, a key from the choice's number and its bits."""
-    out = []
-    for k, chosen in enumerate(combinations(_blocks(blocks), blocks - radius)):
-        mask = sum(((1 << (b - a)) - 1) << a for a, b in chosen)
-        mask -= (mask >> 63) << 64
-        out.append(F.struct(F.lit(k).alias("k"), fp.bitwiseAND(F.lit(mask).cast("long")).alias("bits")))
-    return F.array(*out)
+def _signed(mask: int) -> int:
+    return mask - (mask >> 63 << 64)
+
+
+def _masks(blocks: int, radius: int) -> list[int]:
+    """Of every choice of blocks - radius blocks their bits."""
+    return [sum(((1 << (b - a)) - 1) << a for a, b in chosen) for chosen in combinations(_blocks(blocks), blocks - radius)]
+
+
+def _finer_masks(mask: int, radius: int) -> list[int]:
+    """The mask with each of radius + 1 parts of the bits outside it: two fingerprints within the radius that agree in the mask agree in one of these."""
+    rest = [i for i in range(64) if not mask >> i & 1]
+    edges = [round(len(rest) * i / (radius + 1)) for i in range(radius + 2)]
+    return [mask | sum(1 << i for i in rest[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
 
 
 def links(fps: DataFrame, *, radius: int = RADIUS, shard_cap: int = 4096, blocks: int | None = None) -> DataFrame:
@@ -158,15 +165,23 @@ def links(fps: DataFrame, *, radius: int = RADIUS, shard_cap: int = 4096, blocks
     if blocks is None:
         n = fps.count()
         blocks = radius + 1 if n <= 1 << 22 else radius + 2 if n <= 1 << 31 else radius + 3
-    keyed = fps.select("id", "fp", F.explode(_keys(F.col("fp"), blocks, radius)).alias("key")).select("id", "fp", "key.k", "key.bits")
-    sizes = keyed.groupBy("k", "bits").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    masks, fp = _masks(blocks, radius), F.col("fp")
+    keys = F.array(*(F.struct(F.lit(k).alias("k"), fp.bitwiseAND(F.lit(_signed(m))).alias("bits")) for k, m in enumerate(masks)))
+    keyed = fps.select("id", "fp", F.explode(keys).alias("key")).select("id", "fp", "key.k", "key.bits")
+    count = lambda df: df.groupBy("k", "bits").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    sized = keyed.join(count(keyed), ["k", "bits"])
+    large = staged(count(keyed).filter(F.col("n") > shard_cap).select("k", "bits"))
+    if large.limit(1).count():
+        finer = F.array(*(F.array(*(F.lit(_signed(m)) for m in _finer_masks(mask, radius))) for mask in masks))[F.col("k")]
+        again = F.transform(finer, lambda m, j: F.struct((F.lit(len(masks)) + F.col("k") * (radius + 1) + j).cast("int").alias("k"), F.col("fp").bitwiseAND(m).alias("bits")))
+        more = keyed.join(large, ["k", "bits"], "left_semi").select("id", "fp", F.explode(again).alias("key")).select("id", "fp", "key.k", "key.bits")
+        sized = sized.filter(F.col("n") <= shard_cap).unionByName(more.join(count(more), ["k", "bits"]))
     parts = F.ceil(F.col("n") / shard_cap).cast("int")
     mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     # A part meets itself and every other part once: cell (i, j) with i <= j holds the tree of i and the searches of j.
     cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("mine")).alias("i"), F.greatest(o, F.col("mine")).alias("j")))
     dealt = (
-        keyed.join(sizes, ["k", "bits"])
-        .withColumn("parts", parts)
+        sized.withColumn("parts", parts)
         .withColumn("mine", mine)
         .select("id", "fp", "k", "bits", "mine", F.explode(cells).alias("cell"))
         .select("id", "fp", "mine", F.xxhash64("k", "bits", "cell.i", "cell.j").alias("shard"), "k", "bits", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"))
