@@ -48,17 +48,21 @@ def unknown_users(extractions: DataFrame, users: DataFrame) -> DataFrame:
     return extractions.join(users.select(F.col("Id").alias("usuario_id")).distinct(), "usuario_id", "left_anti")
 
 
-def numbered(rows: DataFrame, order: str, after: DataFrame, key: str) -> DataFrame:
+def bounds_of(rows: DataFrame, order: str) -> list[int]:
+    """Bounds that cut an order, a column of whole numbers, into a range for every shuffle partition; so many numbers reach the driver."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = [i / parts for i in range(1, parts)]
+    return sorted(set(rows.select(F.percentile_approx(order, cuts, max(10_000, 10 * parts)).alias("q")).first()["q"] or [])) if cuts else []
+
+
+def numbered(rows: DataFrame, order: str, after: DataFrame, key: str, bounds: list[int] | None = None) -> DataFrame:
     """Adds `key`: the largest in `after`, plus each row's rank by `order`, which has no ties.
 
     Ranks come from counts of ranges of the order, so that no task sees all rows: a row's rank is its rank in its range
-    and the sizes of the ranges before. There is a range for every shuffle partition; their bounds, so many whole
-    numbers, are all that reaches the driver, and a row finds its range by halving.
+    and the sizes of the ranges before. A row finds its range by halving. `bounds` of a table with about the same order
+    save a pass over `rows`; any bounds give the same ranks.
     """
-    spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = [i / parts for i in range(1, parts)]
-    bounds = sorted(set(rows.select(F.percentile_approx(order, cuts, max(10_000, 10 * parts)).alias("q")).first()["q"] or [])) if cuts else []
+    bounds = bounds_of(rows, order) if bounds is None else bounds
     cut = rows.withColumn("_range", range_of(F.col(order), bounds))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = cut.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
@@ -89,7 +93,7 @@ def upsert_students(extractions: DataFrame, students: DataFrame) -> DataFrame:
     return updated.unionByName(added.drop("_seq"))
 
 
-def _upserted(extractions: DataFrame, students: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _upserted(extractions: DataFrame, students: DataFrame, bounds: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
     """The students there were, brought up to date, and the new ones with `_seq`, the arrival that made each."""
     number = T.some(T.strip(F.col("numero_documento")))
     x = extractions.withColumn("_number", number)
@@ -114,23 +118,23 @@ def _upserted(extractions: DataFrame, students: DataFrame) -> tuple[DataFrame, D
         F.col("arrival_seq").alias("_seq"), F.lit(None).cast("string").alias("NumeroDocumento"),
         *(F.coalesce(F.col(f), F.lit("")).alias(c) for f, c in FILLED.items()), F.col("programa").alias("Programa"), F.col("usuario_id").alias("UsuarioId"),
     )
-    return updated, numbered(new.unionByName(nameless), "_seq", students, "Id")
+    return updated, numbered(new.unionByName(nameless), "_seq", students, "Id", bounds_of(extractions, "arrival_seq") if bounds is None else bounds)
 
 
-def ensure_programs(extractions: DataFrame, programs: DataFrame) -> DataFrame:
+def ensure_programs(extractions: DataFrame, programs: DataFrame, bounds: list[int] | None = None) -> DataFrame:
     """The programmes after all arrivals: unknown names are added in order of arrival."""
     fresh = extractions.filter("programa IS NOT NULL").groupBy(F.col("programa").alias("nombre")).agg(F.min("arrival_seq").alias("_seq"))
     fresh = fresh.join(programs.select("nombre").distinct(), "nombre", "left_anti")
-    return programs.select("id", "nombre").unionByName(numbered(fresh, "_seq", programs, "id").select("id", "nombre"))
+    return programs.select("id", "nombre").unionByName(numbered(fresh, "_seq", programs, "id", bounds_of(extractions, "arrival_seq") if bounds is None else bounds).select("id", "nombre"))
 
 
-def append_documents(extractions: DataFrame, students: DataFrame, programs: DataFrame, documents: DataFrame, uploaded: Column, made: DataFrame | None = None) -> DataFrame:
+def append_documents(extractions: DataFrame, students: DataFrame, programs: DataFrame, documents: DataFrame, uploaded: Column, made: DataFrame | None = None, bounds: list[int] | None = None) -> DataFrame:
     """The new rows of documento: every arrival with its student, programme and user.
 
     `students` and `programs` are those after the arrivals. A student without a number belongs to the arrival that
     made it: `made` (_seq, Id) tells which; without it the k-th latest such arrival made the k-th newest such student.
     """
-    x = numbered(extractions.withColumn("_number", T.some(T.strip(F.col("numero_documento")))), "arrival_seq", documents, "Id")
+    x = numbered(extractions.withColumn("_number", T.some(T.strip(F.col("numero_documento")))), "arrival_seq", documents, "Id", bounds)
     named = first_by(students, "NumeroDocumento", "Id").select(F.col("Id").alias("EstudianteId"), F.col("NumeroDocumento").alias("_number"))
     program = first_by(programs, "nombre", "id").select(F.col("id").alias("ProgramaId"), F.col("nombre").alias("programa"))
     with_number = x.filter("_number IS NOT NULL").join(named, "_number")
@@ -158,10 +162,11 @@ class Tables:
 def consolidate(extractions: DataFrame, users: DataFrame, students: DataFrame, programs: DataFrame, documents: DataFrame, uploaded: Column) -> Tables:
     """All four tables' next state from a batch of arrivals; `documents` holds the new rows only."""
     x = known_users(defaults(extractions), users)
-    updated, added = _upserted(x, students)
-    s, p = updated.unionByName(added.drop("_seq")), ensure_programs(x, programs)
+    bounds = bounds_of(extractions, "arrival_seq")  # one pass over the arrivals serves all three numberings
+    updated, added = _upserted(x, students, bounds)
+    s, p = updated.unionByName(added.drop("_seq")), ensure_programs(x, programs, bounds)
     made = added.filter("NumeroDocumento IS NULL").select("_seq", "Id")
-    return Tables(s, p, append_documents(x, s, p, documents, uploaded, made), unknown_users(extractions, users))
+    return Tables(s, p, append_documents(x, s, p, documents, uploaded, made, bounds), unknown_users(extractions, users))
 
 
 def verified(documents: DataFrame, students: DataFrame, programs: DataFrame, users: DataFrame, written: DataFrame) -> DataFrame:
@@ -182,7 +187,7 @@ def register(requests: DataFrame, users: DataFrame) -> DataFrame:
     """New users from requests (seq, email, name, last_name, password_hash): the first of each address that no user has."""
     fresh = requests.groupBy(F.col("email").alias("Email")).agg(F.min(F.struct("seq", "name", "last_name", "password_hash")).alias("r"))
     fresh = fresh.join(users.select("Email").distinct(), "Email", "left_anti").select(F.col("r.seq").alias("_seq"), "Email", F.col("r.name").alias("Nombre"), F.col("r.last_name").alias("Apellido"), F.col("r.password_hash").alias("Password"))
-    return numbered(fresh, "_seq", users, "Id").select("Id", "Nombre", "Apellido", "Email", "Password", F.lit(0).alias("ConteoIngresos"))
+    return numbered(fresh, "_seq", users, "Id", bounds_of(requests, "seq")).select("Id", "Nombre", "Apellido", "Email", "Password", F.lit(0).alias("ConteoIngresos"))
 
 
 def count_logins(users: DataFrame, logins: DataFrame) -> DataFrame:
