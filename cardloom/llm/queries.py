@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cardloom.llm import bpe, exact_dedup, langid, matroska, packing, quality, simhash, substring_dedup, toxicity, warc
+from cardloom.llm import bpe, exact_dedup, hamerly, langid, matroska, packing, quality, simhash, substring_dedup, toxicity, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_documents(spark, sf_dir))
 
 
+def op11_hamerly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamerly.clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_bpe": op2_bpe,
@@ -65,10 +69,12 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_warc_fixity": op9_warc_fixity,
     "op10_simhash": op10_simhash,
+    "op11_hamerly": op11_hamerly,
 }
 
 ORACLES = {
     "op1_substring_dedup": substring_dedup.ORACLE_SQL,
     "op8_exact_dedup": exact_dedup.ORACLE_SQL,
     "op9_warc_fixity": warc.ORACLE_SQL,
+    "op11_hamerly": hamerly.ORACLE_SQL,
 }
