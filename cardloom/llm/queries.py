@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cardloom.llm import bpe, exact_dedup, hamerly, langid, matroska, packing, prefix_trie, quality, simhash, substring_dedup, toxicity, warc
+from cardloom.llm import bpe, count_rtree, exact_dedup, hamerly, langid, matroska, packing, prefix_trie, quality, simhash, substring_dedup, toxicity, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op11_hamerly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamerly.clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_count_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_rtree.similarity_classes(_documents(spark, sf_dir))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -74,6 +78,7 @@ QUERIES = {
     "op9_warc_fixity": op9_warc_fixity,
     "op10_simhash": op10_simhash,
     "op11_hamerly": op11_hamerly,
+    "op12_count_rtree": op12_count_rtree,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
@@ -82,5 +87,6 @@ ORACLES = {
     "op8_exact_dedup": exact_dedup.ORACLE_SQL,
     "op9_warc_fixity": warc.ORACLE_SQL,
     "op11_hamerly": hamerly.ORACLE_SQL,
+    "op12_count_rtree": count_rtree.ORACLE_SQL,
     "op13_prefix_trie": prefix_trie.ORACLE_SQL,
 }
