@@ -48,6 +48,17 @@ def unknown_users(extractions: DataFrame, users: DataFrame) -> DataFrame:
     return extractions.join(users.select(F.col("Id").alias("usuario_id")).distinct(), "usuario_id", "left_anti")
 
 
+def accepted(extractions: DataFrame, users: DataFrame) -> DataFrame:
+    """The arrivals that are stored: their user exists and they name a programme, which no document is without."""
+    return known_users(extractions.filter("programa IS NOT NULL"), users)
+
+
+def refused(extractions: DataFrame, users: DataFrame) -> DataFrame:
+    """The arrivals that aren't, with `reason`: 'usuario' where the user is unknown, else 'programa'."""
+    nameless = known_users(extractions.filter("programa IS NULL"), users)
+    return unknown_users(extractions, users).withColumn("reason", F.lit("usuario")).unionByName(nameless.withColumn("reason", F.lit("programa")))
+
+
 def bounds_of(rows: DataFrame, order: str) -> list[int]:
     """Bounds that cut an order, a column of whole numbers, into a range for every shuffle partition; so many numbers reach the driver."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -93,8 +104,8 @@ def upsert_students(extractions: DataFrame, students: DataFrame) -> DataFrame:
     return updated.unionByName(added.drop("_seq"))
 
 
-def _upserted(extractions: DataFrame, students: DataFrame, bounds: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
-    """The students there were, brought up to date, and the new ones with `_seq`, the arrival that made each."""
+def _upserted(extractions: DataFrame, students: DataFrame, bounds: list[int] | None = None, after: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The students there were, brought up to date, and the new ones with `_seq`, the arrival that made each, numbered on from `after` (the students themselves)."""
     number = T.some(T.strip(F.col("numero_documento")))
     x = extractions.withColumn("_number", number)
     last = lambda f: F.max_by(f, F.when(T.some(F.col(f)).isNotNull(), F.col("arrival_seq")))
@@ -118,23 +129,38 @@ def _upserted(extractions: DataFrame, students: DataFrame, bounds: list[int] | N
         F.col("arrival_seq").alias("_seq"), F.lit(None).cast("string").alias("NumeroDocumento"),
         *(F.coalesce(F.col(f), F.lit("")).alias(c) for f, c in FILLED.items()), F.col("programa").alias("Programa"), F.col("usuario_id").alias("UsuarioId"),
     )
-    return updated, numbered(new.unionByName(nameless), "_seq", students, "Id", bounds_of(extractions, "arrival_seq") if bounds is None else bounds)
+    return updated, numbered(new.unionByName(nameless), "_seq", students if after is None else after, "Id", bounds_of(extractions, "arrival_seq") if bounds is None else bounds)
+
+
+def student_changes(extractions: DataFrame, students: DataFrame, after: DataFrame, bounds: list[int] | None = None) -> DataFrame:
+    """The students that the arrivals change or make, alone, with `_seq` of those they make (null for others).
+
+    `students` are those that hold the arrivals' numbers; others may be among them, or not. `after` has the largest Id.
+    """
+    held = extractions.select(T.some(T.strip(F.col("numero_documento"))).alias("NumeroDocumento")).distinct()
+    changed, added = _upserted(extractions, first_by(students, "NumeroDocumento", "Id").join(held, "NumeroDocumento", "left_semi").select(*students.columns), bounds, after)
+    return changed.withColumn("_seq", F.lit(None).cast("long")).unionByName(added.withColumn("_seq", F.col("_seq").cast("long")))
 
 
 def ensure_programs(extractions: DataFrame, programs: DataFrame, bounds: list[int] | None = None) -> DataFrame:
     """The programmes after all arrivals: unknown names are added in order of arrival."""
+    return programs.select("id", "nombre").unionByName(new_programs(extractions, programs, programs, bounds))
+
+
+def new_programs(extractions: DataFrame, programs: DataFrame, after: DataFrame, bounds: list[int] | None = None) -> DataFrame:
+    """The programmes that the arrivals add; `programs` are those of their names, `after` has the largest id."""
     fresh = extractions.filter("programa IS NOT NULL").groupBy(F.col("programa").alias("nombre")).agg(F.min("arrival_seq").alias("_seq"))
     fresh = fresh.join(programs.select("nombre").distinct(), "nombre", "left_anti")
-    return programs.select("id", "nombre").unionByName(numbered(fresh, "_seq", programs, "id", bounds_of(extractions, "arrival_seq") if bounds is None else bounds).select("id", "nombre"))
+    return numbered(fresh, "_seq", after, "id", bounds_of(extractions, "arrival_seq") if bounds is None else bounds).select("id", "nombre")
 
 
 def append_documents(extractions: DataFrame, students: DataFrame, programs: DataFrame, documents: DataFrame, uploaded: Column, made: DataFrame | None = None, bounds: list[int] | None = None) -> DataFrame:
-    """The new rows of documento: every arrival with its student, programme and user.
+    """The new rows of documento: every arrival with its student, programme and user. Arrivals without a programme are none (see `refused`).
 
     `students` and `programs` are those after the arrivals. A student without a number belongs to the arrival that
     made it: `made` (_seq, Id) tells which; without it the k-th latest such arrival made the k-th newest such student.
     """
-    x = numbered(extractions.withColumn("_number", T.some(T.strip(F.col("numero_documento")))), "arrival_seq", documents, "Id", bounds)
+    x = numbered(extractions.filter("programa IS NOT NULL").withColumn("_number", T.some(T.strip(F.col("numero_documento")))), "arrival_seq", documents, "Id", bounds)
     named = first_by(students, "NumeroDocumento", "Id").select(F.col("Id").alias("EstudianteId"), F.col("NumeroDocumento").alias("_number"))
     program = first_by(programs, "nombre", "id").select(F.col("id").alias("ProgramaId"), F.col("nombre").alias("programa"))
     with_number = x.filter("_number IS NOT NULL").join(named, "_number")
@@ -161,12 +187,12 @@ class Tables:
 
 def consolidate(extractions: DataFrame, users: DataFrame, students: DataFrame, programs: DataFrame, documents: DataFrame, uploaded: Column) -> Tables:
     """All four tables' next state from a batch of arrivals; `documents` holds the new rows only."""
-    x = known_users(defaults(extractions), users)
+    x = accepted(defaults(extractions), users)
     bounds = bounds_of(extractions, "arrival_seq")  # one pass over the arrivals serves all three numberings
     updated, added = _upserted(x, students, bounds)
     s, p = updated.unionByName(added.drop("_seq")), ensure_programs(x, programs, bounds)
     made = added.filter("NumeroDocumento IS NULL").select("_seq", "Id")
-    return Tables(s, p, append_documents(x, s, p, documents, uploaded, made, bounds), unknown_users(extractions, users))
+    return Tables(s, p, append_documents(x, s, p, documents, uploaded, made, bounds), refused(extractions, users))
 
 
 def verified(documents: DataFrame, students: DataFrame, programs: DataFrame, users: DataFrame, written: DataFrame) -> DataFrame:
@@ -187,7 +213,12 @@ def register(requests: DataFrame, users: DataFrame) -> DataFrame:
     """New users from requests (seq, email, name, last_name, password_hash): the first of each address that no user has."""
     fresh = requests.groupBy(F.col("email").alias("Email")).agg(F.min(F.struct("seq", "name", "last_name", "password_hash")).alias("r"))
     fresh = fresh.join(users.select("Email").distinct(), "Email", "left_anti").select(F.col("r.seq").alias("_seq"), "Email", F.col("r.name").alias("Nombre"), F.col("r.last_name").alias("Apellido"), F.col("r.password_hash").alias("Password"))
-    return numbered(fresh, "_seq", users, "Id", bounds_of(requests, "seq")).select("Id", "Nombre", "Apellido", "Email", "Password", F.lit(0).alias("ConteoIngresos"))
+    return numbered_users(fresh, users, bounds_of(requests, "seq"))
+
+
+def numbered_users(fresh: DataFrame, after: DataFrame, bounds: list[int] | None = None) -> DataFrame:
+    """Users from the requests that make one (_seq, Email, Nombre, Apellido, Password), numbered on from the largest Id of `after` in their order."""
+    return numbered(fresh, "_seq", after, "Id", bounds).select("Id", "Nombre", "Apellido", "Email", "Password", F.lit(0).alias("ConteoIngresos"))
 
 
 def count_logins(users: DataFrame, logins: DataFrame) -> DataFrame:

@@ -134,12 +134,12 @@ CANDIDATES_SQL = " UNION ALL ".join(
     for page in (1, 2) for f, (field, cases) in enumerate(FIELD_CASES.items()) for s, source in enumerate(SOURCES)
 )
 
-PROGRAMS = ["Sistemas", "Cocina", "Nuevo {k}", "Redes"]
+PROGRAMS = ["Sistemas", "Cocina", "Nuevo {k}", "Redes", "Sistemas", "Cocina", None]
 PEOPLE = {"numero_documento": ["{k}", "{k}", "{k}", None, ""], "nombre_completo": ["Ana Luz", "", None, "Luis Gil"], "fecha_nacimiento": ["1990-08-17", "", "17-AGO-1990"], "sexo": ["Masculino", None, "Femenino", ""], "lugar_nacimiento": ["Cali", "", "Bogota", None, "Pasto"], "nacionalidad": ["Col", ""], "tipo_sangre": ["O+", "", None, "AB-"]}
 
 
 def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(arrival_seq, usuario_id, programa, archivo, the fields); several arrivals share a number, some users are unknown."""
+    """(arrival_seq, usuario_id, programa, archivo, the fields); several arrivals share a number, some users are unknown, some programmes missing."""
     key = F.col("o_orderkey")
     who = F.floor(key / 3).cast("long")
     columns = [pick(cases, key if name != "numero_documento" else who, who + 20_000_000).alias(name) for name, cases in PEOPLE.items()]

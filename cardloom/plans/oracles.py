@@ -271,7 +271,7 @@ spot AS (SELECT doc_id, page_no, field, {_clean_valid("'lugar_nacimiento'", 'p')
 val AS MATERIALIZED (SELECT doc_id, page_no, field, coalesce(any_value(spot.v), arg_min(said.v, abs(dist)) FILTER (WHERE said.v IS NOT NULL)) AS value FROM said LEFT JOIN spot USING (doc_id, page_no, field) GROUP BY ALL)"""
 
 
-_E = f"e AS ({X.EXTRACTIONS_SQL}), u AS ({X.USERS_SQL}), s AS ({X.STUDENTS_SQL}), p AS ({X.PROGRAMS_SQL}), x AS (SELECT *, nullif({strip('numero_documento')}, '') AS number FROM e WHERE usuario_id IN (SELECT Id FROM u))"
+_E = f"e AS ({X.EXTRACTIONS_SQL}), u AS ({X.USERS_SQL}), s AS ({X.STUDENTS_SQL}), p AS ({X.PROGRAMS_SQL}), x AS (SELECT *, nullif({strip('numero_documento')}, '') AS number FROM e WHERE usuario_id IN (SELECT Id FROM u) AND programa IS NOT NULL)"
 _FILL = {"nombre_completo": "NombreCompleto", "fecha_nacimiento": "FechaNacimiento", "sexo": "Sexo", "lugar_nacimiento": "LugarNacimiento", "nacionalidad": "Nacionalidad", "tipo_sangre": "TipoSangre"}
 STUDENTS = f"""{_E}, fold AS (SELECT number, min(arrival_seq) AS seq, {', '.join(f"arg_max({a}, arrival_seq) FILTER (WHERE nullif({a}, '') IS NOT NULL) AS f_{b}" for a, b in _FILL.items())}, arg_max(programa, arrival_seq) AS prog, arg_min(usuario_id, arrival_seq) AS usr FROM x WHERE number IS NOT NULL GROUP BY number),
 k AS (SELECT NumeroDocumento AS number, min(Id) AS sid FROM s WHERE NumeroDocumento IS NOT NULL GROUP BY 1),
@@ -429,6 +429,9 @@ ORACLES = {
     "m06_login_counter": f"""WITH u AS ({X.USERS_SQL}), l AS (SELECT 'user' || user_id || '@example.org' AS Email, count(*) FILTER (WHERE event_id % 5 > 0) AS n FROM events GROUP BY 1)
       SELECT u.Id, u.Email, CAST(CASE WHEN coalesce(n, 0) = 0 THEN ConteoIngresos ELSE coalesce(ConteoIngresos, 0) + n END AS INTEGER) AS ConteoIngresos FROM u LEFT JOIN l USING (Email)""",
     "snk2_verify_append": f"WITH done AS ({DOCUMENTS}) SELECT Id, Id % 100 > 0 AS stored, true AS student, true AS program, true AS \"user\" FROM done",
+    "m07_store_students": f"WITH {STUDENTS} SELECT * FROM after_s",
+    "m07_store_documents": f"WITH done AS ({DOCUMENTS}), {STUDENTS}, {PROGRAMS.split('), np AS', 1)[1].join(['np AS', ''])} SELECT done.*, a.NumeroDocumento, b.nombre AS Programa FROM done JOIN after_s a ON a.Id = EstudianteId JOIN after_p b ON b.id = ProgramaId",
+    "m07_store_rejected": f"WITH {_E} SELECT arrival_seq, usuario_id, programa, CASE WHEN usuario_id IN (SELECT Id FROM u) THEN 'programa' ELSE 'usuario' END AS reason FROM e WHERE usuario_id NOT IN (SELECT Id FROM u) OR programa IS NULL",
     "src05_lookup": f"SELECT Id, NumeroDocumento FROM ({X.STUDENTS_SQL}) WHERE NumeroDocumento = '20000013' ORDER BY Id LIMIT 1",
     "src06_literal_sql": f"SELECT Id, Email, ConteoIngresos FROM ({X.USERS_SQL}) ORDER BY Id LIMIT 1",
     "src01_joined_text": f"SELECT doc_id, string_agg(text || chr(10), '' ORDER BY page_no) AS text FROM (SELECT * FROM ({X.CARD_SQL}) UNION ALL SELECT doc_id, 2, CASE WHEN doc_id % 3 > 0 THEN 'page two ' || doc_id ELSE '  ' END FROM ({X.CARD_SQL})) WHERE {strip('text')} <> '' GROUP BY doc_id",
@@ -438,3 +441,4 @@ ORACLES = {
     "snk1_landing_path": f"SELECT arrival_seq, 'documentos/' || replace(programa, ' ', '_') || '/' || usuario_id || '_20240301_101112_' || archivo AS path FROM ({X.EXTRACTIONS_SQL})",
     "snk3_crop_url": f"SELECT arrival_seq, 'https://example.org/ocr/debug/' || programa || '/ocr_debug/pagina_01_nombres.png' AS url FROM ({X.EXTRACTIONS_SQL})",
 }
+ORACLES |= {"m05_register_stream": ORACLES["m05_register_unique"], "m06_login_stream": ORACLES["m06_login_counter"]}

@@ -11,6 +11,8 @@ from cardloom.operators import layout, lines, reconcile, records
 from cardloom.plans import fixtures as X
 from cardloom.plans.oracles import ORACLES  # noqa: F401
 from cardloom.sources import database, files, recognise
+from cardloom.streaming import accounts, ingest
+from cardloom.streaming.store import Store, shared_folder
 
 QUERIES = {}
 
@@ -396,7 +398,7 @@ def r09_envelope(spark, sf_dir):
 
 
 def _tables(spark, sf_dir):
-    x = records.known_users(records.defaults(X.extractions(spark, sf_dir)), X.users(spark, sf_dir))
+    x = records.accepted(records.defaults(X.extractions(spark, sf_dir)), X.users(spark, sf_dir))
     return x, X.students(spark, sf_dir), X.programs(spark, sf_dir)
 
 
@@ -425,17 +427,50 @@ def m04_user_gate(spark, sf_dir):
     return records.known_users(x, u).select("arrival_seq", "usuario_id", F.lit(True).alias("known")).union(records.unknown_users(x, u).select("arrival_seq", "usuario_id", F.lit(False)))
 
 
+def _requests(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return X.orders(spark, sf_dir).select(k.alias("seq"), F.concat(F.lit("user"), F.floor(k / 2).cast("string"), F.lit("@example.org")).alias("email"), F.concat(F.lit("N"), k.cast("string")).alias("name"), F.lit(None).cast("string").alias("last_name"), F.lit("x").alias("password_hash"))
+
+
 @query
 def m05_register_unique(spark, sf_dir):
-    k = F.col("o_orderkey")
-    r = X.orders(spark, sf_dir).select(k.alias("seq"), F.concat(F.lit("user"), F.floor(k / 2).cast("string"), F.lit("@example.org")).alias("email"), F.concat(F.lit("N"), k.cast("string")).alias("name"), F.lit(None).cast("string").alias("last_name"), F.lit("x").alias("password_hash"))
-    return records.register(r, X.users(spark, sf_dir)).select("Id", "Email", "Nombre", "ConteoIngresos")
+    return records.register(_requests(spark, sf_dir), X.users(spark, sf_dir)).select("Id", "Email", "Nombre", "ConteoIngresos")
+
+
+def _logins(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit("@example.org")).alias("email"), (F.col("event_id") % 5 > 0).alias("verified"))
+
+
+def _streamed(spark, rows, order, start, batches=3):
+    """Writes rows to a folder part by part, cut by an order; `start(stream, folder)` starts the stream anew over each part and the ones before."""
+    root = shared_folder(spark)
+    cuts = records.bounds_of(rows, order)
+    picked = sorted({cuts[len(cuts) * i // batches] for i in range(1, batches)}) if cuts else []
+    for low, high in zip([None, *picked], [*picked, None], strict=True):
+        part = rows if low is None else rows.filter(F.col(order) > low)
+        (part if high is None else part.filter(F.col(order) <= high)).write.mode("append").parquet(f"{root}/in")
+        start(spark.readStream.schema(rows.schema).parquet(f"{root}/in"), root).awaitTermination()
+
+
+@query
+def m05_register_stream(spark, sf_dir):
+    """The new users of a stream of all requests, restarted twice."""
+    store, users = Store(spark, shared_folder(spark), accounts.USERS), X.users(spark, sf_dir)
+    _streamed(spark, _requests(spark, sf_dir), "seq", lambda stream, at: accounts.register_stream(stream, store, users, f"{at}/checkpoint", once=True))
+    return store.read("users").select("Id", "Email", "Nombre", "ConteoIngresos")
+
+
+@query
+def m06_login_stream(spark, sf_dir):
+    """The users after a stream of all logins, restarted twice."""
+    store = Store(spark, shared_folder(spark), accounts.COUNTS)
+    _streamed(spark, _logins(spark, sf_dir), "event_id", lambda stream, at: accounts.count_stream(stream, store, f"{at}/checkpoint", once=True))
+    return accounts.counted(X.users(spark, sf_dir), store.read("logins"))
 
 
 @query
 def m06_login_counter(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit("@example.org")).alias("email"), (F.col("event_id") % 5 > 0).alias("verified"))
-    return records.count_logins(X.users(spark, sf_dir), e)
+    return records.count_logins(X.users(spark, sf_dir), _logins(spark, sf_dir).drop("event_id"))
 
 
 @query
@@ -448,6 +483,33 @@ def snk2_verify_append(spark, sf_dir):
     return records.verified(done.documents, done.students, done.programs, users, stored)
 
 
+def _stored(spark, sf_dir):
+    store = ingest.open_store(spark, shared_folder(spark), X.students(spark, sf_dir), X.programs(spark, sf_dir), fan=3)
+    return ingest.consolidate_in_batches(X.extractions(spark, sf_dir), X.users(spark, sf_dir), store, batches=4, uploaded=arrived())
+
+
+@query
+def m07_store_students(spark, sf_dir):
+    """The students of a store after four batches of all arrivals, merged on read."""
+    return _stored(spark, sf_dir).read("students")
+
+
+@query
+def m07_store_documents(spark, sf_dir):
+    """Each document that the batches published, with the number and the programme that its keys lead to in the store."""
+    store = _stored(spark, sf_dir)
+    base = store.manifest()
+    s, p = (store.read(n, base) for n in ("students", "programs"))
+    named = store.read("documents", base).join(s.select(F.col("Id").alias("EstudianteId"), "NumeroDocumento"), "EstudianteId").join(p.select(F.col("id").alias("ProgramaId"), "nombre"), "ProgramaId")
+    return named.select("Id", "EstudianteId", "ProgramaId", "UsuarioId", "TipoDocumento", "Archivo", "NumeroDocumento", F.col("nombre").alias("Programa"))
+
+
+@query
+def m07_store_rejected(spark, sf_dir):
+    """The arrivals that the batches refused, and why."""
+    return _stored(spark, sf_dir).read("rejected").select("arrival_seq", "usuario_id", "programa", "reason")
+
+
 @query
 def src01_joined_text(spark, sf_dir):
     one = X.card_text(spark, sf_dir)

@@ -34,7 +34,8 @@ def database_url(raw: str | None) -> str:
 def jdbc_options(raw: str | None, table: str) -> dict[str, str]:
     """Options of Spark's JDBC source for a table; the driver's jar has to be on the class path."""
     url = urlsplit(database_url(raw))
-    host = f"{url.hostname or ''}{f':{url.port}' if url.port else ''}"
+    name = url.hostname or ""
+    host = f"{f'[{name}]' if ':' in name else name}{f':{url.port}' if url.port else ''}"
     out = {"url": f"jdbc:{url.scheme}://{host}{url.path}{'?' + url.query if url.query else ''}", "dbtable": table}
     return out | ({"user": unquote(url.username)} if url.username else {}) | ({"password": unquote(url.password)} if url.password else {})
 

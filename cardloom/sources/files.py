@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def landing_path(root: str, program: Column, user_id: Column, arrived: Column, name: Column) -> Column:
-    """Where an upload lands: a folder for the programme and a name from user, time and file name."""
+    """Where an upload lands: a folder for the programme and a name from user, time and file name; null without a programme."""
     stamp = F.concat_ws("_", user_id.cast("string"), F.date_format(arrived, "yyyyMMdd_HHmmss"), name)
-    return F.concat_ws("/", F.lit(root.rstrip("/")), F.replace(program, F.lit(" "), F.lit("_")), stamp)
+    return F.when(program.isNotNull(), F.concat_ws("/", F.lit(root.rstrip("/")), F.replace(program, F.lit(" "), F.lit("_")), stamp))
 
 
 def crop_name(page: Column, field: Column) -> Column:

@@ -1,84 +1,74 @@
-"""Continuous consolidation: a stream of extractions, one published version of the tables for each batch."""
+"""Continuous consolidation: a stream of extractions, one published version of the tables for each batch.
+
+A batch reads only the buckets that hold its numbers and programmes, writes the rows that it changes or adds, and is
+published by a manifest (see `store`). A batch that was published before is skipped; one that broke is done again from
+the version before it, with the same rows and numbers.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from cardloom.functions import text as T
 from cardloom.operators import records
+from cardloom.streaming.store import Store, Table, columns
+
+STUDENTS = columns("Id int, NumeroDocumento string, NombreCompleto string, FechaNacimiento string, Sexo string, LugarNacimiento string, Nacionalidad string, TipoSangre string, Programa string, UsuarioId int")
+TABLES = {
+    "students": Table(STUDENTS, key="Id", bucket_by="NumeroDocumento", number="Id"),
+    "programs": Table(columns("id int, nombre string"), bucket_by="nombre", number="id"),
+    "documents": Table(columns("Id int, EstudianteId int, ProgramaId int, UsuarioId int, TipoDocumento string, Archivo string, FechaSubida timestamp"), number="Id"),
+    "rejected": Table(columns("arrival_seq long, usuario_id int, programa string, archivo string, reason string")),
+}
+
+
+def open_store(spark: SparkSession, root: str, students: DataFrame, programs: DataFrame, **options: int) -> Store:
+    """The store under `root`, with version 0 of these tables if nothing is published there."""
+    store = Store(spark, root, TABLES, **options)
+    if not store.versions():
+        store.publish(0, {"students": store.write("students", students, 0), "programs": store.write("programs", programs, 0)})
+    return store
+
 
-#: Tables that every version has whole; documents only grow, so a version has its new ones.
-TABLES = ("students", "programs")
-
-
-def version_path(root: str, version: int) -> str:
-    return f"{root.rstrip('/')}/version={version}"
-
-
-class Store:
-    """Versions of the tables under a root folder. A version counts once its marker table is written, so a batch shows whole or not at all."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def latest(self) -> int | None:
-        """The newest complete version."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/published")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return None
-        found = [s.getPath().getName() for s in fs.listStatus(path)]
-        done = [int(n.removeprefix("version=")) for n in found if n.startswith("version=") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/published/{n}/_SUCCESS"))]
-        return max(done, default=None)
-
-    def read(self, table: str) -> DataFrame:
-        if table == "documents":
-            return self.documents()
-        version = self.latest()
-        if version is None:
-            raise FileNotFoundError(f"nothing is published under {self.root}")
-        return self.spark.read.parquet(f"{version_path(self.root, version)}/{table}")
-
-    def documents(self) -> DataFrame:
-        """All documents: the rows that each published version added. Rows of a version without a marker don't show."""
-        version = self.latest()
-        if version is None:
-            raise FileNotFoundError(f"nothing is published under {self.root}")
-        added = self.spark.read.option("recursiveFileLookup", "false").parquet(f"{self.root}/documents")
-        return added.filter(F.col("version") <= version).drop("version")
-
-    def publish(self, version: int, tables: dict[str, DataFrame], keep: int | None = None) -> None:
-        """Writes all tables of a version, then its marker; `documents` are the version's new rows only, in a folder of their own.
-
-        A version that was begun before is written anew. With `keep`, older versions of the other tables are deleted.
-        """
-        for name, df in tables.items():
-            to = f"{self.root}/documents/version={version}" if name == "documents" else f"{version_path(self.root, version)}/{name}"
-            df.write.mode("overwrite").parquet(to)
-        self.spark.range(1).write.mode("overwrite").parquet(f"{self.root}/published/version={version}")
-        if keep:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path
-            fs = path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
-            for old in (s.getPath() for s in fs.listStatus(path(self.root))):
-                number = old.getName().removeprefix("version=")
-                if number.isdigit() and int(number) <= version - keep:
-                    fs.delete(old, True)
-
-
-def apply_batch(store: Store, users: DataFrame, uploaded: Column, keep: int | None = 3) -> Callable[[DataFrame, int], None]:
-    """What `foreachBatch` runs: consolidates a batch onto the latest version and leaves the last `keep` versions. A batch that was published before is skipped."""
+def _looked_up(store: Store, name: str, base, values: DataFrame) -> DataFrame:  # noqa: ANN001
+    """The rows of a table in the buckets of some values (one column); at most as many bucket numbers as there are reach the driver."""
+    touched = [r[0] for r in values.select(store.bucket(F.col(values.columns[0]))).distinct().collect()]
+    return store.read(name, base, touched)
+
+
+def apply_batch(store: Store, users: DataFrame, uploaded: Column) -> Callable[[DataFrame, int], None]:
+    """What `foreachBatch` runs: consolidates a batch onto the newest version."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        latest = store.latest()
-        version = batch_id + 1
-        if latest is not None and version <= latest:
+        base, version = store.manifest(), batch_id + 1
+        if version <= base.version:
             return
-        before = {t: store.read(t) for t in TABLES}
-        done = records.consolidate(batch, users, before["students"], before["programs"], store.documents(), uploaded)
-        store.publish(version, {"students": done.students, "programs": done.programs, "documents": done.documents, "rejected": done.rejected}, keep)
+        spark = batch.sparkSession
+        arrivals = batch.persist(StorageLevel.DISK_ONLY)
+        x = records.accepted(records.defaults(arrivals), users).persist(StorageLevel.DISK_ONLY)
+        last = lambda name, key: spark.createDataFrame([(base.last.get(name, 0),)], f"{key} int")
+        try:
+            bounds = records.bounds_of(x, "arrival_seq")
+            number = T.some(T.strip(F.col("numero_documento")))
+            held = _looked_up(store, "students", base, x.select(number.alias("n")).filter("n IS NOT NULL"))
+            changed = records.student_changes(x, held, last("students", "Id"), bounds).persist(StorageLevel.DISK_ONLY)
+            known = _looked_up(store, "programs", base, x.select("programa")).join(x.select(F.col("programa").alias("nombre")).distinct(), "nombre", "left_semi")
+            students = store.write("students", changed, version)
+            programs = store.write("programs", records.new_programs(x, known, last("programs", "id"), bounds), version)
+            made = changed.filter("NumeroDocumento IS NULL").select("_seq", "Id")
+            documents = records.append_documents(x, store.segment("students", students), known.unionByName(store.segment("programs", programs)), last("documents", "Id"), uploaded, made, bounds)
+            store.publish(version, {
+                "students": students, "programs": programs, "documents": store.write("documents", documents, version),
+                "rejected": store.write("rejected", records.refused(arrivals, users), version),
+            }, base)
+        finally:
+            for kept in (arrivals, x):
+                kept.unpersist()
 
     return run
 
@@ -87,3 +77,18 @@ def consolidate_stream(arrivals: DataFrame, store: Store, users: DataFrame, chec
     """Starts the stream; with `once` it takes what is there and ends. Version 0 of the tables must be published."""
     writer = arrivals.writeStream.foreachBatch(apply_batch(store, users, F.current_timestamp() if uploaded is None else uploaded)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def consolidate_in_batches(extractions: DataFrame, users: DataFrame, store: Store, *, batches: int, uploaded: Column) -> Store:
+    """Applies extractions to a store in so many batches, cut by their order of arrival, as a stream would bring them."""
+    cuts = records.bounds_of(extractions, "arrival_seq")
+    picked = sorted({cuts[len(cuts) * i // batches] for i in range(1, batches)}) if cuts else []
+    run = apply_batch(store, users, uploaded)
+    for i, (low, high) in enumerate(zip([None, *picked], [*picked, None], strict=True)):
+        part = extractions
+        if low is not None:
+            part = part.filter(F.col("arrival_seq") > low)
+        if high is not None:
+            part = part.filter(F.col("arrival_seq") <= high)
+        run(part, i)
+    return store

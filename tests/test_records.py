@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from cardloom.operators import layout, lines, reconcile, records
 from cardloom.plans import fixtures as X
 from cardloom.sources import database, files, recognise
-from cardloom.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
 
@@ -96,35 +95,6 @@ def test_verification_finds_what_is_missing(spark):
     assert records.lookup(docs, "UsuarioId", 31, "Id").first().Id == 2 and records.lookup(docs, "UsuarioId", 9, "Id").count() == 0
 
 
-def test_stream(spark, tmp_path):
-    src = str(tmp_path / "in")
-    X.extractions(spark, SF).filter("arrival_seq < 300").coalesce(1).write.parquet(src)
-    store = ingest.Store(spark, str(tmp_path / "out"))
-    with pytest.raises(FileNotFoundError):
-        store.read("students")
-    none = spark.createDataFrame([], "Id int, EstudianteId int, ProgramaId int, UsuarioId int, TipoDocumento string, Archivo string, FechaSubida timestamp")
-    store.publish(0, {"students": X.students(spark, SF), "programs": X.programs(spark, SF), "documents": none})
-    for more in (False, True):
-        if more:
-            X.extractions(spark, SF).filter("arrival_seq >= 300").coalesce(1).write.mode("append").parquet(src)
-        stream = spark.readStream.schema(X.extractions(spark, SF).schema).parquet(src)
-        ingest.consolidate_stream(stream, store, X.users(spark, SF), str(tmp_path / "cp"), uploaded=F.to_timestamp(F.lit(X.ARRIVED)), once=True).awaitTermination()
-    assert store.latest() == 2
-    known = records.known_users(X.extractions(spark, SF), X.users(spark, SF)).count()
-    assert store.read("documents").count() == known == store.read("documents").select("Id").distinct().count()
-    # Each version has its new documents only, and what a broken version left doesn't show.
-    added = [spark.read.parquet(f"{store.root}/documents/version={v}").count() for v in (0, 1, 2)]
-    assert added[0] == 0 < min(added[1:]) and sum(added) == known
-    whole = records.upsert_students(records.known_users(X.extractions(spark, SF), X.users(spark, SF)), X.students(spark, SF))
-    columns = [c for c in whole.columns if c not in ("Id",)]
-    named = lambda df: sorted(map(str, df.filter("NumeroDocumento IS NOT NULL").select(columns).collect()))
-    assert named(store.read("students")) == named(whole)
-    spark.read.parquet(f"{store.root}/documents/version=2").write.parquet(f"{store.root}/documents/version=3")
-    assert store.read("documents").count() == known
-    store.publish(4, {"students": X.students(spark, SF)}, keep=2)
-    assert store.read("students").count() == X.students(spark, SF).count() and not (tmp_path / "out" / "version=2").exists()
-
-
 class Fake:
     def page_texts(self, content):
         if content == b"bad":
@@ -166,6 +136,17 @@ def test_recogniser(spark, tmp_path):
     assert spark.range(1).select(recognise.first_reading(F.lit(" "), F.lit("x"))).first()[0] == "x"
 
 
+def test_arrivals_without_a_programme_are_refused(spark):
+    users, none = spark.createDataFrame([(1,)], "Id int"), spark.createDataFrame([], "Id int")
+    row = lambda seq, user, number, program: (seq, user, program, f"{seq}.pdf", number, "Ana", None, None, None, None, None)
+    x = spark.createDataFrame([row(1, 1, "7", "Redes"), row(2, 1, "8", None), row(3, 9, "9", None), row(4, 1, None, None), row(5, 1, "8", "Redes")], X.extractions(spark, SF).schema)
+    done = records.consolidate(x, users, X.students(spark, SF).limit(0), X.programs(spark, SF), none, F.current_timestamp())
+    assert [(r.Id, r.Archivo) for r in done.documents.orderBy("Id").collect()] == [(1, "1.pdf"), (2, "5.pdf")]
+    assert [(r.Id, r.NumeroDocumento) for r in done.students.orderBy("Id").collect()] == [(1, "7"), (2, "8")]
+    assert [(r.arrival_seq, r.reason) for r in done.rejected.orderBy("arrival_seq").collect()] == [(2, "programa"), (3, "usuario"), (4, "programa")]
+    assert spark.range(1).select(files.landing_path("d", F.lit(None).cast("string"), F.lit(1), F.current_timestamp(), F.lit("x"))).first()[0] is None
+
+
 def test_database_urls():
     assert database.database_url("postgres://u:p@localhost/d") == "postgresql://u:p@localhost/d?sslmode=disable"
     assert database.database_url("postgresql://u@db.example.org:5432/d?a=1") == "postgresql://u@db.example.org:5432/d?a=1&sslmode=require"
@@ -174,6 +155,7 @@ def test_database_urls():
     assert database.database_url("postgresql://[::1]:5432/d?") == "postgresql://[::1]:5432/d?sslmode=disable"
     assert database.database_url("sqlite:///:memory:") == "sqlite:///:memory:"
     assert database.jdbc_options("postgres://u:p@localhost/d", "usuarios") == {"url": "jdbc:postgresql://localhost/d?sslmode=disable", "dbtable": "usuarios", "user": "u", "password": "p"}
+    assert database.jdbc_options("postgresql://[::1]:5432/d", "t")["url"] == "jdbc:postgresql://[::1]:5432/d?sslmode=disable"
     with pytest.raises(RuntimeError):
         database.database_url(None)
 
