@@ -442,3 +442,8 @@ ORACLES = {
     "snk3_crop_url": f"SELECT arrival_seq, 'https://example.org/ocr/debug/' || programa || '/ocr_debug/pagina_01_nombres.png' AS url FROM ({X.EXTRACTIONS_SQL})",
 }
 ORACLES |= {"m05_register_stream": ORACLES["m05_register_unique"], "m06_login_stream": ORACLES["m06_login_counter"]}
+_LANDED = "SELECT ['Sistemas', 'Cocina_fria', 'Redes'][CAST(page_id % 3 AS INTEGER) + 1] AS folder, page_id || '_20240301_101112_page ' || page_id AS name, coalesce(html, '') AS html FROM pages"
+ORACLES |= {
+    "snk1_landed_files": f"SELECT folder, name, CAST(octet_length(encode(html)) AS BIGINT) AS length, sha256(replace(html, chr(10), chr(12))) AS sha256 FROM ({_LANDED})",
+    "src02_page_source": f"SELECT folder || '/' || name AS doc_id, CAST(page_no AS INTEGER) AS page_no, text, CAST(NULL AS VARCHAR) AS error FROM (SELECT *, unnest(string_split(html, chr(10))) AS text, generate_subscripts(string_split(html, chr(10)), 1) AS page_no FROM ({_LANDED})) WHERE page_no <= 2",
+}

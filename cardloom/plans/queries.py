@@ -10,7 +10,7 @@ from cardloom.functions.similar import similarity
 from cardloom.operators import layout, lines, reconcile, records
 from cardloom.plans import fixtures as X
 from cardloom.plans.oracles import ORACLES  # noqa: F401
-from cardloom.sources import database, files, recognise
+from cardloom.sources import database, files, landing, recognise
 from cardloom.streaming import accounts, ingest
 from cardloom.streaming.store import Store, shared_folder
 
@@ -547,6 +547,30 @@ def snk1_landing_path(spark, sf_dir):
     return X.extractions(spark, sf_dir).select("arrival_seq", files.landing_path("documentos", F.col("programa"), F.col("usuario_id"), arrived(), F.col("archivo")).alias("path"))
 
 
+def _landed(spark, sf_dir):
+    """Each web page as a file whose lines are pages, landed under its programme's folder."""
+    k, program = F.col("page_id"), F.element_at(F.array(*map(F.lit, ("Sistemas", "Cocina fria", "Redes"))), (F.col("page_id") % 3 + 1).cast("int"))
+    path = F.substring(files.landing_path("", program, k, arrived(), F.concat(F.lit("page "), k.cast("string"))), 2, 1_000)
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select(path.alias("path"), F.replace(F.coalesce("html", F.lit("")), F.lit("\n"), F.lit("\f")).cast("binary").alias("content"))
+    root = shared_folder(spark)
+    landing.land(rows.repartition(spark.sparkContext.defaultParallelism), root)
+    return root
+
+
+@query
+def snk1_landed_files(spark, sf_dir):
+    """What has landed, read again as binary files."""
+    root = _landed(spark, sf_dir)
+    found = recognise.files(spark, root)
+    return found.select(F.element_at(F.split("path", "/"), -2).alias("folder"), F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
+
+
+@query
+def src02_page_source(spark, sf_dir):
+    """The first two pages of all landed files; the source is told and reads no third one."""
+    return recognise.first_pages(landing.card_pages(spark, _landed(spark, sf_dir), recognise.PlainText(), partition_bytes=1 << 20))
+
+
 @query
 def snk3_crop_url(spark, sf_dir):
     path = F.concat(F.lit("/app/api/documentos/"), F.col("programa"), F.lit("/ocr_debug/"), files.crop_name(F.lit(1), F.lit("nombres")))

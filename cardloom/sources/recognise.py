@@ -7,7 +7,7 @@ that can't be read gives a row with an error and stops nothing else.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
 import pandas as pd
@@ -25,8 +25,8 @@ ZONE_SCHEMA = "doc_id string, page_no int, template string, field string, left i
 class Recogniser(Protocol):
     """What an implementation with image libraries has to provide."""
 
-    def page_texts(self, content: bytes) -> list[str]:
-        """The embedded text of every page."""
+    def page_texts(self, content: bytes) -> Iterable[str]:
+        """The embedded text of every page; where pages are yielded, those behind the last one wanted aren't read."""
 
     def words(self, content: bytes, page: int) -> list[tuple[int, int, str, float, int, int, int, int]]:
         """The words of a page: mode, position, text, confidence, x, y, width, height."""
@@ -38,6 +38,22 @@ class Recogniser(Protocol):
         """The readings of a zone, one for each configuration."""
 
 
+class PlainText:
+    """Text files whose pages are parted by form feeds; they have no pixels to recognise."""
+
+    def page_texts(self, content: bytes) -> Iterator[str]:
+        yield from content.decode().split("\f")
+
+    def words(self, content: bytes, page: int) -> list[tuple]:
+        return []
+
+    def size(self, content: bytes, page: int) -> None:
+        return None
+
+    def field(self, content: bytes, page: int, field: str, box: tuple[int, int, int, int]) -> list[str]:
+        return []
+
+
 def files(spark: SparkSession, path: str) -> DataFrame:
     """Files of a folder: path, content and the rest of the binary source."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

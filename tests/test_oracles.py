@@ -9,7 +9,7 @@ from cardloom.plans.oracles import ORACLES
 from cardloom.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("customer", "documents", "events", "lineitem", "orders")
+TABLES = ("customer", "documents", "events", "lineitem", "orders", "pages")
 
 
 @pytest.fixture(scope="module")
