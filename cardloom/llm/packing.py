@@ -12,8 +12,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,14 +127,21 @@ def packed(docs: DataFrame, *, id_col: str = "doc_id", length: Column | None = N
                     mid = (low + high) // 2
                     low, high = (mid + 1, high) if column[mid].as_py() <= key else (low, mid)
                 end = low
-                if held and (held[0].column("shard")[0].as_py() != key or tokens > 8 * shard):
+                if held and held[0].column("shard")[0].as_py() != key:
+                    yield done()
+                    bins, held, tokens = 0, [], 0
+                # A part ends where the tokens of its pieces would pass the limit, wherever batches end.
+                sums = tokens + np.cumsum(batch.column("length").slice(at, end - at).to_numpy().astype(np.int64))
+                fit = int(np.searchsorted(sums, 8 * shard, "right"))
+                if not fit and held:
                     out = done()
                     yield out
-                    bins = bins + len(set(out.column("bin").to_pylist())) if held[0].column("shard")[0].as_py() == key else 0
-                    held, tokens = [], 0
-                held.append(batch.slice(at, end - at))
-                tokens += pc.sum(held[-1].column("length")).as_py()
-                at = end
+                    bins, held, tokens = bins + len(set(out.column("bin").to_pylist())), [], 0
+                    continue
+                fit = max(1, fit)
+                held.append(batch.slice(at, fit))
+                tokens = int(sums[fit - 1])
+                at += fit
         if held:
             yield done()
 

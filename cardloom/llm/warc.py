@@ -148,79 +148,162 @@ class Record:
     error: str | None = None
 
 
-def _members(data: bytes) -> Iterator[tuple[int, bytes, str | None]]:
-    """(first byte, content, error) of the members of a gzip file; after damage, from the next member on."""
-    at = 0
+#: Bytes that enter at once; decompressed bytes of a member that wait for its checksum; the longest header; the longest
+#: record body that is read; bytes kept of what is no record.
+STEP, MOST_HELD, MOST_HEADER, MOST_BODY, MOST_JUNK = 1 << 18, 64 << 20, 1 << 20, 256 << 20, 1 << 20
+
+
+def _members(data: bytes) -> Iterator[bytes | Record]:
+    """The content of the members of a gzip file in pieces, and a row without an offset for each that is damaged; after it, from the next member on.
+
+    A member's content is given when its checksum has been seen, or piece by piece from `MOST_HELD` bytes on.
+    """
+    view, at = memoryview(data), 0
     while at < len(data):
-        unpack = zlib.decompressobj(31)
-        try:
-            content = unpack.decompress(data[at:])
-            error = None if unpack.eof else "a gzip member ends early"
-        except zlib.error as why:
-            content, error = b"", f"a damaged gzip member: {why}"
+        unpack, held, n, pos, pending = zlib.decompressobj(31), [], 0, at, b""
+        error = None
+        while not unpack.eof:
+            if not pending:
+                if pos >= len(data):
+                    error = "a gzip member ends early"
+                    break
+                pending = view[pos : pos + STEP]
+                pos += len(pending)
+            try:
+                piece = unpack.decompress(pending, STEP)
+            except zlib.error as why:
+                error = f"a damaged gzip member: {why}"
+                break
+            pending = unpack.unconsumed_tail
+            n += len(piece)
+            held.append(piece)
+            if n > MOST_HELD:
+                yield from held
+                held = []
         if error is None:
-            yield at, content, None
-            at = len(data) - len(unpack.unused_data)
+            yield from held
+            at = pos - len(unpack.unused_data)
             continue
+        content = b"" if error.startswith("a damaged") else b"".join(held)
+        yield Record(0, len(content), {}, content, error)
         later = data.find(b"\x1f\x8b\x08", at + 1)
-        yield at, content, error
         at = len(data) if later < 0 else later
 
 
+class _Pieces:
+    """Bytes that come in pieces up to the end or a damaged member; `held` are those that aren't read yet, from `at` on."""
+
+    def __init__(self, source: Iterator[bytes | Record], at: int):
+        self.source, self.at, self.held = source, at, bytearray()
+        self.damage: Record | None = None
+        self.ended = False
+
+    def more(self) -> bool:
+        piece = None if self.damage or self.ended else next(self.source, None)
+        if piece is None:
+            self.ended = self.ended or self.damage is None
+        elif isinstance(piece, Record):
+            self.damage = piece
+        else:
+            self.held += piece
+            return True
+        return False
+
+    def has(self, n: int) -> bool:
+        while len(self.held) < n:
+            if not self.more():
+                return False
+        return True
+
+    def find(self, mark: bytes, start: int, most: int) -> int:
+        """Where a mark stands in the next `most` bytes, -1 if nowhere."""
+        while True:
+            found = self.held.find(mark, start, most)
+            if found >= 0:
+                return found
+            if len(self.held) >= most or not self.more():
+                return -1
+            start = max(start, len(self.held) - STEP - len(mark) - 1)
+
+    def drop(self, n: int) -> None:
+        del self.held[:n]
+        self.at += n
+
+    def skip(self, start: int) -> tuple[int, int, bytes]:
+        """Drops `start` bytes and all up to the next line that begins a record: from where, how many, and the first of them behind `start`."""
+        begun, kept, searched = self.at, bytearray(), max(start - 1, 0)
+        skip = start
+        while True:
+            found = self.held.find(b"\nWARC/", searched)
+            if found < 0 and not self.more():
+                cut = len(self.held)
+            elif found >= 0:
+                cut = found + 1
+            else:  # the end of what is held may be the mark's beginning
+                cut = max(0, len(self.held) - STEP - 5)
+                kept += self.held[skip:cut][: MOST_JUNK - len(kept)]
+                skip, searched = max(0, skip - cut), max(0, searched - cut)
+                self.drop(cut)
+                continue
+            kept += self.held[skip:cut][: MOST_JUNK - len(kept)]
+            self.drop(cut)
+            return begun, self.at - begun, bytes(kept)
+
+
 def parse(data: bytes) -> Iterator[Record]:
     """The records of a WARC file, plain or compressed by record or as a whole; what is no whole record has an `error`.
 
     Offsets and lengths are those of the uncompressed bytes that can be read. Bytes between records, a record that ends
-    early, one without a length and a damaged gzip member each give a row of their own; reading goes on at the next
-    record or member.
+    early or whose length runs over others, one without a length or longer than `MOST_BODY`, and a damaged gzip member
+    each give a row of their own; reading goes on at the next line that begins a record, or the next member. A body with
+    an error has `MOST_JUNK` bytes at most. Time is linear, and what is held is bounded by these limits.
     """
-    if data[:2] != b"\x1f\x8b":
-        yield from _records(data, 0)
-        return
-    at, held = 0, b""
-    for _, content, error in _members(data):
-        if error is None:
-            held += content
-            continue
-        # What came before the damage may end within a record; it has to be read apart from what follows.
-        yield from _records(held, at)
-        at, held = at + len(held), b""
-        yield Record(at, len(content), {}, content, error)
-        at += len(content)
-    yield from _records(held, at)
+    view = memoryview(data)
+    source = _members(data) if data[:2] == b"\x1f\x8b" else (bytes(view[i : i + STEP]) for i in range(0, len(data), STEP))
+    at = 0
+    while True:
+        pieces = _Pieces(source, at)
+        yield from _records(pieces)
+        if pieces.damage is None:
+            return
+        yield Record(pieces.at, pieces.damage.length, {}, pieces.damage.body, pieces.damage.error)
+        at = pieces.at + pieces.damage.length
 
 
-def _records(data: bytes, base: int) -> Iterator[Record]:
-    at = 0
-    while at < len(data):
-        if not data.startswith(b"WARC/", at):
-            later = data.find(b"\nWARC/", at)
-            end = len(data) if later < 0 else later + 1
-            if data[at:end].strip(b"\r\n"):
-                yield Record(base + at, end - at, {}, data[at:end], "no record")
-            at = end
+def _records(pieces: _Pieces) -> Iterator[Record]:
+    while pieces.has(5) or pieces.held:
+        if not pieces.held.startswith(b"WARC/"):
+            at, n, junk = pieces.skip(0)
+            if n > MOST_JUNK or junk.strip(b"\r\n"):
+                yield Record(at, n, {}, junk, "no record")
             continue
-        stop = data.find(b"\r\n\r\n", at)
+        stop = pieces.find(b"\r\n\r\n", 0, MOST_HEADER)
         if stop < 0:
-            yield Record(base + at, len(data) - at, {}, b"", "a header ends early")
-            return
-        lines = data[at:stop].decode("utf-8", "replace").split("\r\n")
+            at, n, _ = pieces.skip(1)
+            yield Record(at, n, {}, b"", "a header ends early")
+            continue
+        lines = pieces.held[:stop].decode("utf-8", "replace").split("\r\n")
         header = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
         size = next((v for k, v in header.items() if k.lower() == "content-length"), "")
-        body = stop + 4
+        body, wrong = stop + 4, None
         if not (size.isascii() and size.isdigit()):
-            later = data.find(b"\nWARC/", body)
-            end = len(data) if later < 0 else later + 1
-            yield Record(base + at, end - at, header, data[body:end], "no length")
-            at = end
+            wrong = "no length"
+        elif int(size) > MOST_BODY:
+            wrong = "a record too long to be read"
+        elif not pieces.has(end := body + int(size)):
+            wrong = "a record ends early"
+        else:
+            pieces.has(end + 4)
+            closed = pieces.held.startswith(b"\r\n\r\n", end)
+            if not closed and pieces.held.find(b"\r\n\r\nWARC/", body, end + 4) >= 0:
+                wrong = "a length that runs over other records"
+        if wrong:
+            at, n, content = pieces.skip(body)
+            yield Record(at, n, header, content, wrong)
             continue
-        end = body + int(size)
-        if end > len(data):
-            yield Record(base + at, len(data) - at, header, data[body:], "a record ends early")
-            return
-        past = end + 4 if data.startswith(b"\r\n\r\n", end) else end
-        yield Record(base + at, past - at, header, data[body:end])
-        at = past
+        past = end + 4 if closed else end
+        yield Record(pieces.at, past, header, bytes(pieces.held[body:end]))
+        pieces.drop(past)
 
 
 #: A row holds a file, so larger ones can't be read; they get a row that says so.

@@ -499,6 +499,59 @@ def test_warc_files(spark, tmp_path):
     assert [x[1] for x in found["i.warc"]] == ["no length", None] and found["j.warc"][0][1] == "a header ends early" and "k.warc" not in found
 
 
+def test_packing_of_repeated_rows_for_any_batches(spark):
+    # Rows that repeat an id and a text share a shard, many times as long as the average.
+    df = spark.createDataFrame([(1, "a b c")] * 6000 + [(i, "w " * (i % 90 + 1)) for i in range(2, 300)], "doc_id long, text string").repartition(4)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = []
+    try:
+        for rows in ("10", "700", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            found.append(sorted(map(str, packing.packed(df, sizes=(16, 64, 128), shard=1000).collect())))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert found[0] == found[1] == found[2] and len(found[0]) == 6298
+
+
+def warc_record(name, body, length=None):
+    return b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: %s\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (name, len(body) if length is None else length, body)
+
+
+@pytest.mark.parametrize("pack", ["plain", "by record", "whole"])
+@pytest.mark.parametrize("length", [99_999, 25, 400, 10**12])
+def test_warc_goes_on_after_an_overlong_length(pack, length):
+    import gzip
+
+    rows = [warc_record(b"one", b"1"), warc_record(b"two", b"22", length), warc_record(b"three", b"333"), warc_record(b"four", b"4" * 2000)]
+    data = b"".join(rows) if pack == "plain" else gzip.compress(b"".join(rows)) if pack == "whole" else b"".join(map(gzip.compress, rows))
+    found = list(warc.parse(data))
+    assert [(r.header["WARC-Record-ID"], bool(r.error)) for r in found] == [("one", False), ("two", True), ("three", False), ("four", False)]
+    assert [r.offset for r in found] == [0, *itertools.accumulate(map(len, rows))][:-1] and found[3].body == b"4" * 2000
+
+
+def test_warc_reading_is_linear_and_bounded(monkeypatch):
+    import gzip
+    import time
+    import tracemalloc
+
+    record = gzip.compress(warc_record(b"x", random.Random(1).randbytes(30_000)))
+    spent = {}
+    for mb in (3, 24):
+        data = record * (mb * 1_000_000 // len(record))
+        began = time.process_time()
+        assert sum(1 for r in warc.parse(data) if not r.error) == len(data) // len(record)
+        spent[mb] = time.process_time() - began
+    assert spent[24] < 25 * max(spent[3], 0.02)
+    # A member that holds far more than it says is a row with an error, and never held whole.
+    monkeypatch.setattr(warc, "MOST_HELD", 1 << 20)
+    bomb = gzip.compress(b"\0" * (200 << 20) + b"\n") + gzip.compress(warc_record(b"after", b"it"))
+    tracemalloc.start()
+    found = list(warc.parse(bomb))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [r.error for r in found] == ["no record", None] and found[0].length > 200 << 20 > len(found[0].body) and peak < 30 << 20
+
+
 def brute_fingerprint(text):
     words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
     shingles = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
