@@ -9,7 +9,7 @@ from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -40,6 +40,46 @@ def similarity(a: Column, b: Column) -> Column:
     return similarity_normal(T.normalize(a), T.normalize(b))
 
 
+#: The characters that normalised texts have.
+_CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+#. "
+
+
+def _bag(text: Column) -> Column:
+    """How often each character stands in a normalised text."""
+    return F.array(*(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in _CHARACTERS))
+
+
+def similar_pairs(texts: DataFrame, labels: list[str], least: float) -> DataFrame:
+    """(text, label, similarity) of the pairs that are alike from `least` on, of normalised texts (one column) and a fixed list of labels.
+
+    Every distinct text is compared once, however often it occurs. Matching blocks are no more than the characters that
+    both texts have, nor longer than the shorter one; those two bounds and the cases without blocks are Spark's own
+    expressions, so that Python gets only pairs that no bound settles (see `open_pairs`). Null and empty texts are alike
+    to nothing.
+    """
+    pairs = _bounded(texts, labels, least)
+    score = F.coalesce("native", _ratio(F.when(F.col("native").isNull(), F.col("text")), F.when(F.col("native").isNull(), F.col("label"))))
+    return pairs.withColumn("similarity", score).filter(F.col("similarity") >= least).select("text", "label", "similarity")
+
+
+def open_pairs(texts: DataFrame, labels: list[str], least: float) -> DataFrame:
+    """(text, label): the pairs whose blocks `similar_pairs` has to match in Python."""
+    return _bounded(texts, labels, least).filter("native IS NULL").select("text", "label")
+
+
+def _bounded(texts: DataFrame, labels: list[str], least: float) -> DataFrame:
+    text = F.col("text")
+    known = sorted({x for x in labels if x})
+    listed = F.array(*(F.struct(F.lit(x).alias("label"), F.lit(len(x)).alias("size"), F.array(*(F.lit(x.count(c)) for c in _CHARACTERS)).alias("bag")) for x in known))
+    # Dealt by text, so that equal ones meet; the labels come to them, and bags are made of what the lengths let through.
+    one = texts.toDF("text").filter("text <> ''").distinct().withColumn("size", F.length("text"))
+    shorter, total = F.least(F.col("size"), F.col("l.size")), F.col("size") + F.col("l.size")
+    x = one.select("text", "size", F.explode(listed).alias("l")).withColumn("native", T.similarity_case(text, F.col("l.label")))
+    x = x.filter(F.coalesce(F.col("native"), 2.0 * shorter / total) >= least)
+    shared = F.aggregate(F.zip_with(_bag(text), F.col("l.bag"), lambda a, b: F.least(a, b)), F.lit(0), lambda n, c: n + c)
+    return x.filter(F.col("native").isNotNull() | (2.0 * shared / total >= least)).select("text", F.col("l.label").alias("label"), "native")
+
+
 def plain(text: str) -> str:
     """`T.normalize` of one short text, for dictionaries."""
     bare = "".join(c for c in unicodedata.normalize("NFD", text.upper()) if unicodedata.category(c) != "Mn")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from cardloom.plans import fixtures as X
 
 # Fixed values, written again so that a wrong one on either side shows.
@@ -447,3 +449,23 @@ ORACLES |= {
     "snk1_landed_files": f"SELECT folder, name, CAST(octet_length(encode(html)) AS BIGINT) AS length, sha256(replace(html, chr(10), chr(12))) AS sha256 FROM ({_LANDED})",
     "src02_page_source": f"SELECT folder || '/' || name AS doc_id, CAST(page_no AS INTEGER) AS page_no, text, CAST(NULL AS VARCHAR) AS error FROM (SELECT *, unnest(string_split(html, chr(10))) AS text, generate_subscripts(string_split(html, chr(10)), 1) AS page_no FROM ({_LANDED})) WHERE page_no <= 2",
 }
+ORACLES["t10_similar_pairs"] = f"WITH RECURSIVE {FOUND.split('best AS MATERIALIZED', 1)[0].rstrip(', ' + chr(10))} SELECT DISTINCT a AS text, b AS label, s AS similarity FROM ratio WHERE s >= 0.62"
+
+
+def _taps(window: int, value: str, line: str, along: str) -> str:
+    """The sum of weighted neighbours along a line, whose ends go on."""
+    half, sigma = window // 2, 0.3 * ((window - 1) * 0.5 - 1) + 0.8
+    bell = [math.exp(-((i - half) ** 2) / (2 * sigma**2)) for i in range(window)]
+    whole = [math.floor(b / sum(bell) * 65_536 + 0.5) for b in bell]
+    whole[half] += 65_536 - sum(whole)
+    over = f"OVER (PARTITION BY image_id, {line} ORDER BY {along})"
+    ends = f"OVER (PARTITION BY image_id, {line} ORDER BY {along} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    near = lambda i: value if i == half else f"coalesce(lag({value}, {half - i}) {over}, first_value({value}) {ends})" if i < half else f"coalesce(lead({value}, {i - half}) {over}, last_value({value}) {ends})"
+    return " + ".join(f"{w}::BIGINT * {near(i)}" for i, w in enumerate(whole))
+
+
+ORACLES["v07_text_threshold"] = f"""WITH b AS (SELECT doc_id AS image_id, hex(encode(coalesce(text, ''))) AS b FROM documents), r AS (SELECT image_id, greatest(1, (length(b) // 2 + 23) // 24)::INTEGER AS height, b FROM b),
+px AS (SELECT image_id, height, unnest(list_resize(regexp_extract_all(b, '..'), height * 24, '00')) AS byte, unnest(range(height * 24)) AS i FROM r),
+spot AS (SELECT image_id, height, i, i // 24 AS y, i % 24 AS x, ('0x' || byte)::INTEGER AS v FROM px),
+across AS (SELECT *, {_taps(11, "v", "y", "x")} AS s FROM spot), both_ways AS (SELECT *, {_taps(11, "s", "x", "y")} AS t FROM across)
+SELECT image_id, 24 AS width, height, sha256(unhex(string_agg(CASE WHEN v > (t + 2147483648) // 4294967296 - 2 THEN 'FF' ELSE '00' END, '' ORDER BY i))) AS sha256, CAST(NULL AS VARCHAR) AS error FROM both_ways GROUP BY image_id, height"""

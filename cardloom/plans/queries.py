@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardloom.functions import text as T
-from cardloom.functions.similar import similarity
-from cardloom.operators import layout, lines, reconcile, records
+from cardloom.functions.similar import plain, similar_pairs, similarity
+from cardloom.operators import layout, lines, raster, reconcile, records
 from cardloom.plans import fixtures as X
 from cardloom.plans.oracles import ORACLES  # noqa: F401
 from cardloom.sources import database, files, landing, recognise
@@ -87,6 +87,15 @@ def t10_similarity(spark, sf_dir):
     return pairs.select("doc_id", "label", similarity(F.col("text_raw"), F.col("label")).alias("similarity"))
 
 
+@query
+def t10_similar_pairs(spark, sf_dir):
+    """The lines of all pages and their longer words against all labels."""
+    norm = F.col("norm")
+    pieces = F.array_union(F.array(norm), F.filter(F.split(norm, " "), lambda w: F.length(w) >= 3))
+    texts = _lines(spark, sf_dir).select(F.explode(pieces).alias("text"))
+    return similar_pairs(texts, [plain(x) for xs in layout.LABELS.values() for x in xs], layout.FIND)
+
+
 @query
 def t11_age(spark, sf_dir):
     return _raw(spark, sf_dir, age=T.age(F.col("date_raw"), as_of()))
@@ -323,6 +332,42 @@ def v02_card_score(spark, sf_dir):
     return x.select("doc_id", F.round(layout.score_card(area, F.col("c"), F.lit(900.0), F.lit(700.0)), 9).alias("score"))
 
 
+def _rasters(spark, sf_dir):
+    """The bytes of each whole document as a raster 24 pixels wide, the last row filled up with black."""
+    content = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("image_id"), content.alias("b")).repartition(spark.sparkContext.defaultParallelism)
+    rows = rows.withColumns({"width": F.lit(24), "height": F.greatest(F.lit(1), F.ceil(F.length("b") / 24)).cast("int")})
+    return rows.select("image_id", "width", "height", F.expr("rpad(b, width * height, X'00')").alias("pixels"))
+
+
+def _shown(rasters):
+    return rasters.select("image_id", "width", "height", F.sha2("pixels", 256).alias("sha256"), "error")
+
+
+@query
+def v03_rectified(spark, sf_dir):
+    """A tilted quadrilateral of each raster as an upright one of 48 by 30."""
+    x, h = F.pmod(F.col("image_id"), F.lit(5)).cast("double"), F.col("height").cast("double")
+    p = lambda a, b: F.array(a, b)
+    corners = layout.order_corners(F.array(p(F.lit(20.0) - x / 2, h - 1), p(x, F.lit(0.0)), p(F.lit(23.0) - x, h / 9), p(x / 3, h * 0.9)))
+    return _shown(raster.rectified(_rasters(spark, sf_dir).withColumn("corners", corners), size=(48, 30)))
+
+
+@query
+def v05_field_threshold(spark, sf_dir):
+    return _shown(raster.binarised(_rasters(spark, sf_dir), "field"))
+
+
+@query
+def v06_page_threshold(spark, sf_dir):
+    return _shown(raster.binarised(_rasters(spark, sf_dir), "page"))
+
+
+@query
+def v07_text_threshold(spark, sf_dir):
+    return _shown(raster.binarised(_rasters(spark, sf_dir), "text"))
+
+
 @query
 def v04_choose_card(spark, sf_dir):
     """Two quadrilaterals an image, of which some aren't convex, and two regions; some images lack one or both."""

@@ -1,14 +1,17 @@
 """Scalar functions against values worked out by hand, and their properties."""
 
 import datetime as dt
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from cardloom.functions import similar
 from cardloom.functions import text as T
 from cardloom.functions.similar import similarity
+from cardloom.operators import layout
 
 
 def run(spark, f, values):
@@ -65,3 +68,15 @@ def test_cleaners_are_idempotent(spark, values):
         assert run(spark, f, once) == once
     for v in run(spark, T.parse_date, values):
         assert v is None or dt.date.fromisoformat(v)
+
+
+def test_similar_pairs_lose_nothing_to_their_bounds(spark):
+    rng = random.Random(8)
+    labels = [similar.plain(x) for xs in layout.LABELS.values() for x in xs]
+    texts = [None, "", "A", "NUMERO", "NOMBRE S", "SEX0", *("".join(rng.choice("ABCEMNORSU ") for _ in range(rng.randrange(1, 14))).strip() for _ in range(200))]
+    texts += ["".join(c if rng.random() > 0.2 else rng.choice("AEIOX") for c in x) for x in labels for _ in range(3)]
+    df = spark.createDataFrame([(t,) for t in texts * 2], "t string")
+    got = {(r.text, r.label): r.similarity for r in similar.similar_pairs(df, labels, 0.62).collect()}
+    expected = {(t, x): s for t in set(filter(None, texts)) for x in set(labels) if (s := similar.likeness(t, x)) >= 0.62}
+    assert got == pytest.approx(expected) and len(got) > 100
+    assert similar.open_pairs(df, labels, 0.62).count() < 0.2 * len(set(filter(None, texts))) * len(set(labels))
