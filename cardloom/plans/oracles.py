@@ -469,3 +469,4 @@ px AS (SELECT image_id, height, unnest(list_resize(regexp_extract_all(b, '..'),
 spot AS (SELECT image_id, height, i, i // 24 AS y, i % 24 AS x, ('0x' || byte)::INTEGER AS v FROM px),
 across AS (SELECT *, {_taps(11, "v", "y", "x")} AS s FROM spot), both_ways AS (SELECT *, {_taps(11, "s", "x", "y")} AS t FROM across)
 SELECT image_id, 24 AS width, height, sha256(unhex(string_agg(CASE WHEN v > (t + 2147483648) // 4294967296 - 2 THEN 'FF' ELSE '00' END, '' ORDER BY i))) AS sha256, CAST(NULL AS VARCHAR) AS error FROM both_ways GROUP BY image_id, height"""
+ORACLES["src05_store_lookup"] = ORACLES["src05_lookup"]

@@ -587,6 +587,13 @@ def src05_lookup(spark, sf_dir):
     return records.lookup(X.students(spark, sf_dir), "NumeroDocumento", "20000013", "Id").select("Id", "NumeroDocumento")
 
 
+@query
+def src05_store_lookup(spark, sf_dir):
+    """The same student from a store, of which one bucket is read."""
+    store = ingest.open_store(spark, shared_folder(spark), X.students(spark, sf_dir), X.programs(spark, sf_dir))
+    return store.lookup("students", "20000013", "Id").select("Id", "NumeroDocumento")
+
+
 @query
 def snk1_landing_path(spark, sf_dir):
     return X.extractions(spark, sf_dir).select("arrival_seq", files.landing_path("documentos", F.col("programa"), F.col("usuario_id"), arrived(), F.col("archivo")).alias("path"))

@@ -141,6 +141,12 @@ class Store:
             raise FileNotFoundError(f"nothing is published under {self.root}")
         return self._merged(name, manifest.segments.get(name, []), buckets)
 
+    def lookup(self, name: str, value: object, order: str, manifest: Manifest | None = None) -> DataFrame:
+        """At most one row whose `bucket_by` column has a value, of the smallest `order`: of each segment one bucket is read, and of it what Parquet's statistics and Bloom filters let through."""
+        column = self.tables[name].bucket_by
+        bucket = self.spark.range(1).select(self.bucket(F.lit(value).cast("string"))).first()[0]
+        return self.read(name, manifest, [bucket]).filter(F.col(column) == F.lit(value)).orderBy(order).limit(1)
+
     def _merged(self, name: str, segments: list[dict], buckets: Iterable[int] | None = None) -> DataFrame:
         table, buckets = self.tables[name], None if buckets is None else list(buckets)
         if not segments:
@@ -174,7 +180,8 @@ class Store:
         by = self.bucket(F.coalesce(*known, F.lit(""))) if known else F.lit(0)
         # A task has whole buckets, so that a bucket is one file, if its rows are few; AQE splits what is large.
         shaped = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in table.schema)).withColumn("bucket", by).hint("rebalance", F.col("bucket"))
-        shaped.write.partitionBy("bucket").parquet(f"{self.root}/{path}")
+        bloom = {f"parquet.bloom.filter.enabled#{table.bucket_by}": "true"} if table.bucket_by else {}
+        shaped.write.options(**bloom).partitionBy("bucket").parquet(f"{self.root}/{path}")
         written = self.spark.read.schema(StructType([*table.schema, StructField("bucket", IntegerType())])).parquet(f"{self.root}/{path}")
         largest = F.max(table.number) if table.number else F.lit(None)
         seen = written.agg(F.count(F.lit(1)).alias("n"), largest.cast("long").alias("last")).first()

@@ -54,6 +54,7 @@ def test_a_lookup_reads_its_bucket_only(spark, tmp_path):
     bucket = spark.range(1).select(store.bucket(F.lit(7).cast("string"))).first()[0]
     found = store.read("t", buckets=[bucket])
     assert found.filter("k = 7").count() == 1 and found.count() < 200
+    assert store.lookup("t", 7, "k").first().v == "x" and store.lookup("t", 999, "k").count() == 0
     # Of the folders of buckets only that one is read: the filter is on the partition and not on rows.
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan and "PushedFilters: []" in plan
@@ -142,3 +143,31 @@ def test_accounts_for_any_cut_and_with_restarts(spark, tmp_path):
             low = high
         assert rows(store.read("users").select("Id", "Nombre", "Apellido", "Email", "Password", "ConteoIngresos")) == expected != []
         assert rows(accounts.counted(users, counts.read("logins"))) == rows(records.count_logins(users, spark.createDataFrame(logins, "email string, verified boolean")))
+
+
+def test_a_batch_reaches_a_database_once(spark, tmp_path, monkeypatch):
+    from cardloom.sources import database
+
+    options = {"url": f"jdbc:derby:{tmp_path}/db;create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    with database._transaction(spark, options) as c:
+        database._run(c, 'CREATE TABLE documento ("Id" INT NOT NULL PRIMARY KEY, "Archivo" VARCHAR(255))')
+    read = lambda: sorted(tuple(r) for r in spark.read.format("jdbc").options(**options, dbtable="documento").load().collect())
+    batch = lambda a, b: spark.range(a, b, 1, 4).select(F.col("id").cast("int").alias("Id"), F.concat(F.lit("f"), "id").alias("Archivo"))
+    expected = [(i, f"f{i}") for i in range(40)]
+    assert database.publish(batch(0, 20), options, "documento", "Id", 1) == 20
+    # A task that breaks: the others' rows don't reach the table, and the batch can be done again.
+    breaking = batch(20, 40).withColumn("Archivo", F.when(F.col("Id") == 39, F.raise_error(F.lit("lost"))).otherwise(F.col("Archivo")))
+    with pytest.raises(Exception, match="lost"):
+        database.publish(breaking, options, "documento", "Id", 2)
+    assert read() == expected[:20]
+    # Rows that a task has written twice count once.
+    assert database.publish(batch(15, 40).union(batch(15, 40)), options, "documento", "Id", 2) == 20
+    assert read() == expected
+    assert database.publish(batch(20, 60), options, "documento", "Id", 2) == 0 and read() == expected
+    # A crash in the transaction leaves neither rows nor the ledger's note.
+    run = database._run
+    monkeypatch.setattr(database, "_run", lambda c, q: 1 / 0 if q.startswith("INSERT INTO documento_batches") else run(c, q))
+    with pytest.raises(ZeroDivisionError):
+        database.publish(batch(40, 50), options, "documento", "Id", 3)
+    monkeypatch.undo()
+    assert read() == expected and database.publish(batch(40, 50), options, "documento", "Id", 3) == 10
