@@ -470,3 +470,10 @@ spot AS (SELECT image_id, height, i, i // 24 AS y, i % 24 AS x, ('0x' || byte)::
 across AS (SELECT *, {_taps(11, "v", "y", "x")} AS s FROM spot), both_ways AS (SELECT *, {_taps(11, "s", "x", "y")} AS t FROM across)
 SELECT image_id, 24 AS width, height, sha256(unhex(string_agg(CASE WHEN v > (t + 2147483648) // 4294967296 - 2 THEN 'FF' ELSE '00' END, '' ORDER BY i))) AS sha256, CAST(NULL AS VARCHAR) AS error FROM both_ways GROUP BY image_id, height"""
 ORACLES["src05_store_lookup"] = ORACLES["src05_lookup"]
+_TEXT_FIELDS = ("nombre_completo", "numero_documento", "fecha_nacimiento", "sexo", "lugar_nacimiento", "fecha_expedicion", "nacionalidad", "rh", "edad")
+_OCR_FIELDS = ("numero_documento", "nombre_completo", "apellidos", "nombres", "fecha_nacimiento", "sexo", "lugar_nacimiento", "nacionalidad", "tipo_sangre")
+ORACLES["r09_values"] = f"""{ORACLES["r09_envelope"].rsplit("SELECT doc_id, CASE WHEN ok", 1)[0]}
+SELECT doc_id, 'pdf_texto' AS metodo, v.f AS field, v.v AS value FROM (SELECT doc_id, unnest([{", ".join(f"{{'f': '{f}', 'v': {f}::VARCHAR}}" for f in _TEXT_FIELDS)}]) AS v FROM ok WHERE ok) WHERE v.v IS NOT NULL
+UNION ALL
+SELECT d.doc_id, 'ocr_template', d.field, coalesce({strip('x.value')}, '') FROM (SELECT doc_id, unnest([{", ".join(f"'{f}'" for f in _OCR_FIELDS)}]) AS field FROM oc LEFT JOIN ok USING (doc_id) WHERE NOT coalesce(ok, false)) d
+LEFT JOIN (SELECT doc_id, field, coalesce(ge.value, z.value, te.value) AS value FROM ge FULL JOIN z USING (doc_id, field) FULL JOIN te USING (doc_id, field)) x USING (doc_id, field)"""

@@ -435,11 +435,20 @@ def r08_combine(spark, sf_dir):
     return reconcile.combine(_latest(spark, sf_dir, "crop"), _latest(spark, sf_dir, "general"))
 
 
+def _envelope(spark, sf_dir):
+    text = lines.extract_by_lines(X.card_text(spark, sf_dir), as_of())
+    return reconcile.envelope(text, reconcile.wide(reconcile.precedence(X.candidates(spark, sf_dir))))
+
+
+@query
+def r09_values(spark, sf_dir):
+    """Every value of every document's envelope, from the path that was taken."""
+    return _envelope(spark, sf_dir).select("doc_id", "metodo", F.explode("resultado").alias("field", "value"))
+
+
 @query
 def r09_envelope(spark, sf_dir):
-    text = lines.extract_by_lines(X.card_text(spark, sf_dir), as_of())
-    ocr = reconcile.wide(reconcile.precedence(X.candidates(spark, sf_dir)))
-    return reconcile.envelope(text, ocr).select("doc_id", "metodo", "error", F.size(F.coalesce("resultado", F.create_map().cast("map<string,string>"))).alias("n_fields"))
+    return _envelope(spark, sf_dir).select("doc_id", "metodo", "error", F.size(F.coalesce("resultado", F.create_map().cast("map<string,string>"))).alias("n_fields"))
 
 
 def _tables(spark, sf_dir):
