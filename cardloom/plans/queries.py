@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cardloom.functions import text as T
 from cardloom.functions.similar import plain, similar_pairs, similarity
-from cardloom.operators import layout, lines, raster, reconcile, records
+from cardloom.operators import layout, lines, outlines, raster, reconcile, records
 from cardloom.plans import fixtures as X
 from cardloom.plans.oracles import ORACLES  # noqa: F401
 from cardloom.sources import database, files, landing, recognise
@@ -353,6 +353,13 @@ def v03_rectified(spark, sf_dir):
     return _shown(raster.rectified(_rasters(spark, sf_dir).withColumn("corners", corners), size=(48, 30)))
 
 
+@query
+def v04_outlines(spark, sf_dir):
+    """The parts of the bright pixels of each raster, with their outlines."""
+    masks = raster.binarised(_rasters(spark, sf_dir), "text").withColumnRenamed("image_id", "doc_id")
+    return outlines.outlines(masks).withColumns({"points": F.to_json("points"), "area": F.round("area", 6)})
+
+
 @query
 def v05_field_threshold(spark, sf_dir):
     return _shown(raster.binarised(_rasters(spark, sf_dir), "field"))

@@ -110,3 +110,27 @@ def test_what_is_no_raster_comes_back(spark):
     out = {r.image_id: r.error for r in raster.rectified(df, size=(4, 3)).collect()}
     assert all(out.values()) and out[5] == "no four corners" and "ingular" in out[6]
     assert raster.binarised(df.limit(0), "page").count() == 0
+
+
+@pytest.mark.parametrize(("name", "use"), [("v05_field_threshold", "field"), ("v06_page_threshold", "page")])
+def test_queries_over_all_documents(spark, name, use):
+    import hashlib
+
+    from cardloom.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    rows = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.image_id: r for r in queries.QUERIES[name](spark, sf).collect()}
+    assert set(got) == set(rows) and not any(r.error for r in got.values())
+    window, offset = raster.THRESHOLDS[use]
+    for i in sorted(rows, key=lambda i: len(rows[i]))[:3]:
+        h = max(1, -(-len(rows[i]) // 24))
+        grey = np.frombuffer(rows[i].ljust(24 * h, b"\0"), np.uint8).reshape(h, 24)
+        if use == "field":
+            grey = raster.equalised(grey)
+            grey = np.array([[brute_mean(grey, y, x, 3) for x in range(24)] for y in range(h)], np.uint8)
+        out = np.array([[255 if int(grey[y, x]) > brute_mean(grey, y, x, window) - offset else 0 for x in range(24)] for y in range(h)])
+        if use == "page":
+            out = np.array([[sorted(edge(out, y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1))[4] for x in range(24)] for y in range(h)])
+        assert got[i].sha256 == hashlib.sha256(out.astype(np.uint8).tobytes()).hexdigest()
+    assert queries.v03_rectified(spark, sf).filter("error IS NULL AND width = 48 AND height = 30").count() > 0
