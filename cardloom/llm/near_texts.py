@@ -30,6 +30,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Least chance that texts of the least similarity share a shard, least bits of a band, unrelated texts to a shard, and
 #: the radius in the 128 bits of a band's fingerprint and the next.
 RECALL, BAND, SHARD, RADIUS = 0.99, 16, 64, 30
+#: Most large shards whose numbers of parts are broadcast.
+MOST_LARGE = 100_000
 
 
 def bands_for(texts: int, similarity: float = SIMILARITY) -> tuple[int, int]:
@@ -185,12 +187,14 @@ def links(docs: DataFrame, *, similarity: float = SIMILARITY, shingle: int = SHI
     spread = prints.select("node", "prints", F.explode(F.sequence(F.lit(0), F.lit(across * per - 1))).alias("k"))
     spread = spread.select("node", "k", at(F.col("k"), 0).alias("one"), at(F.col("k"), 1).alias("two"), (F.col("k") % per * band).cast("int").alias("shift"))
     keyed = spread.select("node", (F.col("k").cast("long") * (1 << band) + F.expr("shiftrightunsigned(one, shift)").bitwiseAND(F.lit((1 << band) - 1))).alias("key"), "one", "two")
-    # Only shards over the cap need their size: fewer than one a `cap` rows of `keyed`.
+    # Only shards over the cap need their size; where they are many, they are shuffled.
     large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cap).select("key", F.ceil(F.col("n") / cap).cast("int").alias("parts"))
+    large = staged(large)
+    large = F.broadcast(large) if large.count() <= MOST_LARGE else large
     mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     # A part meets itself and every other part once: cell (i, j) with i <= j has the tree of i and the searches of j.
     cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("mine")).alias("i"), F.greatest(o, F.col("mine")).alias("j")))
-    parted = keyed.join(F.broadcast(large), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("mine", mine)
+    parted = keyed.join(large, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("mine", mine)
     dealt = parted.select("key", "node", "mine", "one", "two", F.explode(cells).alias("c")).select("key", "c.i", "c.j", "node", "mine", "one", "two")
     near = staged(dealt.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(search, f"cluster long, node {kind}").distinct())
     read = docs.join(near.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
