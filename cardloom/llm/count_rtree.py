@@ -1,6 +1,6 @@
 """Texts whose sets of word shingles have a Jaccard similarity of at least 0.8, by R-trees over count vectors.
 
-A set's shingles are hashed into 256 groups; their counts are a point, and two sets share at most the sum of the smaller
+A set's shingles are hashed into about as many groups as it has shingles, 256 at least; their counts are a point, and two sets share at most the sum of the smaller
 counts. An R-tree keeps of every subtree the largest count of each group and the smallest and largest set, so a search
 passes over subtrees that can't reach the overlap that the similarity needs. What is left is compared shingle by shingle.
 
@@ -8,14 +8,16 @@ Trees stand over shards of which linked sets share at least one: all sets that h
 the part of a set that two similar ones can't both keep free of common shingles. Prefixes take rare shingles first:
 frequent ones (counted over all texts; a bounded list) come last, the others by their hash.
 
-1. Equal sets become one node. Prefix shingles that two nodes have make the shards.
-2. *First links*: every node goes, with its set, to the shards of its least and its greatest shingle; large shards are
-   dealt in parts, differently for the two, so a large group of near copies grows together across its parts.
-3. *Open shards*: those whose nodes aren't all in one component yet. Their trees hold points only and mark the nodes
-   that may still link to another component; large shards meet part by part.
-4. *Last links*: marked nodes alone come with their sets and are compared.
+1. Equal sets become one node. A prefix shingle that several nodes of fitting sizes have makes a shard; of shards with the
+   same nodes one is left.
+2. *Candidates*: trees of points join the nodes of a shard that may be similar into groups. Where shards are large, every
+   node first goes to the shards of its least and its greatest shingle, dealt in parts, differently for the two, so that a
+   large group grows together across its parts; then come the shards whose nodes aren't all in one group, large ones part
+   by part.
+3. *Links*: every node of a group comes once with its set to be compared; large groups are dealt in parts twice, and
+   part by part only if they haven't grown together by then.
 
-Shards emit the links that join components, fewer than they have nodes, and no pair that is not a link.
+Shards emit what joins components, fewer pairs than they have nodes, so neither candidates nor links of a group are listed.
 """
 
 from __future__ import annotations
@@ -35,7 +37,9 @@ from cardloom.llm.shared import discard, looked_up, staged, sub_batches, texts
 SHINGLE, PERCENT, GROUPS = 5, 80, 256
 #: Frequent shingles that are ranked last: at most so many, and none in fewer prefixes than this.
 MOST_HOT, LEAST_HOT = 500_000, 64
-CAP = 1024
+CAP, TEXT_BYTES = 1024, 1 << 20
+#: Sets looked up without a shuffle of the texts: so many names of 24 bytes go to every task; more are joined.
+MOST_PLACES = 500_000
 _MARKS = "doc_id long, place long, node binary, n long, prefix array<long>, hot array<long>, counts binary"
 
 
@@ -77,8 +81,20 @@ def prefix_of(tokens: np.ndarray, hot: np.ndarray, percent: int) -> tuple[np.nda
 
 
 def points(sets: list[np.ndarray], groups: int = GROUPS) -> np.ndarray:
-    """Count vectors of sets, a row each; 255 and more as 255 (see `loaded`)."""
-    return np.array([np.minimum(np.bincount((s % U(groups)).astype(np.int64), minlength=groups), 255) for s in sets], np.uint8).reshape(-1, groups)
+    """Count vectors of sets in so many groups, a row each; 255 and more as 255 (see `loaded`)."""
+    return np.array([point(s, groups) for s in sets], np.uint8).reshape(-1, groups)
+
+
+def point(tokens: np.ndarray, groups: int | None = None) -> np.ndarray:
+    """A set's count vector, in a power of two of groups: the fewer than twice that many shingles it has, but 256 at least."""
+    groups = groups or max(GROUPS, 1 << max(0, len(tokens).bit_length() - 1))
+    return np.minimum(np.bincount((tokens % U(groups)).astype(np.int64), minlength=groups), 255).astype(np.uint8)
+
+
+def folded(counts: np.ndarray) -> np.ndarray:
+    """Loaded count vectors in half as many groups."""
+    half = counts.shape[-1] // 2
+    return np.minimum(counts[..., :half].astype(np.uint32) + counts[..., half:], 65_535).astype(np.uint16)
 
 
 def loaded(counts: np.ndarray) -> np.ndarray:
@@ -143,52 +159,55 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def joining(sets: list[np.ndarray], labels: np.ndarray, percent: int, side: np.ndarray | None = None, cap: int = 64) -> list[tuple[int, int]]:
-    """Links (index, index) that connect what is similar, without those inside one component; `labels` start the components.
+class Points:
+    """Count vectors of several widths. Similar sets have as many groups, or one twice as many as the other."""
+
+    def __init__(self, counts: list[np.ndarray], sizes: np.ndarray, percent: int, leaf: int = 16):
+        self.counts, self.sizes, self.percent = counts, sizes, percent
+        self.width = np.array([len(c) for c in counts])
+        self.bands = {}
+        for groups in np.unique(self.width).tolist():
+            own = np.flatnonzero(self.width == groups)
+            at = loaded(np.stack([counts[i] for i in own]))
+            self.bands[groups] = own, at, CountTree(at, sizes[own], leaf) if len(own) > leaf else None
+
+    def near(self, i: int) -> np.ndarray:
+        """Sets that may be similar to set i, of its width or half of it; wider ones find it themselves."""
+        out, vector = [], loaded(self.counts[i])
+        for groups in (int(self.width[i]), int(self.width[i]) // 2):
+            if groups in self.bands:
+                own, at, tree = self.bands[groups]
+                vector = vector if len(vector) == groups else folded(vector)
+                out.append(own[tree.search(vector, self.sizes[i], self.percent) if tree else may_link(vector, self.sizes[i], at, self.sizes[own], self.sizes[own], self.percent)])
+        return np.concatenate(out)
+
+
+def joining(points_: Points, labels: np.ndarray, side: np.ndarray | None = None, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Pairs (index, index) that connect what may be similar, or with `sets` what is, without those inside one component.
 
-    With `side`, only sets on different sides are compared.
+    `labels` start the components. With `side`, only sets on different sides are paired.
     """
-    counts, sizes = loaded(points(sets)), np.array([len(s) for s in sets], np.int64)
-    tree, label, out = None, labels.copy(), []
-    for i in range(len(sets)):
-        # A set sees those behind it; with sides, those of the other side.
-        if side is None:
-            others = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
-        else:
-            others = np.flatnonzero((label != label[i]) & (side != side[i])) if side[i] == 0 else np.zeros(0, np.int64)
-        if len(others) > cap:
-            tree = tree or CountTree(counts, sizes)
-            found = tree.search(counts[i], sizes[i], percent)
-            others = found[np.isin(found, others, assume_unique=True)]
-        elif len(others):
-            others = others[may_link(counts[i], sizes[i], counts[others], sizes[others], sizes[others], percent)]
-        for j in others.tolist():
-            if label[j] != label[i] and similar(sets[i], sets[j], percent):
+    label, out = labels.copy(), []
+    for i in range(len(label)):
+        if (label == label[i]).all():
+            break
+        near = points_.near(i)
+        near = near[label[near] != label[i]]
+        if side is not None:
+            near = near[side[near] != side[i]]
+        for j in near.tolist():
+            if label[j] != label[i] and (sets is None or similar(sets[i], sets[j], points_.percent)):
                 label[label == label[j]] = label[i]
                 out.append((i, j))
     return out
 
 
-def open_ones(counts: np.ndarray, sizes: np.ndarray, labels: np.ndarray, percent: int, side: np.ndarray | None = None) -> np.ndarray:
-    """Which sets may be similar to one of another component (and of the other side)."""
-    tree, out = CountTree(counts, sizes), np.zeros(len(sizes), bool)
-    for i in range(len(sizes)):
-        if side is None or side[i] == 0:
-            found = tree.search(counts[i], sizes[i], percent)
-            found = found[labels[found] != labels[i]]
-            if side is not None:
-                found = found[side[found] == 1]
-            out[found] = True
-            out[i] |= bool(len(found))
-    return out
-
-
 def frequent(docs: DataFrame, *, size: int, percent: int, most: int, least: int) -> np.ndarray:
-    """The shingles in most prefixes (a quarter longer, for what moves up), sorted: those over a threshold, at most `most`."""
+    """The shingles in most prefixes by hash alone, sorted: those over a threshold, at most `most`. One that only moves up into prefixes isn't counted there; any list gives the same links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sub_batches(batches, "text"):
-            heads = [s[: (len(s) - needed(len(s), percent) + 1) * 5 // 4 + 2] for s in shingle_sets(texts(b, "text"), size)]
+        for b in sub_batches(batches, "text", TEXT_BYTES):
+            heads = [s[: len(s) - needed(len(s), percent) + 1] for s in shingle_sets(texts(b, "text"), size)]
             yield pa.record_batch({"token": pa.array(np.concatenate([*heads, np.zeros(0, U)]).view(np.int64))})
 
     counted = docs.select("text").mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
@@ -204,49 +223,69 @@ def frequent(docs: DataFrame, *, size: int, percent: int, most: int, least: int)
 
 
 def marks(docs: DataFrame, hot: np.ndarray, *, size: int, percent: int) -> DataFrame:
-    """One row a document (doc_id, place, text): its set's name (null if empty) and size, the prefix in two parts and the count vector."""
+    """One row a document (doc_id, place, text): its set's name (null if empty) and size; of each set that a task sees, once the prefix in two parts and the count vector."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sub_batches(batches, "text"):
+        seen = set()
+        for b in sub_batches(batches, "text", TEXT_BYTES):
             sets = shingle_sets(texts(b, "text"), size)
-            heads = [prefix_of(s, shared.value, percent) for s in sets]
+            names = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+            fresh = []
+            for name in names:
+                fresh.append(name is not None and name not in seen)
+                seen.add(name)
+            heads = [prefix_of(s, shared.value, percent) if new else None for s, new in zip(sets, fresh, strict=True)]
             yield pa.record_batch({
-                "doc_id": b.column("doc_id"), "place": b.column("place"),
-                "node": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                "n": pa.array([len(s) for s in sets], pa.int64()),
-                "prefix": _lists([rare for rare, _ in heads]), "hot": _lists([many for _, many in heads]),
-                "counts": pa.array([row.tobytes() for row in points(sets)], pa.binary()),
+                "doc_id": b.column("doc_id"), "place": b.column("place"), "node": pa.array(names, pa.binary()), "n": pa.array([len(s) for s in sets], pa.int64()),
+                "prefix": _lists([h and h[0] for h in heads]), "hot": _lists([h and h[1] for h in heads]),
+                "counts": pa.array([point(s).tobytes() if new else None for s, new in zip(sets, fresh, strict=True)], pa.binary()),
             })
 
     return docs.select("doc_id", "place", "text").mapInArrow(run, _MARKS)
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
-    ends = np.cumsum([0, *(len(a) for a in arrays)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*arrays, np.zeros(0, U)]).view(np.int64)))
+def _lists(arrays: list[np.ndarray | None]) -> pa.ListArray:
+    ends = np.cumsum([0, *(0 if a is None else len(a) for a in arrays)])
+    values = pa.array(np.concatenate([*(a for a in arrays if a is not None), np.zeros(0, U)]).view(np.int64))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array([a is None for a in arrays], pa.bool_()))
 
 
-def shared_tokens(nodes: DataFrame) -> DataFrame:
-    """(token, node): the prefix shingles that several nodes have; of frequent ones all, without a shuffle."""
+def shared_tokens(rows: DataFrame, percent: int) -> DataFrame:
+    """(token, node): the prefix shingles that several nodes of fitting sizes have; of frequent ones all, which are dealt by both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, repeated = None, False  # the last row waits for the next one
+        held, fits = None, False  # the last row waits for the next one
         for batch in batches:
             if not batch.num_rows:
                 continue
             if held is not None:
                 batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            token = np.asarray(batch.column("token"))
-            same = token[1:] == token[:-1]
-            keep = np.r_[repeated, same] | np.r_[same, False]
-            yield batch.slice(0, len(keep) - 1).filter(pa.array(keep[:-1]))
-            held, repeated = batch.slice(len(keep) - 1), bool(keep[-1])
-        if held is not None and repeated:
-            yield held
-
-    rare = nodes.select(F.explode("prefix").alias("token"), "node").repartition("token").sortWithinPartitions("token")
-    return rare.mapInArrow(run, "token long, node binary").unionByName(nodes.select(F.explode("hot").alias("token"), "node"))
+            # A node that several tasks have seen stands there several times.
+            node, token = batch.column("node").to_numpy(zero_copy_only=False), np.asarray(batch.column("token"))
+            last = np.r_[(node[1:] != node[:-1]) | (token[1:] != token[:-1]), True]
+            batch, token = batch.filter(pa.array(last)), token[last]
+            n = np.asarray(batch.column("n"))
+            # Sorted by size, so the nearest size stands beside a row.
+            near = (token[1:] == token[:-1]) & (100 * n[:-1] >= percent * n[1:])
+            keep = np.r_[fits, near] | np.r_[near, False]
+            yield batch.slice(0, len(keep) - 1).filter(pa.array(keep[:-1])).select(["token", "node"])
+            held, fits = batch.slice(len(keep) - 1), bool(keep[-1])
+        if held is not None and fits:
+            yield held.select(["token", "node"])
+
+    rare = rows.select(F.explode("prefix").alias("token"), "n", "node").repartition("token").sortWithinPartitions("token", "n", "node")
+    return rare.mapInArrow(run, "token long, node binary").unionByName(rows.select(F.explode("hot").alias("token"), "node").distinct())
+
+
+def distinct_shards(shards: DataFrame) -> DataFrame:
+    """`shards` (token, node) without those that have the nodes of another one, told by 128 bits of them, or a single node."""
+    mark = lambda seed: F.bit_xor(F.xxhash64("node", F.lit(seed)))
+    each = shards.groupBy("token").agg(F.count(F.lit(1)).alias("w"), mark(1).alias("x"), mark(2).alias("y"))
+    one = staged(each.filter("w > 1").groupBy("w", "x", "y").agg(F.min("token").alias("token")).select("token", "w"))
+    out = staged(looked_up(shards, one, "token", "w").filter("w IS NOT NULL").select("token", "node"))
+    discard(one)
+    return out
 
 
 def _dealt(rows: DataFrame, cap: int) -> DataFrame:
@@ -279,10 +318,6 @@ def _sharded(rows: DataFrame, by: list[str], columns: list[str], work, schema: s
     return rows.select(*by, *columns).repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
 
 
-def _sets(tokens: tuple[bytes, ...]) -> list[np.ndarray]:
-    return [np.frombuffer(t, U) for t in tokens]
-
-
 def _labels(values: tuple) -> np.ndarray:
     known: dict[bytes, int] = {}
     return np.array([known.setdefault(v, len(known)) for v in values])
@@ -300,89 +335,147 @@ def similarity_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     # A row's place is a hash of all that matters of it, so that one row of each node finds its text again.
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("place"))
     hot = frequent(docs, size=size, percent=percent, most=most_hot, least=least_hot)
-    rows = staged(marks(docs, hot, size=size, percent=percent))
+    marked = staged(marks(docs, hot, size=size, percent=percent))
+    rows = staged(marked.select("doc_id", "node", "n"))
     # Equal sets have equal marks, so any of them stands for all.
-    marked = rows.filter("node IS NOT NULL").groupBy("node")
-    nodes = staged(marked.agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("w"), F.first(F.struct("n", "prefix", "hot", "counts")).alias("m")).select("node", "id", "w", "m.*"))
-    shards = staged(shared_tokens(nodes))
-
-    # First links: the sets of nodes that share anything, in two shards each.
-    ends = staged(shards.groupBy("node").agg(F.min("token").alias("low"), F.max("token").alias("high")))
-    sets = staged(_with_sets(docs, rows, ends.select("node"), size))
-    twice = ends.select("node", F.explode(F.array(F.struct(F.col("low").alias("token"), F.lit(0).alias("side")), F.struct(F.col("high").alias("token"), F.lit(1).alias("side")))).alias("at"))
-    twice = twice.select("node", "at.token", "at.side").distinct().withColumn("token", F.xxhash64("token", "side"))
-    first = _dealt(twice, cap).withColumn("part", F.pmod(F.xxhash64("node", "token"), "parts").cast("int")).join(sets, "node")
-
-    def linked(_, columns: list[tuple]) -> list[tuple]:
-        nodes_, tokens = columns[0], _sets(columns[1])
-        return [(nodes_[a], nodes_[b]) for a, b in joining(tokens, np.arange(len(tokens)), percent)]
-
-    links = staged(_sharded(first, ["token", "part"], ["node", "tokens"], linked, "a binary, b binary"))
-
-    # Open shards: those of several components.
-    found = components(links)
-    joined = staged(shards.join(found, "node", "left").select("token", "node", F.coalesce("component", "node").alias("label")))
-    several = staged(joined.groupBy("token").agg(F.count(F.lit(1)).alias("w"), F.countDistinct("label").alias("labels")).filter("labels > 1").drop("labels"))
-    opened = looked_up(joined, several, "token", "w").filter("w IS NOT NULL").drop("w")
-    parted = _dealt(opened, cap).withColumn("mine", F.pmod(F.xxhash64("node", "token"), "parts").cast("int"))
-    # A part meets itself and every other part once.
-    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("mine")).alias("i"), F.greatest(o, F.col("mine")).alias("j")))
-    cells = parted.select("token", "node", "label", "mine", F.explode(cells).alias("cell")).select("token", "node", "label", "mine", "cell.i", "cell.j")
-    by = ["token", "i", "j"]
-
-    def sides(key: tuple, mine: tuple[int, ...]) -> np.ndarray | None:
-        return None if key[1] == key[2] else np.array([int(m != key[1]) for m in mine])
-
-    def marked_open(key: tuple, columns: list[tuple]) -> list[tuple]:
-        nodes_, labels, mine, n, counts = columns
-        at = open_ones(loaded(np.frombuffer(b"".join(counts), np.uint8).reshape(len(n), -1)), np.array(n), _labels(labels), percent, sides(key, mine))
-        return [(*key, nodes_[i], labels[i], mine[i]) for i in np.flatnonzero(at)]
-
-    still = staged(_sharded(cells.join(nodes.select("node", "n", "counts"), "node"), by, ["node", "label", "mine", "n", "counts"], marked_open, "token long, i int, j int, node binary, label binary, mine int"))
-
-    # Last links: the marked nodes with their sets.
-    def linked_across(key: tuple, columns: list[tuple]) -> list[tuple]:
-        nodes_, labels, mine, tokens = columns
-        return [(nodes_[a], nodes_[b]) for a, b in joining(_sets(tokens), _labels(labels), percent, sides(key, mine))]
-
-    last = staged(_sharded(still.join(sets, "node"), by, ["node", "label", "mine", "tokens"], linked_across, "a binary, b binary"))
-    found = components(links.unionByName(last)) if last.limit(1).count() else found
+    nodes = staged(marked.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("id"), F.min("place").alias("place"), F.count(F.lit(1)).alias("w"), F.max("n").alias("n"), F.first("counts", ignorenulls=True).alias("counts")))
+    every = staged(shared_tokens(marked, percent))
+    discard(marked)
+    shards = distinct_shards(every)
+    discard(every)
+    points_ = nodes.select("node", "n", "counts")
+
+    labelled, some = shards.withColumn("label", F.col("node")), None
+    if shards.groupBy("token").count().filter(F.col("count") > cap).limit(1).count():
+        ends = F.array(F.struct(F.min("token").alias("token"), F.lit(0).alias("side")), F.struct(F.max("token").alias("token"), F.lit(1).alias("side")))
+        twice = shards.groupBy("node").agg(F.explode(ends).alias("at")).select(F.xxhash64("at.token", "at.side").alias("token"), "node", F.col("node").alias("label"))
+        some = _joined(_apart(twice, cap), points_, percent)
+        labelled, _ = _open(shards.join(components(some), "node", "left").select("token", "node", F.coalesce("component", "node").alias("label")))
+    more = _joined(_across(labelled, cap), points_, percent)
+    groups = components(more if some is None else some.unionByName(more))
+
+    sets = staged(_sets(docs, nodes.join(groups.select("node"), "node", "left_semi").select("place", "node"), size))
+    grouped = groups.join(nodes.select("node"), "node", "left_semi").select(F.xxhash64("component").alias("token"), "node", F.col("node").alias("label"))
+    sized = staged(_dealt(grouped, cap))
+    # A group of one part is settled by its task; the parts of others meet as components of their links.
+    alone = sized.filter("parts = 1").select("token", "node", "label", *(F.lit(0).alias(c) for c in ("mine", "i", "j")))
+    found, links, last = _joined(alone, sets, percent, classes=True), None, None
+    if sized.filter("parts > 1").limit(1).count():
+        dealt = sized.filter("parts > 1").withColumn("deal", F.explode(F.array(F.lit(0), F.lit(1))))
+        part = F.pmod(F.xxhash64("node", "deal"), "parts").cast("int")
+        links = _joined(dealt.select(F.xxhash64("token", "deal").alias("token"), "node", "label", part.alias("mine"), part.alias("i"), part.alias("j")), sets, percent)
+        grown = components(links)
+        opened, any_ = _open(sized.filter("parts > 1").select("token", "node").join(grown, "node", "left").select("token", "node", F.coalesce("component", "node").alias("label")))
+        if any_:
+            last = _joined(_across(opened, cap), sets, percent)
+            grown = components(links.unionByName(last))
+        found = found.unionByName(grown)
 
     labels = staged(nodes.join(found, "node", "left").select("node", "id", "w", F.coalesce("component", "node").alias("component")))
     least = staged(labels.groupBy("component").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("k")))
     named = staged(looked_up(labels, least, "component", "k").select("node", "w", "component_id"))
-    for spent in (nodes, shards, ends, sets, links, joined, several, still, last, labels, least):
+    for spent in filter(None, (nodes, shards, some, more, sets, sized, links, last, labels, least)):
         discard(spent)
-    out = looked_up(rows.select("doc_id", "node", "n"), named, "node", "w")
+    out = looked_up(rows, named, "node", "w")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _with_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, tokens): the sets of the wanted nodes, from one document of each; its text is read again."""
-    one = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("place").alias("at")).select("at", F.col("node").alias("want"))
+def _apart(rows: DataFrame, cap: int) -> DataFrame:
+    """Cells of `rows` (token, node, label): each part of a shard by itself."""
+    part = F.pmod(F.xxhash64("node", "token"), "parts").cast("int")
+    return _dealt(rows, cap).select("token", "node", "label", part.alias("mine"), part.alias("i"), part.alias("j"))
+
+
+def _across(rows: DataFrame, cap: int) -> DataFrame:
+    """Cells of `rows` (token, node, label): each part of a shard by itself and with every other one."""
+    parted = _dealt(rows, cap).withColumn("mine", F.pmod(F.xxhash64("node", "token"), "parts").cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("mine")).alias("i"), F.greatest(o, F.col("mine")).alias("j")))
+    return parted.select("token", "node", "label", "mine", F.explode(cells).alias("cell")).select("token", "node", "label", "mine", "cell.i", "cell.j")
+
+
+def _open(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The rows (token, node, label) of shards with several labels, and whether there are any."""
+    rows = staged(rows)
+    several = staged(rows.groupBy("token").agg(F.count(F.lit(1)).alias("w"), F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").drop("a", "b"))
+    return looked_up(rows, several, "token", "w").filter("w IS NOT NULL").drop("w"), several.limit(1).count()
+
+
+def _joined(cells: DataFrame, having: DataFrame, percent: int, *, classes: bool = False) -> DataFrame:
+    """(a, b) that join the components (label) of the nodes of each cell (token, i, j), of one part or of parts i and j.
+
+    `having` (node, n, counts) gives what may be similar, `having` (node, tokens) what is. With `classes`, (node,
+    component) of the nodes that are joined instead, as `components` would have it.
+    """
+    exact = "tokens" in having.columns
+
+    def work(key: tuple, columns: list[tuple]) -> list[tuple]:
+        names, labels, mine = columns[:3]
+        side = None if key[1] == key[2] else np.array([int(m != key[1]) for m in mine])
+        sets = [np.frombuffer(t, U) for t in columns[3]] if exact else None
+        counts = [point(s) for s in sets] if exact else [np.frombuffer(c, np.uint8) for c in columns[4]]
+        sizes = np.array([len(s) for s in sets] if exact else columns[3], np.int64)
+        pairs = joining(Points(counts, sizes, percent), _labels(labels), side, sets)
+        if not classes:
+            return [(names[a], names[b]) for a, b in pairs]
+        group = np.arange(len(names))
+        for a, b in pairs:
+            group[group == group[b]] = group[a]
+        least: dict[int, bytes] = {}
+        for name, g in zip(names, group.tolist(), strict=True):
+            least[g] = min(name, least.get(g, name))
+        size = np.bincount(group)
+        return [(name, least[g]) for name, g in zip(names, group.tolist(), strict=True) if size[g] > 1]
+
+    schema = "node binary, component binary" if classes else "a binary, b binary"
+    return staged(_sharded(cells.join(having, "node"), ["token", "i", "j"], ["node", "label", "mine", *having.columns[1:]], work, schema))
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(node, tokens): the sets of `wanted` (place, node), whose texts are read again."""
+    wanted = staged(wanted)
+    few = wanted.count() <= MOST_PLACES
+    table = wanted.toArrow() if few else None
+    known = None
+    if few:
+        place, name = np.asarray(table.column("place")), np.frombuffer(b"".join(table.column("node").to_pylist()), "V16")
+        order = np.argsort(place, kind="stable")
+        known = docs.sparkSession.sparkContext.broadcast((place[order], name[order]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()  # repeated rows share their place
-        for b in sub_batches(batches, "text"):
-            found = shingle_sets(texts(b, "text"), size)
+        for b in sub_batches(batches, "text", TEXT_BYTES):
+            if known:  # all names of the row's place, one as a rule
+                places, names = known.value
+                here = np.asarray(b.column("place"))
+                low, past = np.searchsorted(places, here, "left"), np.searchsorted(places, here, "right")
+                at = np.flatnonzero(past > low)
+                picked, want = b.take(pa.array(at)), [set(map(bytes, names[low[i] : past[i]].tolist())) for i in at.tolist()]
+            else:
+                picked, want = b, [{w} for w in b.column("node").to_pylist()]
             keep = []
-            for s, want in zip(found, b.column("want").to_pylist(), strict=True):
-                if want not in seen and xxhash.xxh3_128_digest(s.tobytes()) == want:
-                    seen.add(want)
-                    keep.append((want, s.tobytes()))
+            for s, names in zip(shingle_sets(texts(picked, "text"), size), want, strict=True):
+                name = xxhash.xxh3_128_digest(s.tobytes())
+                if name in names and name not in seen:
+                    seen.add(name)
+                    keep.append((name, s.tobytes()))
             nodes, tokens = zip(*keep, strict=True) if keep else ((), ())
             yield pa.record_batch({"node": pa.array(nodes, pa.binary()), "tokens": pa.array(tokens, pa.binary())})
 
-    return docs.join(one, docs["place"] == one["at"]).select("text", "want").mapInArrow(run, "node binary, tokens binary")
+    picked = docs.select("place", "text") if few else docs.join(wanted, "place").select("place", "node", "text")
+    return picked.mapInArrow(run, "node binary, tokens binary")
 
 
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ORACLE_SQL = rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_LETTERS}', '{_LETTERS.lower()}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), five AS (
+  SELECT doc_id, unnest(w[1:len(w) - 4]) AS a, unnest(w[2:len(w) - 3]) AS b, unnest(w[3:len(w) - 2]) AS c, unnest(w[4:len(w) - 1]) AS d, unnest(w[5:]) AS e
+  FROM w WHERE len(w) >= 5
 ), s AS MATERIALIZED (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS sh
-  FROM w
+  SELECT DISTINCT doc_id, concat_ws(' ', a, b, c, d, e) AS sh FROM five
+  UNION ALL
+  SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 4
 ), n AS (
   SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
 ), common AS (
