@@ -37,7 +37,9 @@ from cardloom.llm.shared import discard, looked_up, staged, sub_batches, texts
 SHINGLE, PERCENT, GROUPS = 5, 80, 256
 #: Frequent shingles that are ranked last: at most so many, and none in fewer prefixes than this.
 MOST_HOT, LEAST_HOT = 500_000, 64
-CAP, TEXT_BYTES = 1024, 1 << 20
+CAP, TEXT_BYTES = 4096, 1 << 20
+#: Shingles of the sets that are compared in one task, about.
+MOST_TOKENS = 1 << 22
 #: Sets looked up without a shuffle of the texts: so many names of 24 bytes go to every task; more are joined.
 MOST_PLACES = 500_000
 _MARKS = "doc_id long, place long, node binary, n long, prefix array<long>, hot array<long>, counts binary"
@@ -289,9 +291,11 @@ def distinct_shards(shards: DataFrame) -> DataFrame:
 
 
 def _dealt(rows: DataFrame, cap: int) -> DataFrame:
-    """`rows` (token, node, ...) with `parts`, how many parts of about `cap` nodes the shard has."""
-    sizes = staged(rows.groupBy("token").agg(F.count(F.lit(1)).alias("w")))
-    large = sizes.filter(F.col("w") > cap).withColumn("parts", F.ceil(F.col("w") / cap).cast("int"))
+    """`rows` (token, node, ...) with `parts`, how many parts of about `cap` nodes the shard has, and of `MOST_TOKENS` if rows have their `n`."""
+    tokens = F.sum("n") if "n" in rows.columns else F.lit(0)
+    sizes = staged(rows.groupBy("token").agg(F.count(F.lit(1)).alias("w"), tokens.alias("tokens")))
+    parts = F.greatest(F.ceil(F.col("w") / cap), F.ceil(F.col("tokens") / MOST_TOKENS)).cast("int")
+    large = sizes.withColumn("parts", parts).filter("parts > 1")
     return looked_up(rows, large.select("token", "w", "parts"), "token", "w").withColumn("parts", F.coalesce("parts", F.lit(1)))
 
 
@@ -355,7 +359,7 @@ def similarity_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     groups = components(more if some is None else some.unionByName(more))
 
     sets = staged(_sets(docs, nodes.join(groups.select("node"), "node", "left_semi").select("place", "node"), size))
-    grouped = groups.join(nodes.select("node"), "node", "left_semi").select(F.xxhash64("component").alias("token"), "node", F.col("node").alias("label"))
+    grouped = groups.join(nodes.select("node", "n"), "node").select(F.xxhash64("component").alias("token"), "node", F.col("node").alias("label"), "n")
     sized = staged(_dealt(grouped, cap))
     # A group of one part is settled by its task; the parts of others meet as components of their links.
     alone = sized.filter("parts = 1").select("token", "node", "label", *(F.lit(0).alias(c) for c in ("mine", "i", "j")))
@@ -365,7 +369,7 @@ def similarity_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         part = F.pmod(F.xxhash64("node", "deal"), "parts").cast("int")
         links = _joined(dealt.select(F.xxhash64("token", "deal").alias("token"), "node", "label", part.alias("mine"), part.alias("i"), part.alias("j")), sets, percent)
         grown = components(links)
-        opened, any_ = _open(sized.filter("parts > 1").select("token", "node").join(grown, "node", "left").select("token", "node", F.coalesce("component", "node").alias("label")))
+        opened, any_ = _open(sized.filter("parts > 1").select("token", "node", "n").join(grown, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("label")))
         if any_:
             last = _joined(_across(opened, cap), sets, percent)
             grown = components(links.unionByName(last))
