@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardloom.llm.shared import looked_up, staged
+from cardloom.llm.shared import looked_up, sifted, staged
 
 WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
 SALTS = 16
@@ -100,18 +100,26 @@ def deduped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     winners, key = _winners(docs, id_col, text_col, salts, digest)
     w_key = key(digest(normalised(F.col(text_col))), normalised(F.col(text_col)))
-    slim = docs.select(F.col(id_col).alias("_id"), _points(F.col(text_col)).alias("_n"), w_key.alias("w_key"))
+    place = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+    slim = docs.select(F.col(id_col).alias("_id"), _points(F.col(text_col)).alias("_n"), place.alias("key"), w_key.alias("w_key"))
+    grouped = staged(looked_up(slim, winners, "w_key", "w_size").filter("w_size IS NOT NULL").select("key", "w_key", _stays(F.col("_id"), F.col("_n")).alias("stays")))
     # Only keys whose winner stands for several rows need one of them picked; mostly there are none.
-    ties = staged(looked_up(slim, winners, "w_key", "w_size").filter(F.col("w_size").isNotNull() & _stays(F.col("_id"), F.col("_n"))).groupBy("w_key").count().filter("count > 1").select(F.col("w_key").alias("t_key")))
+    ties = staged(grouped.filter("stays").groupBy("w_key").count().filter("count > 1").select(F.col("w_key").alias("t_key"), F.col("count").alias("t_size")))
     any_tied = ties.limit(1).count()
+    # Only rows that may go travel with their texts; the others stay without a join.
+    loose = grouped.filter("NOT stays").select("key")
     if any_tied:
         winners = staged(winners.join(ties, F.col("w_key") == F.col("t_key"), "left").select(*winners.columns, F.col("t_key").isNotNull().alias("tied")))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("_id"), _points(F.col(text_col)).alias("_n"), w_key.alias("w_key"))
+        loose = loose.unionByName(looked_up(grouped.filter("stays").withColumnRenamed("w_key", "t_key"), ties, "t_key", "t_size").filter("t_size IS NOT NULL").select("key"))
+    sift = sifted(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")), F.xxhash64(F.col(f"row.`{id_col}`").cast("long"), F.col(f"row.`{text_col}`")), staged(loose))
+    text = F.col(f"row.`{text_col}`")
+    rows = sift.filter("maybe").select("row", F.col(f"row.`{id_col}`").alias("_id"), _points(text).alias("_n"), key(digest(normalised(text)), normalised(text)).alias("w_key"))
     stay = looked_up(rows, winners, "w_key", "w_size").filter(_stays(F.col("_id"), F.col("_n")))
+    sure = sift.filter("NOT maybe").select("row.*")
     if not any_tied:
-        return stay.select("row.*")
+        return sure.union(stay.select("row.*"))
     one = stay.filter("tied").groupBy("w_key").agg(F.first("row").alias("row"))
-    return stay.filter("NOT coalesce(tied, false)").select("row.*").union(one.select("row.*"))
+    return sure.union(stay.filter("NOT coalesce(tied, false)").select("row.*")).union(one.select("row.*"))
 
 
 ORACLE_SQL = r"""

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from cardloom.llm.arrays import U, Words, mix, normal, spans
 from cardloom.llm.components import components
-from cardloom.llm.shared import looked_up, staged, sub_batches, texts
+from cardloom.llm.shared import looked_up, sifted, staged, sub_batches, texts
 from cardloom.llm.simhash import _LANES, SEED, BKTree
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -197,7 +197,10 @@ def links(docs: DataFrame, *, similarity: float = SIMILARITY, shingle: int = SHI
     parted = keyed.join(large, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("mine", mine)
     dealt = parted.select("key", "node", "mine", "one", "two", F.explode(cells).alias("c")).select("key", "c.i", "c.j", "node", "mine", "one", "two")
     near = staged(dealt.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(search, f"cluster long, node {kind}").distinct())
-    read = docs.join(near.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    # Texts of no cluster are left out before the join.
+    named = staged(near.select("node").distinct())
+    some = sifted(docs, F.xxhash64("node"), named.select(F.xxhash64("node").alias("key"))).filter("maybe").drop("maybe")
+    read = some.join(named, "node", "left_semi").dropDuplicates(["node"])
     return near.join(read, "node").repartition(n, "cluster").sortWithinPartitions("cluster").mapInArrow(check, f"a {kind}, b {kind}")
 
 
@@ -237,8 +240,11 @@ def near_deduped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     labels = _labels(docs, id_col, text_col, similarity, shingle)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("_id"), _node(text_col).alias("node"))
-    stay = looked_up(rows, labels, "node", "n").filter((F.col("node") == F.col("rep_node")) & F.col("_id").eqNullSafe(F.col("component_id")))
+    # The only row of a text that stands for its component stays without a join; only what may go travels.
+    sift = sifted(rows, F.xxhash64("node"), staged(labels.filter("n > 1 OR node <> rep_node").select(F.xxhash64("node").alias("key"))))
+    sure = sift.filter("NOT maybe").select("row.*")
+    stay = looked_up(sift.filter("maybe").drop("maybe"), labels, "node", "n").filter((F.col("node") == F.col("rep_node")) & F.col("_id").eqNullSafe(F.col("component_id")))
     if not labels.filter("node = rep_node AND ties > 1").limit(1).count():
-        return stay.select("row.*")
+        return sure.union(stay.select("row.*"))
     one = stay.filter("ties > 1").groupBy("node").agg(F.first("row").alias("row"))
-    return stay.filter("ties = 1").select("row.*").union(one.select("row.*"))
+    return sure.union(stay.filter("ties = 1").select("row.*")).union(one.select("row.*"))

@@ -9,11 +9,13 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key is hot with more rows than one in so many of all; so at most as many keys are hot, and only those are broadcast.
 HOT_KEYS = 20_000
+#: Bits of a broadcast filter for each of its keys, and the least and most in all (128 KB, 8 MB).
+KEY_BITS, LEAST_BITS, MOST_BITS = 64, 1 << 20, 1 << 26
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -82,6 +84,23 @@ def looked_up(rows: DataFrame, table: DataFrame, key: str, weight: str, *, least
     return both.select(*(F.col(f"`{c}`") for c in rows.columns), *(found[c].alias(c) for c in table.columns if c != key))
 
 
+def sifted(rows: DataFrame, key: Column, keys: DataFrame, *, bits: int | None = None) -> DataFrame:
+    """`rows` with a column `maybe`, false only where the long `key` is none of `keys` (key): what is false needs no join.
+
+    Told by one bit of a broadcast bitmap, so that wide rows stay where they are. The bitmap has at most `MOST_BITS`; the more
+    keys, the more rows pass that have none of them. `keys` is evaluated twice and should be staged.
+    """
+    bits = bits or min(MOST_BITS, max(LEAST_BITS, KEY_BITS * keys.count()))
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
+    slots = keys.select(slot(F.col("key")).alias("_slot")).distinct()
+    maps = slots.select(F.bitmap_bucket_number("_slot").alias("_bucket"), F.bitmap_bit_position("_slot").alias("_bit")).repartition("_bucket").groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    met = rows.withColumn("_slot", slot(key)).join(F.broadcast(maps), F.bitmap_bucket_number("_slot") == F.col("_bucket"), "left")
+    bit = F.bitmap_bit_position("_slot")
+    byte = F.conv(F.hex(F.substring("_map", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
+    return met.select(*(F.col(f"`{c}`") for c in rows.columns), found.alias("maybe"))
+
+
 def sub_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches holding at most `limit` bytes of a text column, or one row if that alone is longer."""
     for batch in batches:

@@ -1,9 +1,10 @@
 """The pipeline's stages against brute force on the smallest documents."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from cardloom.llm.shared import staged
+from cardloom.llm.shared import sifted, staged
 from tests.llm.test_near_texts import shingles, similar
 from tests.llm.test_operators import brute_components, brute_windows
 
@@ -68,3 +69,33 @@ def test_nulls_and_nothing(spark):
         for _, stage in cp.STAGES:
             now = staged(stage(spark, now, SF))
         assert now.columns[0] == "doc_id"
+
+
+@pytest.mark.parametrize("stage", [cp.exact, cp.near])
+def test_rows_that_surely_stay_are_not_shuffled(spark, stage):
+    text = F.concat_ws(" ", *(F.sha2(F.concat_ws(":", F.col("id") % 900, F.lit(i)), 256) for i in range(8)))
+    docs = spark.range(0, 1_000, 1, 4).select(F.col("id").alias("doc_id"), text.alias("text"))
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = stage(spark, docs, SF).select("doc_id", F.spark_partition_id().alias("at")).collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert sorted(r.doc_id for r in out) == list(range(900))
+    # Copies of the first hundred texts follow at the end; the other texts are alone.
+    alone = [r for r in out if r.doc_id >= 100]
+    assert sum(r.at == r.doc_id // 250 for r in alone) >= 0.95 * len(alone)
+
+
+@pytest.mark.parametrize("bits", [None, 64])
+def test_a_sift_loses_no_key(spark, bits):
+    keys = staged(spark.range(-500, 500).select((F.col("id") * 7).alias("key")))
+    rows = spark.range(-7_000, 7_000)
+    got = sifted(rows, F.col("id"), keys, bits=bits)
+    assert got.count() == 14_000
+    assert got.filter("maybe AND id % 7 = 0 AND id BETWEEN -3500 AND 3493").count() == 1_000
+    if not bits:
+        assert got.filter("maybe").count() < 1_100
+    assert not sifted(rows, F.col("id"), staged(keys.limit(0))).filter("maybe").count()
