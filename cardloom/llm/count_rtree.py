@@ -27,12 +27,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.llm.arrays import U, Words, mix, normal
 from cardloom.llm.components import components
-from cardloom.llm.shared import discard, looked_up, staged, sub_batches, texts
+from cardloom.llm.shared import discard, looked_up, sifted, staged, sub_batches, texts
 
 SHINGLE, PERCENT, GROUPS = 5, 80, 256
 #: Frequent shingles that are ranked last: at most so many, and none in fewer prefixes than this.
@@ -40,7 +41,7 @@ MOST_HOT, LEAST_HOT = 500_000, 64
 CAP, TEXT_BYTES = 4096, 1 << 20
 #: Shingles of the sets that are compared in one task, about.
 MOST_TOKENS = 1 << 22
-#: Sets looked up without a shuffle of the texts: so many names of 24 bytes go to every task; more are joined.
+#: Sets looked up without a shuffle of the texts: so many names of 33 bytes go to every task; more are joined.
 MOST_PLACES = 500_000
 _MARKS = "doc_id long, place long, node binary, n long, prefix array<long>, hot array<long>, counts binary"
 
@@ -93,6 +94,16 @@ def point(tokens: np.ndarray, groups: int | None = None) -> np.ndarray:
     return np.minimum(np.bincount((tokens % U(groups)).astype(np.int64), minlength=groups), 255).astype(np.uint8)
 
 
+def packed(counts: np.ndarray, pack: zstandard.ZstdCompressor) -> bytes:
+    """A count vector as it travels; most counts are 0 to 4."""
+    return pack.compress(counts.tobytes())
+
+
+def unpacked(blobs: tuple[bytes, ...]) -> list[np.ndarray]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [np.frombuffer(unpack(b), np.uint8) for b in blobs]
+
+
 def folded(counts: np.ndarray) -> np.ndarray:
     """Loaded count vectors in half as many groups."""
     half = counts.shape[-1] // 2
@@ -229,7 +240,7 @@ def marks(docs: DataFrame, hot: np.ndarray, *, size: int, percent: int) -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
+        seen, pack = set(), zstandard.ZstdCompressor(level=3)
         for b in sub_batches(batches, "text", TEXT_BYTES):
             sets = shingle_sets(texts(b, "text"), size)
             names = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
@@ -241,7 +252,7 @@ def marks(docs: DataFrame, hot: np.ndarray, *, size: int, percent: int) -> DataF
             yield pa.record_batch({
                 "doc_id": b.column("doc_id"), "place": b.column("place"), "node": pa.array(names, pa.binary()), "n": pa.array([len(s) for s in sets], pa.int64()),
                 "prefix": _lists([h and h[0] for h in heads]), "hot": _lists([h and h[1] for h in heads]),
-                "counts": pa.array([point(s).tobytes() if new else None for s, new in zip(sets, fresh, strict=True)], pa.binary()),
+                "counts": pa.array([packed(point(s), pack) if new else None for s, new in zip(sets, fresh, strict=True)], pa.binary()),
             })
 
     return docs.select("doc_id", "place", "text").mapInArrow(run, _MARKS)
@@ -285,7 +296,9 @@ def distinct_shards(shards: DataFrame) -> DataFrame:
     mark = lambda seed: F.bit_xor(F.xxhash64("node", F.lit(seed)))
     each = shards.groupBy("token").agg(F.count(F.lit(1)).alias("w"), mark(1).alias("x"), mark(2).alias("y"))
     one = staged(each.filter("w > 1").groupBy("w", "x", "y").agg(F.min("token").alias("token")).select("token", "w"))
-    out = staged(looked_up(shards, one, "token", "w").filter("w IS NOT NULL").select("token", "node"))
+    # Most shingles' shards are left out, before the join.
+    some = sifted(shards, F.col("token"), one.select(F.col("token").alias("key"))).filter("maybe").drop("maybe")
+    out = staged(looked_up(some, one, "token", "w").filter("w IS NOT NULL").select("token", "node"))
     discard(one)
     return out
 
@@ -358,20 +371,22 @@ def similarity_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     more = _joined(_across(labelled, cap), points_, percent)
     groups = components(more if some is None else some.unionByName(more))
 
-    sets = staged(_sets(docs, nodes.join(groups.select("node"), "node", "left_semi").select("place", "node"), size))
-    grouped = groups.join(nodes.select("node", "n"), "node").select(F.xxhash64("component").alias("token"), "node", F.col("node").alias("label"), "n")
+    # Every node of a group with its group, so that its set travels once, to its group's task.
+    grouped = groups.join(nodes.select("node", "place", "n"), "node").select(F.xxhash64("component").alias("token"), "node", F.col("node").alias("label"), "place", "n")
     sized = staged(_dealt(grouped, cap))
+    sets = staged(_sets(docs, sized.select("place", "node", F.when(F.col("parts") == 1, F.col("token")).alias("token")), size))
     # A group of one part is settled by its task; the parts of others meet as components of their links.
-    alone = sized.filter("parts = 1").select("token", "node", "label", *(F.lit(0).alias(c) for c in ("mine", "i", "j")))
-    found, links, last = _joined(alone, sets, percent, classes=True), None, None
+    alone = sets.filter("token IS NOT NULL").select("token", "node", F.col("node").alias("label"), *(F.lit(0).alias(c) for c in ("mine", "i", "j")), "tokens")
+    found, links, last = _joined(alone, None, percent, classes=True), None, None
     if sized.filter("parts > 1").limit(1).count():
+        wide = sets.filter("token IS NULL").select("node", "tokens")
         dealt = sized.filter("parts > 1").withColumn("deal", F.explode(F.array(F.lit(0), F.lit(1))))
         part = F.pmod(F.xxhash64("node", "deal"), "parts").cast("int")
-        links = _joined(dealt.select(F.xxhash64("token", "deal").alias("token"), "node", "label", part.alias("mine"), part.alias("i"), part.alias("j")), sets, percent)
+        links = _joined(dealt.select(F.xxhash64("token", "deal").alias("token"), "node", "label", part.alias("mine"), part.alias("i"), part.alias("j")), wide, percent)
         grown = components(links)
         opened, any_ = _open(sized.filter("parts > 1").select("token", "node", "n").join(grown, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("label")))
         if any_:
-            last = _joined(_across(opened, cap), sets, percent)
+            last = _joined(_across(opened, cap), wide, percent)
             grown = components(links.unionByName(last))
         found = found.unionByName(grown)
 
@@ -404,19 +419,19 @@ def _open(rows: DataFrame) -> tuple[DataFrame, int]:
     return looked_up(rows, several, "token", "w").filter("w IS NOT NULL").drop("w"), several.limit(1).count()
 
 
-def _joined(cells: DataFrame, having: DataFrame, percent: int, *, classes: bool = False) -> DataFrame:
+def _joined(cells: DataFrame, having: DataFrame | None, percent: int, *, classes: bool = False) -> DataFrame:
     """(a, b) that join the components (label) of the nodes of each cell (token, i, j), of one part or of parts i and j.
 
-    `having` (node, n, counts) gives what may be similar, `having` (node, tokens) what is. With `classes`, (node,
+    `having` (node, n, counts) gives what may be similar, `having` (node, tokens) what is; None: cells have their tokens. With `classes`, (node,
     component) of the nodes that are joined instead, as `components` would have it.
     """
-    exact = "tokens" in having.columns
+    exact = having is None or "tokens" in having.columns
 
     def work(key: tuple, columns: list[tuple]) -> list[tuple]:
         names, labels, mine = columns[:3]
         side = None if key[1] == key[2] else np.array([int(m != key[1]) for m in mine])
         sets = [np.frombuffer(t, U) for t in columns[3]] if exact else None
-        counts = [point(s) for s in sets] if exact else [np.frombuffer(c, np.uint8) for c in columns[4]]
+        counts = [point(s) for s in sets] if exact else unpacked(columns[4])
         sizes = np.array([len(s) for s in sets] if exact else columns[3], np.int64)
         pairs = joining(Points(counts, sizes, percent), _labels(labels), side, sets)
         if not classes:
@@ -431,42 +446,45 @@ def _joined(cells: DataFrame, having: DataFrame, percent: int, *, classes: bool
         return [(name, least[g]) for name, g in zip(names, group.tolist(), strict=True) if size[g] > 1]
 
     schema = "node binary, component binary" if classes else "a binary, b binary"
-    return staged(_sharded(cells.join(having, "node"), ["token", "i", "j"], ["node", "label", "mine", *having.columns[1:]], work, schema))
+    more = ["tokens"] if having is None else having.columns[1:]
+    rows = cells if having is None else cells.join(having, "node")
+    return staged(_sharded(rows, ["token", "i", "j"], ["node", "label", "mine", *more], work, schema))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, tokens): the sets of `wanted` (place, node), whose texts are read again."""
+    """(token, node, tokens): the sets of `wanted` (place, node, token), whose texts are read again."""
     wanted = staged(wanted)
     few = wanted.count() <= MOST_PLACES
     table = wanted.toArrow() if few else None
     known = None
     if few:
         place, name = np.asarray(table.column("place")), np.frombuffer(b"".join(table.column("node").to_pylist()), "V16")
+        token, alone = np.asarray(table.column("token").fill_null(0)), np.asarray(table.column("token").is_valid())
         order = np.argsort(place, kind="stable")
-        known = docs.sparkSession.sparkContext.broadcast((place[order], name[order]))
+        known = docs.sparkSession.sparkContext.broadcast((place[order], name[order], token[order], alone[order]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()  # repeated rows share their place
         for b in sub_batches(batches, "text", TEXT_BYTES):
             if known:  # all names of the row's place, one as a rule
-                places, names = known.value
+                places, names, tokens, alone = known.value
                 here = np.asarray(b.column("place"))
                 low, past = np.searchsorted(places, here, "left"), np.searchsorted(places, here, "right")
                 at = np.flatnonzero(past > low)
-                picked, want = b.take(pa.array(at)), [set(map(bytes, names[low[i] : past[i]].tolist())) for i in at.tolist()]
+                picked, want = b.take(pa.array(at)), [{bytes(names[k]): tokens[k].item() if alone[k] else None for k in range(low[i], past[i])} for i in at.tolist()]
             else:
-                picked, want = b, [{w} for w in b.column("node").to_pylist()]
+                picked, want = b, [{w: t} for w, t in zip(b.column("node").to_pylist(), b.column("token").to_pylist(), strict=True)]
             keep = []
             for s, names in zip(shingle_sets(texts(picked, "text"), size), want, strict=True):
                 name = xxhash.xxh3_128_digest(s.tobytes())
                 if name in names and name not in seen:
                     seen.add(name)
-                    keep.append((name, s.tobytes()))
-            nodes, tokens = zip(*keep, strict=True) if keep else ((), ())
-            yield pa.record_batch({"node": pa.array(nodes, pa.binary()), "tokens": pa.array(tokens, pa.binary())})
+                    keep.append((names[name], name, s.tobytes()))
+            group, node, own = zip(*keep, strict=True) if keep else ((), (), ())
+            yield pa.record_batch({"token": pa.array(group, pa.int64()), "node": pa.array(node, pa.binary()), "tokens": pa.array(own, pa.binary())})
 
-    picked = docs.select("place", "text") if few else docs.join(wanted, "place").select("place", "node", "text")
-    return picked.mapInArrow(run, "node binary, tokens binary")
+    picked = docs.select("place", "text") if few else docs.join(wanted, "place").select("place", "node", "token", "text")
+    return picked.mapInArrow(run, "token long, node binary, tokens binary")
 
 
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

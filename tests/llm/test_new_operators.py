@@ -9,6 +9,8 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from cardloom.llm import count_rtree, hamerly, prefix_trie, queries
@@ -165,6 +167,29 @@ def test_a_large_group_of_near_copies(spark):
     assert {c for i, _, c in got if i < 700} == {0} and len({c for i, _, c in got if i >= 9_000}) == 40
 
 
+def test_sets_travel_once_with_their_group(spark, monkeypatch):
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[: 40 + i % 3 * 10], *(f"t{rng.randrange(10**6)}" for _ in range(2))])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("place", F.xxhash64("doc_id", "text"))
+    names = [xxhash.xxh3_128_digest(count_rtree.shingle_sets([t.encode()])[0].tobytes()) for _, t in rows]
+    wanted = spark.createDataFrame([(i, names[i], None if i % 4 == 0 else -i) for i, _ in rows[:50]], "doc_id long, node binary, token long")
+    wanted = docs.join(wanted, "doc_id").select("place", "node", "token")
+    for most in (count_rtree.MOST_PLACES, 0):
+        monkeypatch.setattr(count_rtree, "MOST_PLACES", most)
+        got = {bytes(r.node): (r.token, bytes(r.tokens)) for r in count_rtree._sets(docs, wanted, 5).collect()}
+        assert got == {names[i]: (None if i % 4 == 0 else -i, count_rtree.shingle_sets([t.encode()])[0].tobytes()) for i, t in rows[:50]}
+        assert found_classes(docs, cap=16) == brute_classes(rows)
+
+
+def test_count_vectors_travel_packed():
+    pack = zstandard.ZstdCompressor(level=3)
+    points = [count_rtree.point(np.random.default_rng(n).integers(0, 2**63, n, dtype=np.uint64)) for n in (1, 300, 400, 700, 5_000)]
+    blobs = [count_rtree.packed(p, pack) for p in points]
+    assert all((a == b).all() for a, b in zip(points, count_rtree.unpacked(tuple(blobs)), strict=True))
+    assert all(len(b) < 0.6 * len(p) for p, b in zip(points, blobs, strict=True))
+
+
 def test_the_tree_finds_all_that_may_link():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 2**63, rng.integers(1, 120), dtype=np.uint64)) for _ in range(150)]
