@@ -1,6 +1,8 @@
 """Lines, reconciliation, consolidation, sources and the stream on small inputs."""
 
 import datetime as dt
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,6 +73,18 @@ def test_numbering_for_any_number_of_partitions(spark, parts):
     assert got["k"].tolist() == list(range(1, 6001))
 
 
+def test_documents_are_the_first_query_of_a_session():
+    run = """
+from pyspark.sql import SparkSession
+from cardloom.plans.queries import QUERIES
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").getOrCreate()
+rows = QUERIES["m03_document_append"](spark, %r).select("Id").collect()
+print(sorted(r.Id for r in rows) == list(range(1, len(rows) + 1)), len(rows) > 1000)
+""" % SF
+    done = subprocess.run([sys.executable, "-c", run], capture_output=True, text=True, timeout=300)
+    assert done.stdout.split() == ["True", "True"], done.stderr[-3000:]
+
+
 def test_range_of_a_value(spark):
     bounds = [3, 5, 9, 9_000_000_000]
     values = [-1, 3, 4, 5, 6, 9, 10, 9_000_000_000, 9_000_000_001]
