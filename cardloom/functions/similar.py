@@ -8,10 +8,12 @@ from collections.abc import Callable
 from difflib import SequenceMatcher
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType
 
 from cardloom.functions import text as T
 
@@ -49,6 +51,50 @@ def _bag(text: Column) -> Column:
     return F.array(*(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in _CHARACTERS))
 
 
+@lru_cache(1 << 10)
+def _matcher(label: str) -> SequenceMatcher:
+    return SequenceMatcher(None, "", label)
+
+
+@lru_cache(1 << 16)
+def _likenesses(text: str, labels: tuple[str, ...]) -> np.ndarray:
+    """`likeness` of a normalised text to each label; what matching blocks need of a label is made once."""
+
+    def blocks(label: str) -> float:
+        m = _matcher(label)
+        m.set_seq1(text)
+        return m.ratio()
+
+    return np.array([0.0 if not text or not x else 1.0 if text == x else 0.95 if text in x or x in text else blocks(x) for x in labels])
+
+
+def form(text: Column, norms: tuple[str, ...]) -> Column:
+    """A text, normalised, with one sign for all characters that none of the normalised labels has.
+
+    Such characters match nothing wherever they stand, so a form is as similar to the labels as its text.
+    """
+    absent = "".join(sorted(set(_CHARACTERS) - set("".join(norms))))
+    return F.translate(T.normalize(text), absent, "_" * len(absent))
+
+
+def compared_with(rows: DataFrame, text: str, labels: list[str]) -> DataFrame:
+    """The other columns of `rows`, and for each of a fixed list of labels `label` and the `similarity` of a row's text to it.
+
+    A row passes Python once, with all labels, and by its `form`: texts that differ by numbers alone are compared once.
+    """
+    known = tuple(plain(x) for x in labels)
+
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def scores(forms: pa.Array) -> pa.Array:
+        of = forms.dictionary_encode()
+        each = np.array([_likenesses(x, known) for x in of.dictionary.to_pylist()]).reshape(len(of.dictionary), len(known))
+        return pa.ListArray.from_arrays(np.arange(len(forms) + 1, dtype=np.int32) * len(known), each[of.indices.to_numpy()].ravel())
+
+    others = [c for c in rows.columns if c != text]
+    listed = rows.select(*others, F.posexplode(scores(form(F.col(text), known))).alias("_at", "similarity"))
+    return listed.select(*others, F.get(F.array(*map(F.lit, labels)), F.col("_at")).alias("label"), "similarity")
+
+
 def similar_pairs(texts: DataFrame, labels: list[str], least: float) -> DataFrame:
     """(text, label, similarity) of the pairs that are alike from `least` on, of normalised texts (one column) and a fixed list of labels.
 

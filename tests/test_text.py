@@ -70,6 +70,19 @@ def test_cleaners_are_idempotent(spark, values):
         assert v is None or dt.date.fromisoformat(v)
 
 
+def test_texts_apart_by_numbers_are_compared_once(spark):
+    rng = random.Random(9)
+    labels = ["NÚMERO", "NUM.", "G. S. RH", "", "SEXO", "SEXO", "LUGAR DE NACIMIENTO"]
+    texts = [None, "", " ", "sexo", "núm", "NUMERO 12", "x#7 rh+", *("".join(rng.choice("ACEGHIMNORSUX.+#07 ñ") for _ in range(rng.randrange(1, 24))) for _ in range(200))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = sorted((r.i, r.label, r.similarity) for r in similar.compared_with(df, "t", labels).collect())
+    norms = dict(df.select("i", T.normalize(F.col("t"))).collect())
+    assert got == sorted((i, x, similar.likeness(norms[i], similar.plain(x))) for i in norms for x in labels)
+    assert got == sorted(map(tuple, df.crossJoin(spark.createDataFrame([(x,) for x in labels], "label string")).select("i", "label", similarity(F.col("t"), F.col("label"))).collect()))
+    cards = spark.range(3000).select(F.concat(F.lit("José Núñez "), F.col("id") + 10_000_000).alias("t"))
+    assert cards.select(similar.form(F.col("t"), tuple(map(similar.plain, labels)))).distinct().count() == 1
+
+
 def test_similar_pairs_lose_nothing_to_their_bounds(spark):
     rng = random.Random(8)
     labels = [similar.plain(x) for xs in layout.LABELS.values() for x in xs]
