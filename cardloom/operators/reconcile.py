@@ -44,20 +44,42 @@ def compare(general: DataFrame, crop: DataFrame) -> DataFrame:
     return both.withColumn("r", compared(F.col("field"), F.col("general"), F.col("crop"))).select("doc_id", "field", "general", "crop", "r.*")
 
 
+def _judged(candidates: DataFrame) -> DataFrame:
+    """The candidates, crops after cleaning, with `ok`, whether they are valid.
+
+    Each step is a column of its own, computed once. Groups are filtered by their outcome and not rows by `ok`: a filter
+    would move down to the candidates and compute the steps anew in each of its places.
+    """
+    f, v = F.col("field"), F.col("value")
+    x = candidates.select("doc_id", "field", "source", "page_no", F.when(F.col("source") == "crop", T.cleaned(f, v)).otherwise(v).alias("value"))
+    return x.withColumn("_v", T.strip(v)).withColumn("ok", T.valid_stripped(f, F.col("_v"))).drop("_v")
+
+
 def merged(candidates: DataFrame) -> DataFrame:
     """(doc_id, field, text, general, crop): the outcomes of the three merges side by side, null for none, from one pass over all candidates (with `source`)."""
-    f, v, of = F.col("field"), F.col("value"), F.col("source")
-    value = F.when(of == "crop", T.clean_field(f, v)).when(T.valid(f, v), v)
-    usable = candidates.select("doc_id", "field", "source", "page_no", value.alias("value")).filter("value IS NOT NULL")
-    page = lambda name: F.when(of == name, F.col("page_no"))
-    return usable.groupBy("doc_id", "field").agg(
-        F.min_by("value", page("text")).alias("text"), F.max_by("value", page("general")).alias("general"), F.max_by("value", page("crop")).alias("crop"),
-    )
+    page = lambda name: F.when(F.col("ok") & (F.col("source") == name), F.col("page_no"))
+    return _judged(candidates).groupBy("doc_id", "field").agg(
+        F.min_by("value", page("text")).alias("text"), F.max_by("value", page("general")).alias("general"), F.max_by("value", page("crop")).alias("crop"), F.bool_or("ok").alias("_any"),
+    ).filter("_any").drop("_any")
+
+
+def _ranked(candidates: DataFrame) -> DataFrame:
+    """(doc_id, field, value, ok, rank) of the candidates; the valid one of the largest rank counts: label over crop over embedded text, the latest page, of embedded text the earliest."""
+    of, page = F.col("source"), F.col("page_no").cast("long")
+    rank = F.when(of == "general", page + (2 << 33)).when(of == "crop", page + (1 << 33)).when(of == "text", -page)
+    return _judged(candidates).select("doc_id", "field", "value", "ok", F.when(F.col("ok"), rank).alias("rank"))
 
 
 def precedence(candidates: DataFrame) -> DataFrame:
     """(doc_id, field, value): label over crop over embedded text; what is merged is valid already."""
-    return merged(candidates).select("doc_id", "field", F.coalesce("general", "crop", "text").alias("value"))
+    best = _ranked(candidates).groupBy("doc_id", "field").agg(F.max_by("value", "rank").alias("value"), F.bool_or("ok").alias("_any"))
+    return best.filter("_any").drop("_any")
+
+
+def wide_precedence(candidates: DataFrame, fields: tuple[str, ...] = T.FIELDS) -> DataFrame:
+    """`wide` of `precedence`, in one grouping by document."""
+    best = [T.final(F.max_by("value", F.when(F.col("field") == f, F.col("rank")))).alias(f) for f in fields]
+    return _ranked(candidates).groupBy("doc_id").agg(*best, F.bool_or("ok").alias("_any")).filter("_any").drop("_any")
 
 
 def rebuild_name(final: DataFrame, crop: DataFrame) -> DataFrame:
@@ -91,14 +113,15 @@ def envelope(text: DataFrame, ocr: DataFrame) -> DataFrame:
 
     `text` is `extract_by_lines`, `ocr` is `wide`; a document may be missing from either.
     """
-    names = [c for c in text.columns if c != "doc_id"]
-    as_map = lambda cols: F.map_filter(F.create_map(*(x for c in cols for x in (F.lit(c), F.col(c).cast("string")))), lambda _, v: v.isNotNull())
-    t = text.select("doc_id", T.useful(*(F.col(c) for c in ("numero_documento", "nombre_completo", "fecha_nacimiento", "sexo", "rh"))).alias("ok"), as_map(names).alias("t"))
-    o = ocr.select("doc_id", as_map([c for c in ocr.columns if c != "doc_id"]).alias("o"))
-    both = t.join(o, "doc_id", "full_outer")
-    ok = F.coalesce("ok", F.lit(False))
-    return both.select(
-        "doc_id", F.when(ok, F.col("t")).otherwise(F.col("o")).alias("resultado"),
-        F.when(ok, "pdf_texto").when(F.col("o").isNotNull(), "ocr_template").alias("metodo"),
-        F.when(~ok & F.col("o").isNull(), "El documento no se pudo leer correctamente.").alias("error"),
+    t_names, o_names = ([c for c in df.columns if c != "doc_id"] for df in (text, ocr))
+    useful = T.useful(*(F.col(c) for c in ("numero_documento", "nombre_completo", "fecha_nacimiento", "sexo", "rh")))
+    t = text.select("doc_id", useful.alias("ok"), *(F.col(c).cast("string").alias(f"t_{c}") for c in t_names))
+    o = ocr.select("doc_id", F.lit(True).alias("read"), *(F.col(c).cast("string").alias(f"o_{c}") for c in o_names))
+    # Maps are made after the join, of the path that was taken; before it they would travel with their keys.
+    as_map = lambda side, cols: F.map_filter(F.create_map(*(x for c in cols for x in (F.lit(c), F.col(f"{side}_{c}")))), lambda _, v: v.isNotNull())
+    ok, read = F.coalesce("ok", F.lit(False)), F.col("read").isNotNull()
+    return t.join(o, "doc_id", "full_outer").select(
+        "doc_id", F.when(ok, as_map("t", t_names)).when(read, as_map("o", o_names)).alias("resultado"),
+        F.when(ok, "pdf_texto").when(read, "ocr_template").alias("metodo"),
+        F.when(~ok & ~read, "El documento no se pudo leer correctamente.").alias("error"),
     )

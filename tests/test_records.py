@@ -100,6 +100,15 @@ def test_one_pass_merges_as_the_three(spark):
     assert {n: {(r.doc_id, r.field): r[n] for r in rows if r[n] is not None} for n in by} == by
 
 
+def test_a_document_s_candidates_meet_once(spark):
+    other = spark.createDataFrame([(-1, 1, "otro", "text", "x"), (-2, 1, "sexo", "text", "x"), (-3, 1, "nombres", "elsewhere", "Ana"), (-4, 2, "nombres", "text", "Luz"), (-4, 1, "nombres", "text", "Ana"), (-4, None, "nombres", "crop", "Eva")], "doc_id long, page_no int, field string, source string, value string")
+    c = X.candidates(spark, SF).unionByName(other)
+    rows = lambda df: sorted(map(str, df.collect()))
+    one = reconcile.wide_precedence(c)
+    assert rows(one) == rows(reconcile.wide(reconcile.precedence(c))) and {r.doc_id: r.nombres for r in one.filter("doc_id < 0").collect()} == {-1: "", -3: "", -4: "Ana"}
+    assert reconcile.wide_precedence(other)._jdf.queryExecution().executedPlan().toString().count("Exchange hash") == 1
+
+
 def test_verification_finds_what_is_missing(spark):
     docs = spark.createDataFrame([(1, 10, 20, 30), (2, 11, 21, 31)], "Id int, EstudianteId int, ProgramaId int, UsuarioId int")
     one = lambda name, *ids: spark.createDataFrame([(i,) for i in ids], f"{name} int")
