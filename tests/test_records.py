@@ -1,6 +1,7 @@
 """Lines, reconciliation, consolidation, sources and the stream on small inputs."""
 
 import datetime as dt
+import random
 import subprocess
 import sys
 
@@ -109,6 +110,21 @@ def test_a_document_s_candidates_meet_once(spark):
     assert reconcile.wide_precedence(other)._jdf.queryExecution().executedPlan().toString().count("Exchange hash") == 1
 
 
+def test_lines_of_a_text_stay_in_its_row(spark):
+    rng = random.Random(4)
+    pieces = ["COLOMBIA", "Republica", "cédula", "IDENTIFICACIÓN", "NUMERO", "NUMER0", "NUIP 7", "1.234", "APELLIDOS", "NOMBRES", " GIL ", "", "Ana\tLuz", "SEXO", "femenino", "M", "RH", "O+ A-", "NACIONALIDAD", "COL", "FECHA DE NACIMIENTO", "1-ENE-2001", "LUGAR DE NACIMIENTO", "CALI!", "EXPEDICION"]
+    ends = ["\n", "\n", "\r\n", "\r", "\u2028"]
+    df = spark.createDataFrame([(i, "".join(rng.choice(pieces) + rng.choice(ends) for _ in range(rng.randrange(14))) + rng.choice(["", "RH"])) for i in range(600)], "doc_id long, text string")
+    out = lines.extract_by_lines(df, F.current_date())
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    fields = [f for f in lines.TEXT_FIELDS if f not in ("numero_documento", "nombre_completo")]
+    by_window = {r.doc_id: r for r in lines.fold(lines.with_context(lines.trim_headings(lines.explode_lines(df)))).collect()}
+    got = {r.doc_id: r for r in out.collect()}
+    assert set(got) == set(range(600)) and len(by_window) > 400
+    assert all(tuple(by_window[i][f] if i in by_window else None for f in fields) == tuple(r[f] for f in fields) for i, r in got.items())
+    assert all(by_window[i][f] in (None, "", r[f]) for i, r in got.items() if i in by_window for f in ("numero_documento", "nombre_completo"))
+
+
 def test_verification_finds_what_is_missing(spark):
     docs = spark.createDataFrame([(1, 10, 20, 30), (2, 11, 21, 31)], "Id int, EstudianteId int, ProgramaId int, UsuarioId int")
     one = lambda name, *ids: spark.createDataFrame([(i,) for i in ids], f"{name} int")
